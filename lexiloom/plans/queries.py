@@ -56,6 +56,10 @@ def _conversation_pages(spark, folder) -> DataFrame:
     )
 
 
+def _conversation_sections(spark, folder) -> DataFrame:
+    return S.sections_paged(_blank_lines(_conversation_pages(spark, folder)))
+
+
 def _user_turns(spark, folder) -> DataFrame:
     """Every user turn is a question to its own conversation."""
     turns = read_table(spark, folder, "conversations").where(F.col("role") == "user")
@@ -78,7 +82,7 @@ def _files(spark, folder) -> DataFrame:
     suffix = F.create_map(*[F.lit(x) for x in ("en", ".txt", "fr", ".v2.TXT", "de", ".docx", "es", "")])
     text = (
         F.when(F.col("source") == "src1", F.regexp_replace("text", r"[^\n]", " "))
-        .when(F.col("source") == "src2", F.regexp_replace("text", r"[^\n]", " "))
+        .when(F.col("source") == "src2", F.regexp_replace("text", r"[^\n]", "\u00a0"))
         .when(F.col("source") == "src3", F.lit(""))
         .otherwise(F.col("text"))
     )
@@ -245,11 +249,11 @@ def sections(spark, folder):
 
 
 def sections_paged(spark, folder):
-    return S.sections_paged(_conversation_pages(spark, folder))
+    return _conversation_sections(spark, folder)
 
 
 def section_counts(spark, folder):
-    return S.section_counts(S.sections_paged(_conversation_pages(spark, folder)))
+    return S.section_counts(_conversation_sections(spark, folder))
 
 
 def section_tfidf(spark, folder):
@@ -258,7 +262,7 @@ def section_tfidf(spark, folder):
 
 
 def query_vector(spark, folder):
-    postings = search.section_tfidf(S.sections_paged(_conversation_pages(spark, folder)))
+    postings = search.section_tfidf(_conversation_sections(spark, folder))
     vector = search.query_vector(postings, _user_turns(spark, folder))
     return vector.withColumn("weight", F.round("weight", 4))
 
@@ -268,12 +272,12 @@ def _flat(hits: DataFrame) -> DataFrame:
 
 
 def search_topk(spark, folder):
-    return _flat(search.search(S.sections_paged(_conversation_pages(spark, folder)), _user_turns(spark, folder)))
+    return _flat(search.search(_conversation_sections(spark, folder), _user_turns(spark, folder)))
 
 
 def search_zero_threshold(spark, folder):
     found = search.search(
-        S.sections_paged(_conversation_pages(spark, folder)), _user_turns(spark, folder), top_k=10, threshold=0.0
+        _conversation_sections(spark, folder), _user_turns(spark, folder), top_k=10, threshold=0.0
     )
     return _flat(found)
 
