@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,16 @@ ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a folder: ``path, file_name, content``."""
+    """All files below a folder: ``path, file_name, content``.
+
+    A scan leaves out files of length 0, though the file index lists them; they
+    are added from the index, so that they reach the quarantine.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return with_file_name(files).select("path", "file_name", "content")
+    listed = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
+    names = spark.createDataFrame(listed, "path string")
+    missing = names.join(files.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+    return with_file_name(files.select("path", "content").unionByName(missing)).select("path", "file_name", "content")
 
 
 def with_file_name(files: DataFrame) -> DataFrame:
