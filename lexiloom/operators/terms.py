@@ -34,7 +34,8 @@ def document_frequency(tf: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def attach_by_frequency(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], frequency: str, head_rows: int = HEAD_ROWS
+    rows: DataFrame, lookup: DataFrame, keys: list[str], frequency: str, head_rows: int = HEAD_ROWS,
+    total: Column | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` with a lookup whose ``frequency`` says how many rows carry each key.
 
@@ -43,8 +44,9 @@ def attach_by_frequency(
     bulk of the rows; they are broadcast, a size bounded by construction, and
     their rows are never shuffled. What remains has no key with more than
     P / head_rows rows, so the shuffle join of the rest cannot be skewed.
+    ``total`` is P, if there is a cheaper way to it than adding up the lookup.
     """
-    total = lookup.agg(F.sum(frequency)).scalar()
+    total = lookup.agg(F.sum(frequency)).scalar() if total is None else total
     is_head = F.col(frequency) * F.lit(head_rows) >= total
     head = F.broadcast(lookup.where(is_head))
     tail = lookup.where(~is_head)
@@ -77,8 +79,9 @@ def weigh_in_scope(tf: DataFrame, scope: list[str], row: list[str], n: str = "n"
 def weigh_in_corpus(tf: DataFrame, row: list[str], n: Column, normalised: bool = True) -> DataFrame:
     """Weights with the whole table as the scope. ``tf`` is read three times: pass a stored table."""
     df = document_frequency(tf, [])
+    postings = tf.agg(F.count(F.lit(1))).scalar()
     weighted = (
-        attach_by_frequency(tf, df, ["term"], "df")
+        attach_by_frequency(tf, df, ["term"], "df", total=postings)
         .withColumn("idf", smooth_idf(n, F.col("df")))
         .withColumn("weight", sublinear(F.col("tf")) * F.col("idf"))
     )

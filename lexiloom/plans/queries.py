@@ -338,14 +338,19 @@ def classification_report(spark, folder):
     return evaluation.classification_report(_guesses(spark, folder))
 
 
+def _model_path(spark, folder) -> str:
+    return f"{shared_folder(spark)}/models/{_MODEL_FORMAT}/{folder.strip('/').replace('/', '_')}"
+
+
 def _model(spark, folder) -> C.TopicModel:
     """Trained on first use, read back afterwards."""
-    path = f"{shared_folder(spark)}/models/{_MODEL_FORMAT}/{folder.strip('/').replace('/', '_')}"
-    return C.load_or_train(_language_rows(spark, folder), path)
+    return C.load_or_train(_language_rows(spark, folder), _model_path(spark, folder))
 
 
 def train_classifier(spark, folder):
-    return C.train_classifier(_language_rows(spark, folder)).tables["metrics"]
+    model = C.train_classifier(_language_rows(spark, folder))
+    model.save(_model_path(spark, folder))
+    return C.load_model(spark, _model_path(spark, folder)).tables["metrics"]
 
 
 def model_roundtrip(spark, folder):

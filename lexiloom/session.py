@@ -17,6 +17,8 @@ def build_session(name: str = "lexiloom", master: str | None = None, **settings:
     base = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Hash join instead of sort-merge where every partition is known to fit.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
