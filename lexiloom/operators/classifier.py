@@ -24,6 +24,10 @@ from .evaluation import classification_metrics, classification_report, confusion
 from .splitting import stratified_split
 from .terms import smooth_idf, sublinear, term_frequency
 
+# Each of the hundred or so gradient passes costs one task per partition, so a
+# small training set is best held in few of them.
+_ROWS_PER_TASK = 10_000
+
 MODEL_TABLES = ("terms", "classes", "metrics", "class_report", "confusion_matrix", "training_run")
 
 
@@ -143,7 +147,7 @@ def train_classifier(
     regression = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n_train), elasticNetParam=0.0,
         standardization=False, maxIter=max_iterations,
-    ).fit(features)
+    ).fit(materialize(features, "features").coalesce(max(1, n_train // _ROWS_PER_TASK)))
 
     columns = regression.coefficientMatrix.toArray().T.tolist()
     coefficients = spark.createDataFrame(list(enumerate(columns)), "index int, coefficients array<double>")

@@ -42,7 +42,9 @@ def stratified_split(
     No class is ever sorted as a whole. Hash prefixes cut each class into
     65,536 even buckets; their counts tell in which bucket the quota ends, and
     only that bucket is ranked, to find the last test row. The result is one
-    threshold per class, so the rows themselves are compared in place.
+    threshold per class, so the rows themselves are compared in place. Both
+    broadcast tables have one row per class, and classes are few: a model has
+    a coefficient per class and the driver holds their names.
     """
     hashed = labelled.withColumn("_hash", split_hash(F.col(row_id), seed)).withColumn(
         "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
@@ -58,14 +60,14 @@ def stratified_split(
     )
     place = F.row_number().over(Window.partitionBy("category").orderBy("_hash", "_id"))
     thresholds = (
-        slim.join(last_bucket, ["category", "_bucket"])
+        slim.join(F.broadcast(last_bucket), ["category", "_bucket"])
         .withColumn("_place", place)
         .where(F.col("_place") == F.col("_wanted"))
         .select("category", F.struct("_hash", "_id").alias("_last"))
     )
     is_test = F.struct(F.col("_hash"), F.col(row_id).alias("_id")) <= F.col("_last")
     return (
-        hashed.join(thresholds, "category", "left")
+        hashed.join(F.broadcast(thresholds), "category", "left")
         .withColumn("split", F.when(is_test, "test").otherwise("train"))
         .drop("_hash", "_bucket", "_last")
     )

@@ -20,11 +20,4 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     wanted = min(spark.sparkContext.defaultParallelism, task_count(spark))
-    if df.rdd.getNumPartitions() >= wanted and not _one_small_file(df):
-        return df
-    return df.repartition(wanted, *keys)
-
-
-def _one_small_file(df: DataFrame) -> bool:
-    """A single file is often one row group, which only one of its splits can read."""
-    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

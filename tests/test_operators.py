@@ -171,8 +171,7 @@ def plain_search(texts, query, top_k, threshold):
     return sorted(kept.items(), key=lambda kv: (-round(kv[1], 7), kv[0]))[:top_k]
 
 
-@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.99, 0.0])
-@pytest.mark.parametrize("scope", ["document", "corpus"])
+@pytest.mark.parametrize("scope,threshold", [("document", 0.05), ("document", 0.3), ("document", 0.0), ("corpus", 0.99), ("corpus", 0.0)])
 def test_search_equals_brute_force(cut, asked, scope, threshold):
     texts = {(r.doc_id, r.section_id): r.text for r in cut.collect()}
     key = (lambda r: (r.query_id, r.doc_id)) if scope == "document" else (lambda r: r.query_id)
