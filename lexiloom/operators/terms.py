@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The head join broadcasts at most this many (scope, term) rows.
+# The head join broadcasts at most this many rows, with keys of at most this
+# many characters: a few megabytes, whatever the table size.
 HEAD_ROWS = 20_000
+HEAD_KEY_CHARS = 256
 
 
 def sublinear(tf: Column) -> Column:
@@ -44,10 +46,12 @@ def attach_by_frequency(
     bulk of the rows; they are broadcast, a size bounded by construction, and
     their rows are never shuffled. What remains has no key with more than
     P / head_rows rows, so the shuffle join of the rest cannot be skewed.
+    (Overlong keys, as junk texts have, always go with the rest; should one be
+    hot, adaptive execution splits its partition.)
     ``total`` is P, if there is a cheaper way to it than adding up the lookup.
     """
     total = lookup.agg(F.sum(frequency)).scalar() if total is None else total
-    is_head = F.col(frequency) * F.lit(head_rows) >= total
+    is_head = (F.col(frequency) * F.lit(head_rows) >= total) & (F.length(F.concat_ws("", *keys)) <= HEAD_KEY_CHARS)
     head = F.broadcast(lookup.where(is_head))
     tail = lookup.where(~is_head)
     return rows.join(head, keys).unionByName(

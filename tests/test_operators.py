@@ -113,11 +113,13 @@ def test_keywords_corpus(spark):
 
 @pytest.mark.parametrize("head_rows", [1, 3, 1000])
 def test_head_and_tail_of_a_frequency_join_are_complete(spark, head_rows):
-    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(20)], "term string, v int")
+    junk = "j" * 300
+    data = [("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(20)] + [(junk, i) for i in range(30)]
+    rows = spark.createDataFrame(data, "term string, v int")
     lookup = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     joined = terms.attach_by_frequency(rows, lookup, ["term"], "df", head_rows)
     assert sorted((r.term, r.v, r.df) for r in joined.collect()) == sorted(
-        [("hot", i, 50) for i in range(50)] + [(f"k{i}", i, 1) for i in range(20)]
+        (t, v, {"hot": 50, junk: 30}.get(t, 1)) for t, v in data
     )
 
 
@@ -209,6 +211,10 @@ def test_stored_index_gives_the_same_hits(spark, cut, asked):
     stored = search.search(cut, asked, 2, postings=spark.table("section_index"))
     assert sorted(map(str, stored.collect())) == sorted(map(str, search.search(cut, asked, 2).collect()))
     spark.sql("DROP TABLE section_index")
+    whole = search.corpus_tfidf(cut)
+    assert sorted(map(str, search.search(cut, asked, 2, scope="corpus", postings=whole).collect())) == sorted(
+        map(str, search.search(cut, asked, 2, scope="corpus").collect())
+    )
 
 
 # --- evaluation and splitting ---------------------------------------------------
