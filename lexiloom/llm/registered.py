@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter, warc
+from . import license_scan, mixing, quality_rules, token_counts, url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win)\."
+SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\."
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# E-mail addresses, IPv4 addresses, digit runs of card or phone length, quoted secrets.
+PERSONAL = r"[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+?\d[\d ()-]{7,}\d|\b[0-9a-f]{32,}\b"
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after its personal data are edited out."""
+    trees = token_counts.build_trees(_table(spark, folder, "documents"))
+    return token_counts.apply_edits(token_counts.redactions(trees, PERSONAL, "[removed]"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Pages against the rules and a list of the spam hosts' URLs."""
     pages = _table(spark, folder, "pages").select("page_id", "url")
@@ -23,6 +33,13 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, rules)
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken_rules", ",").alias("broken_rules")
+    )
+
+
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"), entropy=0.97, max_repeats=4.0, budget=1.0)
     return mixed.select("doc_id", "source", "epoch", "block", "block_order")
@@ -32,19 +49,49 @@ def op5_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(_table(spark, folder, "pages"))).drop("headers")
 
 
-QUERIES = {q.__name__: q for q in (op2_url_filter, op4_source_mixing, op5_warc_derivatives)}
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, folder, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_token_counts, op2_url_filter, op3_quality_rules, op4_source_mixing, op5_warc_derivatives, op8_license_scan,
+)}
 
 _URL_PARTS = """
     SELECT page_id, url, CASE WHEN regexp_matches(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
            CASE WHEN regexp_matches(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
     FROM pages"""
 
+_STOP_LIST = ", ".join(sorted({"'" + w + "'" for words in quality_rules.STOP_WORDS.values() for w in words.split()}))
+_QUALITY = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT rid, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+h AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS gram FROM g),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM h),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY rid),
+m AS (SELECT w.rid, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!?…]', '', 'g')) AS n_marks,
+             len(list_filter(words, lambda x: lower(regexp_replace(x, '[.,;:!?"''()]', '', 'g')) IN ({_STOP_LIST}))) AS n_stop,
+             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN covered ON covered.rid = w.rid),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             concat_ws(',', CASE WHEN n_words < 10 THEN 'words' END,
+               CASE WHEN n_words = 0 OR word_chars / n_words < 2 OR word_chars / n_words > 14 THEN 'word_length' END,
+               CASE WHEN n_words > 0 AND n_symbols / n_words > 0.25 THEN 'symbols' END, CASE WHEN n_words > 0 AND n_marks / n_words > 0.25 THEN 'marks' END,
+               CASE WHEN n_words >= 50 AND n_stop / n_words < 0.04 THEN 'stop_words' END, CASE WHEN n_words >= 50 AND n_dup_lines / n_lines > 0.3 THEN 'line_copies' END,
+               CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.2 THEN 'repeats' END) AS broken_rules FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, broken_rules FROM r"""
+
 SQL = {
+    "op3_quality_rules": _QUALITY,
     "op2_url_filter": f"""
 WITH parts AS ({_URL_PARTS}),
 rules(rhost, rpath, rverdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 named AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM parts),
-listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills|casino-win)\\.') AND canonical <> ''),
+listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\\.') AND canonical <> ''),
 numbered AS (SELECT *, row_number() OVER () AS rid FROM named),
 fits AS (SELECT rid, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(rverdict, length(rhost || rpath) * 1000 + length(rhost)) AS rverdict
          FROM numbered JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid)
