@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, license_scan, mixing, quality_rules, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts, url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\."
@@ -49,6 +49,10 @@ def op5_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(_table(spark, folder, "pages"))).drop("headers")
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, folder, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
@@ -62,8 +66,8 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_token_counts, op2_url_filter, op3_quality_rules, op4_source_mixing, op5_warc_derivatives, op7_jaccard_join, op8_license_scan,
-    op10_benchmark_leaks,
+    op1_token_counts, op2_url_filter, op3_quality_rules, op4_source_mixing, op5_warc_derivatives, op6_suffix_dedup, op7_jaccard_join,
+    op8_license_scan, op10_benchmark_leaks,
 )}
 
 _URL_PARTS = """
