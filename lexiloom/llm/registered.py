@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from . import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts, url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\."
@@ -61,13 +61,17 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, folder, "documents"))
 
 
+def op9_markov_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_markov.score_documents(_table(spark, folder, "documents"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 QUERIES = {q.__name__: q for q in (
     op1_token_counts, op2_url_filter, op3_quality_rules, op4_source_mixing, op5_warc_derivatives, op6_suffix_dedup, op7_jaccard_join,
-    op8_license_scan, op10_benchmark_leaks,
+    op8_license_scan, op9_markov_scores, op10_benchmark_leaks,
 )}
 
 _URL_PARTS = """
