@@ -284,3 +284,13 @@ def jaccard_components(docs: DataFrame, block: int = 1000) -> DataFrame:
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_members", F.lit(1).cast("long")).alias("n_members"),
     )
+
+
+def one_of_each(docs: DataFrame, block: int = 1000) -> DataFrame:
+    """The documents, all columns, whose id is the smallest of their component.
+
+    Rows with one ``doc_id`` are one document. Rows without an id stay if one of
+    them is linked with no known document.
+    """
+    kept = jaccard_components(docs, block).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

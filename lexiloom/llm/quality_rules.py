@@ -133,3 +133,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = measured(docs).withColumn("base_failed", base).withColumn("broken_rules", broken(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The documents, with their own columns only, that are kept.
+
+    The verdict passes a generator, below which no filter is pushed: a pushed one
+    would repeat every measure inside every other that uses it.
+    """
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
+    verdict = judge(whole, rules).select("_row", F.explode(F.array("kept")).alias("_kept"))
+    return verdict.where("_kept").select("_row.*")
