@@ -12,7 +12,7 @@ looks at most two characters past its end, hence the context of two characters.
 
 Trees are rows (``leaf_chars``, ``leaf_tokens``) and can be stored between edits.
 Both steps are row-local; edits of a separate table are joined once by
-``doc_id``. Defined results: a null text is empty; null edits are none; positions
+``doc_id``. Defined results: a null text is empty; null edits are none and null positions 0; positions
 beyond the text are clipped; edits apply in order, each to the text the earlier
 ones left; documents without edits keep their counts; repeated rows are counted
 alike; extra columns are not returned.
@@ -55,9 +55,12 @@ class Encoder:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         known = self.cache
-        for p in set(pieces) - known.keys():
-            known[p] = len(self.encoding.encode_ordinary(p))
-        return [known[p] for p in pieces]
+        found = list(map(known.get, pieces))
+        if None in found:
+            for i, p in enumerate(pieces):
+                if found[i] is None:
+                    found[i] = known[p] = len(self.encoding.encode_ordinary(p))
+        return found
 
 
 class Tree:
@@ -147,6 +150,10 @@ def _leaves(text: str, encoder: Encoder) -> tuple[np.ndarray, np.ndarray, int]:
     return np.add.reduceat(lengths, at), np.add.reduceat(np.array(encoder.counts(pieces), np.int32), at), len(pieces)
 
 
+def _place(x) -> int:
+    return 0 if x is None or x != x else int(x)
+
+
 def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, text`` with the leaves of each document's tree."""
 
@@ -187,7 +194,7 @@ def apply_edits(trees: DataFrame, vocabulary: str = VOCABULARY, keep_trees: bool
                     continue
                 tree, encoded = Tree(text, np.asarray(chars), np.asarray(tokens)), 0
                 for e in edits:
-                    encoded += tree.edit(e["start"] or 0, e["stop"] or 0, e["replacement"] or "", encoder)
+                    encoded += tree.edit(_place(e["start"]), _place(e["stop"]), e["replacement"] or "", encoder)
                 kept = tree.sums[tree.size:tree.size + tree.n]
                 rows.append((doc_id, n, len(edits), encoded, before, tree.tokens) + (tree.text, kept[:, 0].astype(np.int32), kept[:, 1].astype(np.int32)) * keep_trees)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")]).astype({"doc_id": "Int64"})

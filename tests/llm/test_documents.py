@@ -1,0 +1,266 @@
+"""Operators on documents: nulls, blanks, long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from lexiloom.llm import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts
+
+from . import plain
+
+
+def key(row):
+    return repr(row)
+
+
+def same(got, want):
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+# --- token counts -------------------------------------------------------------
+
+def test_counts_after_edits_equal_a_full_count(corpus, corpus_rows):
+    pattern = r"[aeiou]+nt?|\s+the"
+    trees = token_counts.build_trees(corpus)
+    got = token_counts.apply_edits(token_counts.redactions(trees, pattern, " X'"), keep_trees=True).collect()
+    encoder = token_counts.Encoder(token_counts.VOCABULARY)
+    import regex
+
+    whole = lambda t: len(encoder.encoding.encode_ordinary(t))
+    want = [(i, whole(t or ""), whole(regex.sub(pattern, " X'", t or "")), regex.sub(pattern, " X'", t or "")) for i, t, _ in corpus_rows]
+    same([(r.doc_id, r.tokens_before, r.tokens_after, r.text) for r in got], want)
+
+
+def test_random_edits_keep_the_tree_right():
+    encoder, rng = token_counts.Encoder(token_counts.VOCABULARY), random.Random(5)
+    for trial in range(60):
+        text = plain.prose(trial, rng.choice([0, 1, 40, 300]))
+        chars, tokens, _ = token_counts._leaves(text, encoder)
+        tree = token_counts.Tree(text, chars, tokens)
+        for _ in range(8):
+            start = rng.randrange(len(text) + 1)
+            stop = start + rng.choice([0, 1, 3, 60])
+            new = rng.choice(["", "'", "re ", "'ll", "\n \n", "  ", "12", "é" * 30])
+            tree.edit(start, stop, new, encoder)
+            text = text[:start] + new + text[stop:]
+            assert tree.text == text and tree.tokens == len(encoder.encoding.encode_ordinary(text))
+
+
+def test_few_pretokens_are_encoded_again(spark, corpus):
+    edits = spark.createDataFrame([(56, 0, 9000, 9003, "new"), (56, 1, 100, 100, "x"), (1, 0, None, None, None)], "doc_id long, seq int, start int, stop int, replacement string")
+    rows = {r.doc_id: r for r in token_counts.apply_edits(token_counts.attach_edits(token_counts.build_trees(corpus), edits)).collect() if r.n_edits}
+    assert rows[56].n_encoded < 10 * token_counts.LEAF < rows[56].n_pretokens
+    assert rows[1].tokens_before == rows[1].tokens_after
+
+
+# --- quality rules -------------------------------------------------------------
+
+def test_quality_measures(corpus, corpus_rows):
+    got = quality_rules.judge(corpus.select("doc_id", "text", "kept")).collect()
+    want = [(i, *plain.quality(t)) for i, t, _ in corpus_rows]
+    same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got], want)
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
+    kept = {r.doc_id for r in got if r.kept}
+    assert set(range(12)) | {40, 41, 56, 61} <= kept and not kept & {50, 51, 52, 53, 57, 63, 64}
+
+
+def test_kept_documents_return_their_own_columns(corpus):
+    kept = quality_rules.kept_documents(corpus)
+    assert kept.columns == corpus.columns
+    assert {r.kept for r in kept.collect()} == {"x"}
+
+
+# --- mixing ----------------------------------------------------------------------
+
+def test_exponent_meets_entropy_or_limit():
+    tokens = {"a": 9000, "b": 900, "c": 100}
+    a, w, _ = mixing.mixing_weights(tokens, entropy=0.9, max_repeats=100, budget=1.0)
+    assert 0 < a < 1 and abs(-sum(x * math.log(x) for x in w.values()) / math.log(3) - 0.9) < 1e-9
+    _, w, size = mixing.mixing_weights(tokens, entropy=0.9, max_repeats=2.0, budget=1.0)
+    assert max(size * w[s] / tokens[s] for s in w) == pytest.approx(2.0)
+    with pytest.raises(ValueError):
+        mixing.mixing_weights(tokens, max_repeats=2.0, budget=3.0)
+
+
+def test_quotas_are_met_within_one_document(corpus, corpus_rows):
+    mixed = mixing.mix(corpus, entropy=0.99, max_repeats=6.0, budget=1.0, blocks=8).collect()
+    n = lambda t: len(plain.WORD.findall(t or ""))
+    tokens = {}
+    for _, t, s in corpus_rows:
+        tokens[s] = tokens.get(s, 0) + n(t)
+    _, weights, size = mixing.mixing_weights({str(s): x for s, x in tokens.items()}, 0.99, 6.0, 1.0)
+    for s in tokens:
+        got = sum(n(r.text) for r in mixed if r.source == s)
+        longest = sum(n(t) for i, t, own in corpus_rows if own == s and i in (56, 60)) or 500
+        assert size * weights[str(s)] - longest <= got <= size * weights[str(s)] + 1e-6
+    passes = {}
+    for r in mixed:
+        passes.setdefault((r.doc_id, r.text), []).append(r.epoch)
+    assert all(set(e) == set(range(1, max(e) + 1)) for e in passes.values())
+
+
+def test_covering_budget_keeps_every_document(corpus, corpus_rows):
+    mixed = mixing.mix(corpus, budget=None).collect()
+    assert {(r.doc_id, r.text) for r in mixed} == {(i, t) for i, t, _ in corpus_rows}
+
+
+# --- suffix-array dedup ------------------------------------------------------------
+
+@pytest.mark.parametrize("window, symbol", [(400, 40), (100, 20)])
+def test_repeated_bytes(corpus, corpus_rows, window, symbol):
+    got = suffix_dedup.repeats(corpus, window, symbol).collect()
+    cut = plain.cut_repeats([t for _, t, _ in corpus_rows], window)
+    want = [(i, len((t or "").encode()), removed, spans, plain.sha(kept)) for (i, t, _), (kept, removed, spans) in zip(corpus_rows, cut)]
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
+
+
+def test_texts_without_repeats(corpus, corpus_rows):
+    got = suffix_dedup.remove_repeats(corpus, 100, 20)
+    assert got.columns == corpus.columns
+    cut = plain.cut_repeats([t for _, t, _ in corpus_rows], 100)
+    want = [(i, None if t is None else kept.decode("utf-8", "ignore")) for (i, t, _), (kept, _, _) in zip(corpus_rows, cut)]
+    same([(r.doc_id, r.text) for r in got.collect()], want)
+
+
+@pytest.mark.parametrize("memory_mb", [0, 64])
+def test_column_wise_construction(memory_mb):
+    rng = random.Random(3)
+    for _ in range(15):
+        pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))).encode() for _ in range(rng.randint(1, 6))]
+        pieces = list(dict.fromkeys(pieces + [pieces[0][3:] + b"a"]))
+        flags, at = suffix_dedup.repeated_windows(pieces, 12, 3, memory_mb), 0
+        seen = [p[i:i + 12] for p in pieces for i in range(len(p) - 11)]
+        for p in pieces:
+            assert flags[at:at + len(p) - 11].tolist() == [seen.count(p[i:i + 12]) > 1 for i in range(len(p) - 11)]
+            at += len(p)
+
+
+# --- n-gram Jaccard join ------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_components(corpus, corpus_rows, block):
+    got = jaccard_join.jaccard_components(corpus, block).collect()
+    want = [(i, *found) for (i, _, _), found in zip(corpus_rows, plain.components([(i, t) for i, t, _ in corpus_rows]))]
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
+
+
+def test_index_keys_never_lose_a_link():
+    rng = np.random.default_rng(1)
+    for trial in range(300):
+        n = int(rng.integers(5, 400))
+        pool = rng.integers(1, 2**62, 2 * n, dtype=np.uint64)
+        a = np.unique(pool[:n])
+        drop = int(rng.integers(0, len(a) // 5 + 1))
+        b = np.unique(np.concatenate((a[drop // 2:], pool[n:n + drop // 2])))
+        shared = np.intersect1d(a, b)
+        if 100 * len(shared) < 80 * (len(a) + len(b) - len(shared)):
+            continue
+        own = dict(zip(pool.tolist(), rng.integers(2, 120, len(pool)).tolist()))
+        # others hold some of what only one of the two has
+        extra = np.array([x for x in np.union1d(a, b) if rng.random() < 0.5], np.uint64)
+        keys = []
+        for s in (a, b):
+            known = np.intersect1d(s, np.union1d(shared, extra))
+            keys.append(set(jaccard_join.index_keys(known, np.array([own[x] for x in known.tolist()]), len(s)).tolist()))
+        assert keys[0] & keys[1], (n, drop)
+
+
+# --- licence scan -------------------------------------------------------------------
+
+def test_licences(corpus, corpus_rows):
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(corpus).collect()}
+    assert rows[61].labels == "mit,reserved" and rows[61].n_base == 1 and rows[61].score == 1.0
+    assert rows[62].base_labels == "cc-by" and rows[62].labels == "cc-by,cc-by-nc-4.0" and rows[62].n_base == 3
+    assert (rows[62].first_word, rows[62].last_word) == (2, 9)
+    assert rows[50].n_words == 0 and rows[50].first_word is None and rows[0].labels == "" and rows[0].score == 0.0
+    assert sum(1 for r in license_scan.scan_licenses(corpus).collect()) == len(corpus_rows)
+
+
+# --- LM scores ----------------------------------------------------------------------
+
+def test_base_scores_and_likelihoods(corpus, corpus_rows):
+    got = hidden_markov.score_documents(corpus, states=3, top_words=20, rest_classes=16, ranges=3).collect()
+    want, total = plain.base_scores([(i, t) for i, t, _ in corpus_rows])
+    same([(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got], [(i, n, k, round(b, 6)) for (i, _, _), (n, k, b) in zip(corpus_rows, want)])
+    assert {r.train_tokens for r in got} == {total} and all(r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+def test_scaled_forward_equals_plain_sums():
+    rng = np.random.default_rng(2)
+    m = hidden_markov.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
+    lengths = np.array([4, 1, 7, 3])
+    seq = rng.integers(0, 5, lengths.sum())
+    got, at = hidden_markov.log_likelihoods(m, lengths, seq), 0
+    for n, value in zip(lengths, got):
+        p = m.start * m.emits[:, seq[at]]
+        for t in range(1, n):
+            p = (p @ m.moves) * m.emits[:, seq[at + t]]
+        assert value == pytest.approx(math.log10(p.sum()))
+        at += n
+
+
+def test_baum_welch_raises_the_likelihood():
+    rng = np.random.default_rng(4)
+    m = hidden_markov.Model(np.ones(2) / 2, np.array([[0.8, 0.2], [0.3, 0.7]]), rng.dirichlet(np.ones(6), 2))
+    lengths, trains = np.array([200, 90, 130]), np.array([True, True, True])
+    seq = np.concatenate([np.tile([0, 1, 2], 80), np.tile([3, 4, 5], 60)])
+    before = hidden_markov.log_likelihoods(m, lengths, seq).sum()
+    for _ in range(3):
+        s, a, b = hidden_markov.segment_counts(m, lengths, seq, trains)
+        assert b.sum() == pytest.approx(lengths.sum())
+        m = hidden_markov.Model(s / s.sum(), a / a.sum(1, keepdims=True), (b + 1e-9) / (b + 1e-9).sum(1, keepdims=True))
+    assert hidden_markov.log_likelihoods(m, lengths, seq).sum() > before
+
+
+# --- decontamination ------------------------------------------------------------------
+
+def test_leaks(spark, corpus, corpus_rows):
+    text = {i: t for i, t, _ in corpus_rows}
+    words = text[56].split()
+    items = [
+        (1, " ".join(text[7].split()[20:60])), (2, " ".join(words[3000:3040]) + "?\n" + " ".join(words[3040:3050])), (3, plain.prose(900, 40)), (4, None), (5, " "),
+        (6, " ".join(text[7].split()[20:60])), (7, " ".join(words[10:30]) + "? " + plain.prose(901, 30)),
+    ]
+    benchmark = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
+    for settings in ({}, {"max_index_mb": 0.0001}):
+        got = decontaminate.leaks(corpus, benchmark, **settings).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(7, 1), (7, 6), (56, 2)}
+    kept = decontaminate.decontaminate(corpus, benchmark)
+    assert kept.columns == corpus.columns
+    same([r.doc_id for r in kept.collect()], [i for i, _, _ in corpus_rows if i not in (7, 56)])
+    assert decontaminate.decontaminate(corpus, benchmark.limit(0)).count() == len(corpus_rows)
+
+
+def test_block_max_wand_equals_all_scores():
+    rng = random.Random(8)
+    items = [(i, plain.prose(rng.randrange(40), rng.randint(3, 30))) for i in range(150)]
+    split = [decontaminate.words(t) for _, t in items]
+    df = {}
+    for s in split:
+        for w in set(s):
+            df[w] = df.get(w, 0) + 1
+    index = decontaminate.Index(items, df, len(items), sum(map(len, split)) / len(split))
+    for q in range(60):
+        terms = sorted({index.terms[w] for w in rng.choice(split) + rng.choice(split)[:5]})
+        for threshold in (0.2, 0.6, 0.95):
+            scores = [math.fsum(x for t in terms for i, x in zip(index.items[t], index.impacts[t]) if i == item) for item in range(len(items))]
+            assert sorted(i for i, _ in index.search(terms, threshold)) == [i for i, s in enumerate(scores) if s >= threshold - 1e-9]
+
+
+# --- empty tables ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("which", ["nothing", "blank"])
+def test_empty_tables(spark, request, which):
+    docs = request.getfixturevalue(which)
+    n = docs.count()
+    assert token_counts.apply_edits(token_counts.redactions(token_counts.build_trees(docs), "x", "y")).count() == n
+    assert quality_rules.judge(docs.select("doc_id", "text")).where("not kept").count() == n
+    assert mixing.mix(docs).count() == n
+    assert suffix_dedup.repeats(docs).where("n_removed = 0").count() == n
+    assert suffix_dedup.remove_repeats(docs).count() == n
+    assert jaccard_join.jaccard_components(docs).where("component_id <=> doc_id").count() == n
+    assert license_scan.scan_licenses(docs).count() == n
+    assert hidden_markov.score_documents(docs, states=2, top_words=4, rest_classes=4, ranges=2).count() == n
+    assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
