@@ -27,7 +27,7 @@ you youd youll youre yours yourself yourselves your youve
 """.split()
 
 # Limits and defaults.
-PAGE_CAP = 300                # pages kept per document
+LARGE_PAGES = 300             # a document of more pages gets a warning
 FEW_CHARS = 30                # below this a document counts as unreadable
 SECTION_MIN_CHARS = 15        # a section is longer than this
 TRAIN_MIN_CHARS = 10          # a training text is longer than this

@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.fixed_values import (
@@ -24,9 +25,8 @@ from .evaluation import classification_metrics, classification_report, confusion
 from .splitting import stratified_split
 from .terms import smooth_idf, sublinear, term_frequency
 
-# Each of the hundred or so gradient passes costs one task per partition, so a
-# small training set is best held in few of them.
-_ROWS_PER_TASK = 10_000
+# A sparse vector is stored as a struct; read back with this schema it is a vector.
+_FEATURES = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
 
 MODEL_TABLES = ("terms", "classes", "metrics", "class_report", "confusion_matrix", "training_run")
 
@@ -49,11 +49,6 @@ def vocabulary_topk(texts: DataFrame, size: int = VOCABULARY_CAP) -> DataFrame:
     return best.withColumn("position", position)
 
 
-@F.udf(VectorUDT())
-def _sparse(size, indices, values):
-    return Vectors.sparse(size, indices, values)
-
-
 @dataclass
 class TopicModel:
     """``terms``: term, idf, coefficients per class (≤ 4000 rows). ``classes``: name, intercept in order."""
@@ -138,16 +133,16 @@ def train_classifier(
     empty = F.array().cast("array<double>")
     features = train.join(vectors, row_id, "left").select(
         label.cast("double").alias("label"),
-        _sparse(
-            F.lit(size),
-            F.coalesce(F.transform("_p", lambda p: p["index"]), empty.cast("array<int>")),
-            F.coalesce(F.transform("_p", lambda p: p["_w"] / F.col("_norm")), empty),
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
+            F.coalesce(F.transform("_p", lambda p: p["index"]), empty.cast("array<int>")).alias("indices"),
+            F.coalesce(F.transform("_p", lambda p: p["_w"] / F.col("_norm")), empty).alias("values"),
         ).alias("features"),
     )
     regression = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n_train), elasticNetParam=0.0,
         standardization=False, maxIter=max_iterations,
-    ).fit(materialize(features, "features").coalesce(max(1, n_train // _ROWS_PER_TASK)))
+    ).fit(materialize(features, "features", _FEATURES))
 
     columns = regression.coefficientMatrix.toArray().T.tolist()
     coefficients = spark.createDataFrame(list(enumerate(columns)), "index int, coefficients array<double>")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed_values import PAGE_CAP, SECTION_MIN_CHARS
+from ..functions.fixed_values import SECTION_MIN_CHARS
 from ..session import cluster
-from ..sources.pages import assemble_pages
+from ..sources.pages import assemble_pages, up_to
 
 SECTION_COLUMNS = ["doc_id", "section_id", "page_number", "text", "word_count"]
 
@@ -39,15 +39,13 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("word_count", _word_count())
 
 
-def sections_paged(pages: DataFrame, page_cap: int = PAGE_CAP) -> DataFrame:
+def sections_paged(pages: DataFrame, page_cap: int | None = None) -> DataFrame:
     """Sections of paged documents, numbered without gaps through the kept ones.
 
-    The page cap bounds a document to 300 page rows, and with it every group of
-    the numbering window; it also reaches the scan as a pushed filter.
+    A group of the numbering window holds one document's pages. A text is put
+    together only for documents none of whose pages has a section.
     """
-    kept = cluster(
-        pages.where(F.col("page_number") <= page_cap).select("doc_id", "page_number", "text"), "doc_id"
-    )
+    kept = cluster(up_to(pages, page_cap).select("doc_id", "page_number", "text"), "doc_id")
     page_text = kept.select("doc_id", "page_number", T.strip(F.col("text")).alias("_page"))
     pieces = T.paragraphs(T.clean_text(F.col("_page")))
     usable = F.when(F.size(pieces) > 0, pieces).otherwise(F.array("_page"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # The head join broadcasts at most this many rows, with keys of at most this
 # many characters: a few megabytes, whatever the table size.
 HEAD_ROWS = 20_000
@@ -80,12 +82,18 @@ def weigh_in_scope(tf: DataFrame, scope: list[str], row: list[str], n: str = "n"
     return normalise(weighted, row)
 
 
-def weigh_in_corpus(tf: DataFrame, row: list[str], n: Column, normalised: bool = True) -> DataFrame:
-    """Weights with the whole table as the scope. ``tf`` is read three times: pass a stored table."""
-    df = document_frequency(tf, [])
+def weigh_in_corpus(
+    tf: DataFrame, row: list[str], n: Column, normalised: bool = True, rows: DataFrame | None = None
+) -> DataFrame:
+    """Weights with the whole table as the scope, for all of ``tf`` or only some of its ``rows``.
+
+    ``tf`` is read three times: pass a stored table. Document frequencies are
+    counted once and stored.
+    """
+    df = materialize(document_frequency(tf, []), "document-frequency")
     postings = tf.agg(F.count(F.lit(1))).scalar()
     weighted = (
-        attach_by_frequency(tf, df, ["term"], "df", total=postings)
+        attach_by_frequency(tf if rows is None else rows, df, ["term"], "df", total=postings)
         .withColumn("idf", smooth_idf(n, F.col("df")))
         .withColumn("weight", sublinear(F.col("tf")) * F.col("idf"))
     )

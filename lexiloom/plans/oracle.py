@@ -8,7 +8,7 @@ character is fenced with ``\\x01`` so that a boundary becomes a character.
 from __future__ import annotations
 
 from ..functions.fixed_values import STOP_WORDS, UNDETERMINED, TOO_BRIEF_MESSAGE
-from .queries import HIGHLIGHT_QUERY, WARNING_PAGE_CAP
+from .queries import HIGHLIGHT_QUERY, WARNING_PAGES
 
 # The public English stop list of Spark ML's StopWordsRemover.
 SPARK_ENGLISH_STOP_WORDS = """
@@ -241,12 +241,14 @@ sections AS (
           SELECT doc_id, 1::BIGINT, c FROM cut WHERE c <> '' AND doc_id NOT IN (SELECT doc_id FROM kept)))"""
 
 
+ASSEMBLED = f"""(SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_number) FILTER (t <> ''), '') AS text
+    FROM (SELECT conv_id AS doc_id, turn + 1 AS page_number, {strip("replace(text, chr(10), chr(10) || chr(10))")} AS t FROM conversations) GROUP BY doc_id)"""
 PAGED_SOURCE = "(SELECT conv_id AS doc_id, turn + 1 AS page_number, replace(text, chr(10), chr(10) || chr(10)) AS text FROM conversations)"
 
 
 def sections_paged(source: str = PAGED_SOURCE) -> str:
     return f"""
-page AS (SELECT doc_id, page_number, {strip('text')} AS t FROM {source} WHERE page_number <= 300),
+page AS (SELECT doc_id, page_number, {strip('text')} AS t FROM {source}),
 cut AS (SELECT doc_id, page_number, CASE WHEN len(p) > 0 THEN p ELSE [t] END AS p
         FROM (SELECT *, {paragraphs(clean('t'))} AS p FROM page)),
 paras AS (SELECT doc_id, page_number, generate_subscripts(p, 1) AS pos, unnest(p) AS text FROM cut),
@@ -272,8 +274,8 @@ raw AS (SELECT c.*, df, idf, (1 + ln(tf)) * idf AS w FROM counts c JOIN vocabula
 postings AS (SELECT * EXCLUDE w, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, section_id)) AS weight FROM raw)"""
 
 
-USER_TURNS = """queries AS (SELECT conv_id || '-' || turn AS query_id, conv_id AS doc_id, text AS query
-    FROM conversations WHERE role = 'user')"""
+TURNS = """queries AS (SELECT conv_id || '-' || turn AS query_id, conv_id AS doc_id, text AS query FROM conversations)"""
+FIRST_LINES = "queries AS (SELECT doc_id AS query_id, doc_id, string_split(text, chr(10))[1] AS query FROM documents)"
 PASSAGES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
@@ -403,17 +405,17 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
                  ELSE 'The file is empty (0 bytes of text).' END AS message
             FROM routed WHERE extension NOT IN ('.txt', '.pdf') OR {strip('content')} = ''""",
         "assemble_pages": f"""WITH p AS (SELECT *, {strip('text')} AS t FROM {PAGES}),
-            d AS (SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_number) FILTER (t <> '' AND page_number <= 300), '') AS raw_text,
-                count(*) AS page_count, coalesce(sum(length(t)) FILTER (page_number <= 300), 0)::BIGINT AS char_count FROM p GROUP BY doc_id)
+            d AS (SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_number) FILTER (t <> ''), '') AS raw_text,
+                count(*) AS page_count, coalesce(sum(length(t)), 0)::BIGINT AS char_count FROM p GROUP BY doc_id)
             SELECT doc_id, raw_text, page_count, char_count, 'Untitled' AS title, coalesce(nullif(source, ''), 'Unknown') AS author
             FROM d LEFT JOIN documents USING (doc_id)""",
         "ingest_warnings": f"""WITH p AS (SELECT *, {strip('text')} AS t FROM {PAGES}),
-            d AS (SELECT doc_id, count(*) AS n, coalesce(sum(length(t)) FILTER (page_number <= {WARNING_PAGE_CAP}), 0) AS chars FROM p GROUP BY doc_id)
+            d AS (SELECT doc_id, count(*) AS n, coalesce(sum(length(t)), 0) AS chars FROM p GROUP BY doc_id)
             SELECT doc_id, n AS page_count, concat_ws('|',
-                CASE WHEN n > {WARNING_PAGE_CAP} THEN 'Large document detected (' || n || ' pages): only the first {WARNING_PAGE_CAP} pages are kept.' END,
+                CASE WHEN n > {WARNING_PAGES} THEN 'Large document detected (' || n || ' pages): all pages are kept.' END,
                 CASE WHEN chars < 30 THEN 'Very little or no selectable text found: probably a scan or vector graphics.' END) AS warnings FROM d""",
         "page_breakdown": f"""SELECT doc_id, page_number, {strip('text')} AS text, length({strip('text')}) AS char_count
-            FROM {PAGES} WHERE page_number <= 300""",
+            FROM {PAGES}""",
         "labelled_clean": f"SELECT * FROM {LABELLED}",
         "clean_text": f"SELECT doc_id, {clean('text')} AS text FROM {MESSY}",
         "paragraphs": exploded(MESSY, paragraphs(clean("text")), "paragraph"),
@@ -443,20 +445,21 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
             df AS (SELECT term, count(*) AS df FROM background GROUP BY term),
             weights AS (SELECT doc_id, term, {corpus_weights} FROM tf JOIN df USING (term) WHERE doc_id IN {long_docs}),
             {_keyword_rank('weights')} SELECT * FROM keywords""",
+        "keywords_single_background": f"WITH {local_keywords(DOUBLED)} SELECT * FROM local_keywords",
         "keywords_fallback": f"WITH {_cleaned('documents')}, {_fallback_keywords(LONG_ENOUGH)} SELECT * FROM fallback",
         "sections": f"WITH {sections(DOUBLED)} SELECT * FROM sections",
         "sections_paged": f"WITH {sections_paged()} SELECT * FROM sections",
         "section_counts": f"WITH {sections_paged()} SELECT doc_id, count(*) AS section_count FROM sections GROUP BY doc_id",
         "section_tfidf": f"""WITH {sections(DOUBLED)}, {postings()}
             SELECT doc_id, section_id, term, tf, df, round(weight, 4) AS weight FROM postings""",
-        "query_vector": f"""WITH {sections_paged()}, {postings()}, {USER_TURNS}, {vectors(True)}
+        "query_vector": f"""WITH {sections_paged()}, {postings()}, {TURNS}, {vectors(True)}
             SELECT query_id, scope AS doc_id, term, round(weight, 4) AS weight FROM vectors""",
-        "search_topk": full_search(sections_paged(), USER_TURNS, True, 5, 0.05),
-        "search_zero_threshold": full_search(sections_paged(), USER_TURNS, True, 10, 0),
-        "search_every_document": f"""WITH {sections(DOUBLED)}, {postings()}, {PASSAGES}, {vectors(False)}, {vector_hits(1, 0.05)}
-            {projected('hits', highlight_tokens('query'), False)}""",
-        "search_fallback": f"""WITH {sections(DOUBLED)}, {postings()}, {PASSAGES}, {vectors(False)}, {fallback_hits(False, 1)}
-            {projected('fallback_hits', ALL_WORDS, False)}""",
+        "search_topk": full_search(sections_paged(), TURNS, True, 5, 0.05),
+        "search_zero_threshold": full_search(sections_paged(), TURNS, True, 10, 0),
+        "search_every_document": f"""WITH {sections(DOUBLED)}, {postings()}, {FIRST_LINES}, {vectors(True)}, {vector_hits(1, 0.05)}
+            {projected('hits', highlight_tokens('query'), True)}""",
+        "search_fallback": f"""WITH {sections_paged()}, {postings()}, {TURNS.replace("conv_id AS doc_id", "conv_id + 1 AS doc_id")}, {vectors(True)}, {fallback_hits(True, 1)}
+            {projected('fallback_hits', ALL_WORDS, True)}""",
         "search_corpus": full_search(sections(DOUBLED), PASSAGES, False, 5, 0.05, "0"),
         "predict_gate": f"""SELECT doc_id, CASE WHEN length({strip('text')}) < 10 THEN '{UNDETERMINED}' ELSE 'Classified' END AS outcome,
             CASE WHEN length({strip('text')}) < 10 THEN '{TOO_BRIEF_MESSAGE}' ELSE 'Success' END AS message FROM documents""",
@@ -476,6 +479,13 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
             UNION ALL SELECT 'weighted avg', round(precision_weighted, 4), round(recall_weighted, 4), round(f1_weighted, 4), support FROM averages""",
         "document_report": f"""WITH {local_keywords(DOUBLED)}, {STATISTICS}, {sections(DOUBLED).replace("cut AS", "cut2 AS").replace("FROM cut", "FROM cut2")}
             SELECT stats.*, coalesce(k.keywords, '') AS keywords, coalesce(n.section_count, 0) AS section_count FROM stats
-            LEFT JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM local_keywords WHERE rank <= 10 GROUP BY doc_id) k USING (doc_id)
+            LEFT JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM local_keywords GROUP BY doc_id) k USING (doc_id)
             LEFT JOIN (SELECT doc_id, count(*) AS section_count FROM sections GROUP BY doc_id) n USING (doc_id)""",
+        "document_report_paged": f"""WITH {local_keywords(ASSEMBLED)}, {STATISTICS}, {sections_paged().replace("cut AS", "cut2 AS").replace("FROM cut)", "FROM cut2)")}
+            SELECT stats.* REPLACE (p.n AS page_count), coalesce(k.keywords, '') AS keywords, coalesce(n.section_count, 0) AS section_count FROM stats
+            JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) p USING (doc_id)
+            LEFT JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM local_keywords GROUP BY doc_id) k USING (doc_id)
+            LEFT JOIN (SELECT doc_id, count(*) AS section_count FROM sections GROUP BY doc_id) n USING (doc_id)""",
+        "blank_documents": f"""WITH {FILES} SELECT doc_id, 'BLANK_TEXT' AS error_code, 'No text could be extracted.' AS message FROM routed WHERE {strip('content')} = ''""",
+        "ingest_plain": f"""SELECT source || '/' || doc_id || '.txt' AS doc_id, 1::BIGINT AS page_number, text FROM documents WHERE {strip('text')} <> ''""",
     }

@@ -15,11 +15,11 @@ from ..operators import evaluation, keywords, search, splitting, statistics, ter
 from ..operators import sections as S
 from ..session import cluster, shared_folder
 from ..sources import files, labelled, pages
-from ..sources.tables import fan_out, read_table
+from ..sources.tables import read_table
 from . import report
 
 HIGHLIGHT_QUERY = "the report of la und die, de el que"
-WARNING_PAGE_CAP = 4
+WARNING_PAGES = 4
 _MODEL_FORMAT = "topic-model-1"
 
 
@@ -30,10 +30,6 @@ def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return read_table(spark, folder, "documents").select(*wanted)
 
 
-def _spread(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return fan_out(_documents(spark, folder, *columns), "doc_id")
-
-
 def _blank_lines(docs: DataFrame) -> DataFrame:
     """The texts have single line breaks only; doubled, each line is a paragraph."""
     return docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
@@ -60,10 +56,9 @@ def _conversation_sections(spark, folder) -> DataFrame:
     return S.sections_paged(_blank_lines(_conversation_pages(spark, folder)))
 
 
-def _user_turns(spark, folder) -> DataFrame:
-    """Every user turn is a question to its own conversation."""
-    turns = read_table(spark, folder, "conversations").where(F.col("role") == "user")
-    return turns.select(
+def _turns(spark, folder) -> DataFrame:
+    """Every turn is a question to its own conversation."""
+    return read_table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("query")
     )
 
@@ -143,7 +138,7 @@ def assemble_pages(spark, folder):
 
 
 def ingest_warnings(spark, folder):
-    docs = pages.assemble_pages(_conversation_pages(spark, folder), page_cap=WARNING_PAGE_CAP)
+    docs = pages.assemble_pages(_conversation_pages(spark, folder), large_pages=WARNING_PAGES)
     return docs.select("doc_id", "page_count", F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -158,7 +153,7 @@ def labelled_clean(spark, folder):
 # --- text -------------------------------------------------------------------
 
 def clean_text(spark, folder):
-    return _messy(_spread(spark, folder)).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return _messy(_documents(spark, folder)).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
 def _exploded(docs: DataFrame, pieces, name: str) -> DataFrame:
@@ -168,29 +163,29 @@ def _exploded(docs: DataFrame, pieces, name: str) -> DataFrame:
 
 
 def paragraphs(spark, folder):
-    return _exploded(_messy(_spread(spark, folder)), T.paragraphs(T.clean_text(F.col("text"))), "paragraph")
+    return _exploded(_messy(_documents(spark, folder)), T.paragraphs(T.clean_text(F.col("text"))), "paragraph")
 
 
 def sentences(spark, folder):
-    return _exploded(_spread(spark, folder), T.sentences(T.clean_text(F.col("text"))), "sentence")
+    return _exploded(_documents(spark, folder), T.sentences(T.clean_text(F.col("text"))), "sentence")
 
 
 def tokenize_words(spark, folder):
-    return _exploded(_spread(spark, folder), T.word_tokens(F.col("text")), "token")
+    return _exploded(_documents(spark, folder), T.word_tokens(F.col("text")), "token")
 
 
 def preprocess_for_ml(spark, folder):
-    return _spread(spark, folder).select("doc_id", T.preprocess_for_ml(F.col("text"), ["Report", "ing"]).alias("text"))
+    return _documents(spark, folder).select("doc_id", T.preprocess_for_ml(F.col("text"), ["Report", "ing"]).alias("text"))
 
 
 def ngrams(spark, folder):
     tokens = T.without_stop_words(T.keyword_tokens(F.col("text")))
-    return _exploded(_spread(spark, folder), T.terms(tokens), "ngram")
+    return _exploded(_documents(spark, folder), T.terms(tokens), "ngram")
 
 
 def highlight(spark, folder):
     marks = T.highlight_tokens(F.lit(HIGHLIGHT_QUERY))
-    return _spread(spark, folder).select(
+    return _documents(spark, folder).select(
         "doc_id",
         T.highlight(F.col("text"), marks).alias("highlighted_text"),
         F.array_join(T.matched_terms(F.col("text"), marks), "|").alias("matched_terms"),
@@ -200,7 +195,7 @@ def highlight(spark, folder):
 # --- statistics and terms ----------------------------------------------------
 
 def document_statistics(spark, folder):
-    return statistics.document_statistics(_blank_lines(_spread(spark, folder)))
+    return statistics.document_statistics(_blank_lines(_documents(spark, folder)))
 
 
 def term_frequency(spark, folder):
@@ -217,7 +212,7 @@ def inverse_document_frequency(spark, folder):
 # --- keywords ---------------------------------------------------------------
 
 def keyword_scope(spark, folder):
-    return keywords.keyword_scope(_blank_lines(_spread(spark, folder)))
+    return keywords.keyword_scope(_blank_lines(_documents(spark, folder)))
 
 
 def keywords_local(spark, folder):
@@ -234,6 +229,12 @@ def keywords_background(spark, folder):
     return keywords.keywords_corpus(items, background=_documents(spark, folder))
 
 
+def keywords_single_background(spark, folder):
+    """A background of one text: the documents' own scopes serve."""
+    one = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text").where(F.col("doc_id") == 0)
+    return keywords.keywords_corpus(_paragraph_documents(spark, folder), background=one)
+
+
 def keywords_fallback(spark, folder):
     return keywords.keywords_fallback(_documents(spark, folder))
 
@@ -245,7 +246,7 @@ def keyword_table(spark, folder):
 # --- sections and search -----------------------------------------------------
 
 def sections(spark, folder):
-    return S.sections(_blank_lines(_spread(spark, folder)))
+    return S.sections(_blank_lines(_documents(spark, folder)))
 
 
 def sections_paged(spark, folder):
@@ -263,7 +264,7 @@ def section_tfidf(spark, folder):
 
 def query_vector(spark, folder):
     postings = search.section_tfidf(_conversation_sections(spark, folder))
-    vector = search.query_vector(postings, _user_turns(spark, folder))
+    vector = search.query_vector(postings, _turns(spark, folder))
     return vector.withColumn("weight", F.round("weight", 4))
 
 
@@ -272,28 +273,30 @@ def _flat(hits: DataFrame) -> DataFrame:
 
 
 def search_topk(spark, folder):
-    return _flat(search.search(_conversation_sections(spark, folder), _user_turns(spark, folder)))
+    return _flat(search.search(_conversation_sections(spark, folder), _turns(spark, folder)))
 
 
 def search_zero_threshold(spark, folder):
     found = search.search(
-        _conversation_sections(spark, folder), _user_turns(spark, folder), top_k=10, threshold=0.0
+        _conversation_sections(spark, folder), _turns(spark, folder), top_k=10, threshold=0.0
     )
     return _flat(found)
 
 
 def search_every_document(spark, folder):
-    """Each benchmark text put to each document, best section only, vector search."""
-    found = search.search(_document_sections(spark, folder), _passages(spark, folder), top_k=1, fallback=False)
-    return _flat(found)
+    """Every document asked with its own first line, best section only, vector search."""
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    own = _documents(spark, folder).select(F.col("doc_id").alias("query_id"), "doc_id", first.alias("query"))
+    return _flat(search.search(_document_sections(spark, folder), own, top_k=1, fallback=False))
 
 
 def search_fallback(spark, folder):
-    """Benchmark texts in the documents with which they share no term."""
-    cut, passages = _document_sections(spark, folder), _passages(spark, folder)
-    answered = search.rank_sections(search.section_tfidf(cut), passages, 1).select("query_id", "doc_id")
-    ranked = search.rank_fallback(cut, passages, answered, 1)
-    return _flat(search.project_hits(ranked, cut, passages, mark_all_words=True))
+    """Every turn put to the conversation after its own, where they share no term."""
+    cut = _conversation_sections(spark, folder)
+    turns = _turns(spark, folder).withColumn("doc_id", F.col("doc_id") + 1)
+    answered = search.rank_sections(search.section_tfidf(cut), turns, 1).select("query_id", "doc_id")
+    ranked = search.rank_fallback(cut, turns, answered, 1)
+    return _flat(search.project_hits(ranked, cut, turns, mark_all_words=True))
 
 
 def search_corpus(spark, folder):
@@ -376,6 +379,27 @@ def document_report(spark, folder):
     return report.document_report(_paragraph_documents(spark, folder))
 
 
+def document_report_paged(spark, folder):
+    """The conversations as paged documents."""
+    paged = _blank_lines(_conversation_pages(spark, folder))
+    docs = pages.assemble_pages(paged).select("doc_id", F.col("raw_text").alias("text"), "page_count")
+    return report.document_report(docs, pages=paged)
+
+
+def blank_documents(spark, folder):
+    """Files without text, as documents for the quarantine."""
+    docs = _files(spark, folder).select("doc_id", files.decode_text(F.col("content")).alias("raw_text"))
+    return files.blank_documents(docs)
+
+
+def ingest_plain(spark, folder):
+    """Every document as a text file, unchanged."""
+    rows = _documents(spark, folder, "source").select(
+        "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")
+    )
+    return files.text_pages(files.ingest_documents(files.with_file_name(rows)))
+
+
 def document_report_with_topic(spark, folder):
     return report.document_report(_paragraph_documents(spark, folder), model=_model(spark, folder))
 
@@ -384,9 +408,9 @@ REGISTERED = [
     ingest_route, decode_text, ingest_documents, ingest_errors, assemble_pages, ingest_warnings, page_breakdown,
     labelled_clean, clean_text, paragraphs, sentences, tokenize_words, preprocess_for_ml, ngrams, highlight,
     document_statistics, term_frequency, inverse_document_frequency, keyword_scope, keywords_local, keywords_corpus,
-    keywords_background, keywords_fallback, keyword_table, sections, sections_paged, section_counts, section_tfidf,
+    keywords_background, keywords_single_background, keywords_fallback, keyword_table, sections, sections_paged, section_counts, section_tfidf,
     query_vector, search_topk, search_zero_threshold, search_every_document, search_fallback, search_corpus,
     predict_gate, stratified_split, vocabulary_topk, training_summary, confusion_matrix, classification_metrics,
     classification_report, train_classifier, model_roundtrip, predict, probability_table, document_report,
-    document_report_with_topic,
+    document_report_with_topic, document_report_paged, blank_documents, ingest_plain,
 ]

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(name: str = "lexiloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -28,43 +27,28 @@ def build_session(name: str = "lexiloom", master: str | None = None, **settings:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder()
-
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexiloom-")
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write a table that several later stages read, and read it back.
 
     Used where recomputing would repeat the expensive tokenising; the written
-    table also survives the loss of executors.
+    table also survives the loss of executors. ``schema`` reads the columns as
+    other types of the same stored shape.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def task_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def cluster(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows by key once; later steps on the same keys need no shuffle.
 
-    The partition count is given explicitly: token work is heavy per byte, so
-    adaptive coalescing by bytes would leave cores idle.
+    The number of partitions is left to adaptive execution, which keeps the
+    cores busy on small tables and partitions of bounded size on large ones.
     """
-    return df.repartition(task_count(df.sparkSession), *keys)
+    return df.repartition(*keys)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +14,19 @@ PDF_EXTENSION = ".pdf"
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """All files below a folder: ``path, file_name, content``.
 
-    A scan leaves out files of length 0, though the file index lists them; they
-    are added from the index, so that they reach the quarantine.
+    A scan leaves out files of length 0. With a ``manifest`` (``path, length``,
+    a storage inventory) those listed there are added, so that they reach the
+    quarantine; without one they are not reported.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = [(re.sub("^file:/+", "file:/", unquote(name)),) for name in files.inputFiles()]
-    names = spark.createDataFrame(listed, "path string")
-    missing = names.join(files.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
-    return with_file_name(files.select("path", "content").unionByName(missing)).select("path", "file_name", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    if manifest is not None:
+        empty = manifest.where(F.col("length") == 0).select("path").distinct()
+        missing = empty.join(files.select("path"), "path", "left_anti")
+        files = files.unionByName(missing.withColumn("content", F.lit(b"")))
+    return with_file_name(files).select("path", "file_name", "content")
 
 
 def with_file_name(files: DataFrame) -> DataFrame:
@@ -102,6 +101,11 @@ def ingest_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def text_pages(documents: DataFrame) -> DataFrame:
+    """Ingested text files as page rows: a text file is one page."""
+    return documents.select("doc_id", F.lit(1).cast("long").alias("page_number"), F.col("raw_text").alias("text"))
+
+
 def ingest_errors(files: DataFrame) -> DataFrame:
     """Quarantine rows: a bad file never fails the job."""
     bad = _checked(files).where(F.col("error_code").isNotNull())

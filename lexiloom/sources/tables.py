@@ -4,20 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import task_count
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the cluster if the table lies in fewer splits than there are cores.
-
-    Meant for a plain scan: asking for its split count starts no job. A table
-    with enough splits, the normal case at scale, is left alone and row-local
-    operators run on it without any shuffle.
-    """
-    spark = df.sparkSession
-    wanted = min(spark.sparkContext.defaultParallelism, task_count(spark))
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

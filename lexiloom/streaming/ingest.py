@@ -16,7 +16,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str |
     Ingestion and statistics are row-local, so each micro-batch runs the batch
     operators unchanged. A batch writes to folders named after its id: if it is
     repeated after a failure, it overwrites its own output. Files of length 0
-    never reach a stream; ``files.read_files`` reports those.
+    never reach a stream; ``files.read_files`` reports those a manifest lists.
     """
     arrived = (
         spark.readStream.format("binaryFile")

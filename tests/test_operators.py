@@ -109,6 +109,10 @@ def test_keywords_corpus(spark):
     target = spark.createDataFrame([(1, "shared bread unseen turbines bread")], "doc_id long, text string")
     got = keywords.keywords_corpus(target, 5, background=docs).orderBy("rank").collect()
     assert [r.keyword for r in got] == [e[0] for e in plain_keywords(list(texts.values()), "shared bread unseen turbines bread", 5)]
+    alone = keywords.keywords_corpus(docs, 5, background=docs.limit(1))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, keywords.keywords_local(docs, 5).collect()))
+    digits = spark.createDataFrame([(1, "1234 5678 1234 5678 1234")], "doc_id long, text string")
+    assert [(r.keyword, r.frequency) for r in keywords.keywords_corpus(digits).orderBy("rank").collect()] == [("1234", 3), ("5678", 2)]
 
 
 @pytest.mark.parametrize("head_rows", [1, 3, 1000])
@@ -133,12 +137,14 @@ def test_sections_keep_paragraph_positions(spark):
 
 
 def test_paged_sections_are_numbered_without_gaps(spark):
-    rows = [(1, 1, "Head\n\nThe first long paragraph."), (1, 2, "  "), (1, 3, "Exactly15 chars\n\nSixteen chars ok"), (1, 301, "A page beyond the page cap."),
+    rows = [(1, 1, "Head\n\nThe first long paragraph."), (1, 2, "  "), (1, 3, "Exactly15 chars\n\nSixteen chars ok"), (1, 301, "A page far behind the others."),
             (2, 2, "b"), (2, 1, "a"), (3, 1, "")]
     pages = spark.createDataFrame(rows, "doc_id long, page_number long, text string")
     got = [(r.doc_id, r.section_id, r.page_number, r.text) for r in sections.sections_paged(pages).orderBy("doc_id", "section_id").collect()]
-    assert got == [(1, 1, 1, "The first long paragraph."), (1, 2, 3, "Sixteen chars ok"), (2, 1, 1, "a\n\nb")]
-    assert {r.doc_id: r.section_count for r in sections.section_counts(sections.sections_paged(pages)).collect()} == {1: 2, 2: 1}
+    assert got == [(1, 1, 1, "The first long paragraph."), (1, 2, 3, "Sixteen chars ok"), (1, 3, 301, "A page far behind the others."), (2, 1, 1, "a\n\nb")]
+    assert {r.doc_id: r.section_count for r in sections.section_counts(sections.sections_paged(pages)).collect()} == {1: 3, 2: 1}
+    capped = sections.sections_paged(pages, page_cap=300)
+    assert capped.where("page_number > 300").count() == 0 and capped.count() == 3
 
 
 # --- search -------------------------------------------------------------------
@@ -157,6 +163,12 @@ def asked(spark):
     return spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string").cache()
 
 
+@pytest.fixture(scope="module")
+def targeted(cut, asked):
+    """Every query put to every document of the small fixture."""
+    return asked.join(cut.select("doc_id").distinct()).cache()
+
+
 def plain_search(texts, query, top_k, threshold):
     """texts: {key: text} of one scope; gives [(key, score)]."""
     model = plain.Tfidf([plain.search_terms(t) for t in texts.values()])
@@ -174,11 +186,11 @@ def plain_search(texts, query, top_k, threshold):
 
 
 @pytest.mark.parametrize("scope,threshold", [("document", 0.05), ("document", 0.3), ("document", 0.0), ("corpus", 0.99), ("corpus", 0.0)])
-def test_search_equals_brute_force(cut, asked, scope, threshold):
+def test_search_equals_brute_force(cut, asked, targeted, scope, threshold):
     texts = {(r.doc_id, r.section_id): r.text for r in cut.collect()}
     key = (lambda r: (r.query_id, r.doc_id)) if scope == "document" else (lambda r: r.query_id)
     found = defaultdict(list)
-    for r in search.search(cut, asked, 3, threshold, scope).orderBy("query_id", "doc_id", "rank").collect():
+    for r in search.search(cut, targeted if scope == "document" else asked, 3, threshold, scope).orderBy("query_id", "doc_id", "rank").collect():
         found[key(r)].append(r)
     docs = {d for d, _ in texts}
     for q, query in enumerate(QUERIES):
@@ -191,6 +203,11 @@ def test_search_equals_brute_force(cut, asked, scope, threshold):
     assert not found
 
 
+def test_queries_without_a_document_need_the_corpus_scope(cut, asked):
+    with pytest.raises(ValueError):
+        search.search(cut, asked)
+
+
 def test_targeted_queries_reach_only_their_document(spark, cut):
     queries = spark.createDataFrame([("a", 2, "turbine bread"), ("b", 1, "rust wind"), ("c", 2, "rust zzz")], "query_id string, doc_id long, query string")
     hits = search.search(cut, queries, 2).collect()
@@ -200,16 +217,16 @@ def test_targeted_queries_reach_only_their_document(spark, cut):
 
 
 def test_hits_are_highlighted(cut, spark):
-    hit = search.search(cut, spark.createDataFrame([(1, "the TURBINE blades!")], "query_id long, query string"), 1).where("doc_id = 1").first()
+    hit = search.search(cut, spark.createDataFrame([(1, 1, "the TURBINE blades!")], "query_id long, doc_id long, query string"), 1).first()
     assert 'search-match' in hit.highlighted_text and hit.matched_terms == ["blades", "turbine"]
     assert hit.score > 0.1 and hit.score_percent == pytest.approx(hit.score * 100, abs=0.06) and hit["rank"] == 1
     assert "turbine blades" in hit.raw_text and hit.word_count == len(plain.words(hit.raw_text))
 
 
-def test_stored_index_gives_the_same_hits(spark, cut, asked):
+def test_stored_index_gives_the_same_hits(spark, cut, asked, targeted):
     search.write_index(search.section_tfidf(cut), "section_index", 4)
-    stored = search.search(cut, asked, 2, postings=spark.table("section_index"))
-    assert sorted(map(str, stored.collect())) == sorted(map(str, search.search(cut, asked, 2).collect()))
+    stored = search.search(cut, targeted, 2, postings=spark.table("section_index"))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, search.search(cut, targeted, 2).collect()))
     spark.sql("DROP TABLE section_index")
     whole = search.corpus_tfidf(cut)
     assert sorted(map(str, search.search(cut, asked, 2, scope="corpus", postings=whole).collect())) == sorted(
@@ -272,6 +289,14 @@ def model(spark, labelled, tmp_path_factory):
     return classifier.load_or_train(labelled, str(tmp_path_factory.mktemp("model") / "topics"))
 
 
+def test_six_classes_of_twelve_rows(spark):
+    names = ["ship", "bake", "moon", "coin", "lawn", "drum"]
+    rows = [(k * 12 + i, n, " ".join(f"{n}word{(i * 5 + j * 3) % 11}" for j in range(9)) + " seen by all of them") for k, n in enumerate(names) for i in range(12)]
+    labelled = spark.createDataFrame(rows, "doc_id long, category string, text string")
+    tables = classifier.train_classifier(labelled).tables
+    assert tables["metrics"].first().accuracy >= 0.7 and tables["confusion_matrix"].count() == 6
+
+
 def test_training_results(model):
     metrics = model.tables["metrics"].first()
     assert metrics.accuracy >= 0.7 and 0 < metrics.f1_macro <= 1
@@ -329,5 +354,13 @@ def test_scores_equal_the_softmax_of_the_unit_vector(spark, labelled, model):
 def test_report_keeps_every_document(spark, library, model):
     rows = {r.doc_id: r for r in report.document_report(library, model=model).collect()}
     assert set(rows) == {1, 2, 3, 4, 5}
-    assert rows[1].section_count == 4 and len(rows[1].keywords.split(", ")) == 10 and rows[3].section_count == 0
+    assert rows[1].section_count == 4 and len(rows[1].keywords.split(", ")) == 15 and rows[3].section_count == 0
     assert rows[3].predicted_category == "Undetermined" and rows[4].keywords == "" and rows[5].section_count == 1
+
+
+def test_report_of_paged_documents(spark):
+    rows = [(1, k, f"Page {k} is long enough.\n\nIts second paragraph too.") for k in range(1, 4)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_number long, text string")
+    docs = spark.createDataFrame([(1, "\n\n".join(r[2] for r in rows), 3), (None, "lost", 1)], "doc_id long, text string, page_count long")
+    got = report.document_report(docs, pages=pages).collect()
+    assert [(r.doc_id, r.page_count, r.section_count) for r in got] == [(1, 3, 6)]

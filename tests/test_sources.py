@@ -20,7 +20,11 @@ def folder(tmp_path):
 
 
 def test_files_become_documents_or_quarantine_rows(spark, folder):
-    read = files.read_files(spark, folder)
+    import os
+
+    found = [(f"file:{root}/{n}", os.path.getsize(f"{root}/{n}")) for root, _, names in os.walk(folder) for n in names]
+    read = files.read_files(spark, folder, spark.createDataFrame(found, "path string, length long"))
+    assert files.read_files(spark, folder).where("length(content) = 0").count() == 0
     docs = {r.file_name: r for r in files.ingest_documents(read).collect()}
     assert {n: r.raw_text for n, r in docs.items()} == {
         "a.txt": "Plain text.", "latin.TXT": "Café déjà", "bom.txt": "﻿hello",
@@ -33,6 +37,7 @@ def test_files_become_documents_or_quarantine_rows(spark, folder):
     }
     assert "Unsupported file format '.docx'" in errors["report.docx"].message and "empty" in errors["zero.txt"].message
     assert [r.file_name for r in files.pdf_files(read).collect()] == ["scan.pdf"]
+    assert {(r.page_number, r.text) for r in files.text_pages(files.ingest_documents(read)).collect()} == {(1, d.raw_text) for d in docs.values()}
 
 
 def test_extension(spark):
@@ -50,13 +55,16 @@ def test_pdf_status_and_blank_documents(spark):
     assert sorted(r.doc_id for r in files.blank_documents(docs).collect()) == [1, 3]
 
 
-def test_pages_are_capped_and_joined(spark):
+def test_pages_are_joined(spark):
     many = spark.range(1, 302).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_number"), F.concat(F.lit(" p"), "id").alias("text"))
     few = spark.createDataFrame([(2, 2, "tail "), (2, 1, " "), (2, 3, "end")], "doc_id int, page_number long, text string")
     about = spark.createDataFrame([(1, "Book", "")], "doc_id int, title string, author string")
     docs = {r.doc_id: r for r in pages.assemble_pages(many.unionByName(few), metadata=about).collect()}
-    assert docs[1].page_count == 301 and docs[1].raw_text.startswith("p1\n\np2\n\np3") and docs[1].raw_text.endswith("p300")
-    assert docs[1].warnings == ["Large document detected (301 pages): only the first 300 pages are kept."]
+    assert docs[1].page_count == 301 and docs[1].raw_text.startswith("p1\n\np2\n\np3") and docs[1].raw_text.endswith("p301")
+    assert docs[1].warnings == ["Large document detected (301 pages): all pages are kept."]
+    capped = pages.assemble_pages(many, page_cap=300).first()
+    assert capped.raw_text.endswith("p300") and capped.warnings == ["Large document detected (301 pages): only pages up to 300 are kept."]
+    assert pages.page_breakdown(many).count() == 301
     assert docs[1].metadata["title"] == "Book" and docs[1].metadata["author"] == "Unknown"
     assert docs[2].raw_text == "tail\n\nend" and docs[2].char_count == 7 and docs[2].page_count == 3
     assert len(docs[2].warnings) == 1 and "selectable text" in docs[2].warnings[0]
