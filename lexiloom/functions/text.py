@@ -35,6 +35,14 @@ KEYWORD_TOKEN = rf"{_BEFORE}[a-zA-Z]{{3,}}(?:-[a-zA-Z]{{3,}})*{_AFTER}"
 SEARCH_TOKEN = rf"{_BEFORE}[a-zA-Z0-9]{{2,}}{_AFTER}"
 CLASSIFIER_TOKEN = rf"{_WORD}{{2,}}"
 
+# Patterns of cleaning, paragraphs and sentences.
+LINE_ENDS = r"\r\n?"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+SPACE_RUNS = r"[ \t]+"
+BLANK_LINE_RUNS = r"\n{3,}"
+PARAGRAPH_BREAK = rf"\n{SPACE}*\n+"
+SENTENCE_BREAK = rf"""(?<=[.!?]){SPACE}+(?=[A-Z0-9"'])"""
+
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` removes only U+0020)."""
@@ -46,10 +54,10 @@ def clean_text(text: Column) -> Column:
     c = F.coalesce(text, F.lit(""))
     c = F.translate(c, "“”‘’", "\"\"''")
     c = F.regexp_replace(c, "[–—]", " - ")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    c = F.regexp_replace(c, LINE_ENDS, "\n")
+    c = F.regexp_replace(c, CONTROLS, "")
+    c = F.regexp_replace(c, SPACE_RUNS, " ")
+    c = F.regexp_replace(c, BLANK_LINE_RUNS, "\n\n")
     return strip(c)
 
 
@@ -60,7 +68,7 @@ def _pieces(cleaned: Column, boundary: str) -> Column:
 
 def paragraphs(cleaned: Column) -> Column:
     """Paragraphs of an already cleaned text: blank lines separate them."""
-    return _pieces(cleaned, rf"\n{SPACE}*\n+")
+    return _pieces(cleaned, PARAGRAPH_BREAK)
 
 
 def sentences(cleaned: Column) -> Column:
@@ -69,7 +77,7 @@ def sentences(cleaned: Column) -> Column:
     A boundary is white space after ``. ! ?`` and before an ASCII capital,
     a digit or a quote. Abbreviations are not special.
     """
-    return _pieces(cleaned, rf"""(?<=[.!?]){SPACE}+(?=[A-Z0-9"'])""")
+    return _pieces(cleaned, SENTENCE_BREAK)
 
 
 def word_tokens(text: Column, lower: bool = True) -> Column:
