@@ -91,7 +91,7 @@ def load_or_train(labelled: DataFrame, path: str, **settings) -> TopicModel:
     return load_model(spark, path)
 
 
-def _known_terms(texts: DataFrame, vocabulary: DataFrame, keep: list[str]) -> DataFrame:
+def known_terms(texts: DataFrame, vocabulary: DataFrame, keep: list[str]) -> DataFrame:
     """``keep, tf`` and the vocabulary columns for the known terms of each text."""
     counts = term_frequency(texts, keep, _terms(F.col("text")))
     return counts.join(F.broadcast(vocabulary), "term")
@@ -117,7 +117,7 @@ def train_classifier(
 
     vocabulary = materialize(vocabulary_topk(train, vocabulary_size), "vocabulary")
     known = vocabulary.select("term", (F.col("position") - 1).cast("int").alias("index"))
-    counted = _known_terms(train, known, [row_id, "category"])
+    counted = known_terms(train, known, [row_id, "category"])
     idf = counted.groupBy("term", "index").agg(F.count(F.lit(1)).alias("df")).select(
         "term", "index", smooth_idf(F.lit(n_train), F.col("df")).alias("idf")
     )
@@ -184,6 +184,14 @@ def predict_gate(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def vectors(model: TopicModel, docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Unit TF-IDF vectors over the model's vocabulary as rows: ``row_id, term, tf, weight``."""
+    known = known_terms(cluster(docs.select(row_id, F.col(text).alias("text")), row_id), model.terms.select("term", "idf"), [row_id])
+    raw = sublinear(F.col("tf")) * F.col("idf")
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(row_id)))
+    return known.select(row_id, "term", "tf", (raw / norm).alias("weight"))
+
+
 def predict(model: TopicModel, docs: DataFrame, row_id: str = "doc_id", text: str = "text", hard: bool = False) -> DataFrame:
     """Category, confidence and all class probabilities per text.
 

@@ -376,6 +376,31 @@ averages AS (SELECT (sum(hit) / sum(support))::DOUBLE AS accuracy, avg(precision
     sum(precision * support) / sum(support) AS precision_weighted, sum(recall * support) / sum(support) AS recall_weighted,
     sum(f1 * support) / sum(support) AS f1_weighted, sum(support)::BIGINT AS support FROM per_class)"""
 
+LANGUAGES = ("de", "en", "es", "fr")
+_EACH = range(len(LANGUAGES))
+MODEL = f"""
+labelled AS (SELECT doc_id, category, {classifier_tokens('text')} AS t FROM {LABELLED}),
+label_terms AS (SELECT doc_id, category, term, count(*) AS tf FROM
+    (SELECT doc_id, category, unnest({grams('t')}) AS term FROM labelled) GROUP BY ALL),
+term_totals AS (SELECT term, sum(tf) AS total, count(*) AS df FROM label_terms GROUP BY term
+    QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= 4000),
+model AS (SELECT term, any_value(ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1) AS idf,
+    {", ".join(f"round(8 * coalesce(sum(tf) FILTER (category = '{c}'), 0) / any_value(total), 4) AS c{i}" for i, c in enumerate(LANGUAGES))}
+    FROM term_totals JOIN label_terms USING (term) GROUP BY term)"""
+VECTORS = f"""
+texts AS (SELECT doc_id, s, length(s) < 10 AS brief FROM (SELECT doc_id, {strip("coalesce(text, '')")} AS s FROM documents)),
+doc_terms AS (SELECT doc_id, term, count(*) AS tf FROM
+    (SELECT doc_id, unnest({grams('t')}) AS term FROM (SELECT doc_id, {classifier_tokens('s')} AS t FROM texts)) GROUP BY ALL),
+doc_weights AS (SELECT d.*, (1 + ln(tf)) * idf AS w, {", ".join(f"c{i}" for i in _EACH)} FROM doc_terms d JOIN model USING (term))"""
+PREDICTIONS = f"""{MODEL}, {VECTORS},
+margins AS (SELECT doc_id, brief, {", ".join(f"coalesce(m{i}, 0.0) AS m{i}" for i in _EACH)} FROM texts LEFT JOIN
+    (SELECT doc_id, {", ".join(f"sum(w * c{i}) / sqrt(sum(w * w)) AS m{i}" for i in _EACH)} FROM doc_weights GROUP BY doc_id) USING (doc_id)),
+powers AS (SELECT doc_id, brief, list_transform([{", ".join(f"m{i}" for i in _EACH)}], lambda m: exp(m - greatest({", ".join(f"m{i}" for i in _EACH)}))) AS e FROM margins),
+shares AS (SELECT doc_id, brief, list_transform(e, lambda x: x / list_sum(e)) AS p FROM powers),
+predictions AS (SELECT doc_id, brief, p, CASE WHEN brief THEN '{UNDETERMINED}' ELSE ([{_quoted(LANGUAGES)}])[list_position(p, list_max(p))] END AS predicted_category,
+    CASE WHEN brief THEN 0.0 ELSE round(list_max(p) * 100, 2) END AS confidence, CASE WHEN brief THEN 0.0 ELSE round(list_max(p), 6) END AS confidence_raw,
+    CASE WHEN brief THEN '{TOO_BRIEF_MESSAGE}' ELSE 'Success' END AS message FROM shares)"""
+
 STATISTICS = f"""
 measured AS (SELECT doc_id, {words('c')} AS w, length(c) AS with_spaces,
     length(regexp_replace(c, '{SPACE}', '', 'g')) AS without, len({paragraphs('c')}) AS p, len({sentences('c')}) AS s FROM cleaned),
@@ -481,6 +506,20 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
             SELECT stats.*, coalesce(k.keywords, '') AS keywords, coalesce(n.section_count, 0) AS section_count FROM stats
             LEFT JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM local_keywords GROUP BY doc_id) k USING (doc_id)
             LEFT JOIN (SELECT doc_id, count(*) AS section_count FROM sections GROUP BY doc_id) n USING (doc_id)""",
+        "model_roundtrip": f"""WITH {MODEL} SELECT term, round(idf, 6) AS idf, {", ".join(f"c{i} AS coefficient_{c}" for i, c in enumerate(LANGUAGES))} FROM model""",
+        "classifier_vectors": f"""WITH {MODEL}, {VECTORS}
+            SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 4) AS weight FROM doc_weights""",
+        "predict": f"WITH {PREDICTIONS} SELECT doc_id, predicted_category, confidence, confidence_raw, message FROM predictions",
+        "predict_hard": f"WITH {PREDICTIONS} SELECT doc_id, predicted_category, CASE WHEN brief THEN 0.0 ELSE 100.0 END::DOUBLE AS confidence FROM predictions",
+        "probability_table": f"""WITH {PREDICTIONS}, listed AS (SELECT doc_id, brief, unnest(p) AS x, unnest([{_quoted(LANGUAGES)}]) AS category FROM predictions),
+            percent AS (SELECT doc_id, category, CASE WHEN brief THEN 0.0 ELSE round(x * 100, 2) END AS probability FROM listed)
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, category)::BIGINT AS rank, category, probability FROM percent""",
+        "document_report_with_topic": f"""WITH {local_keywords(DOUBLED)}, {STATISTICS}, {sections(DOUBLED).replace("cut AS", "cut2 AS").replace("FROM cut", "FROM cut2")},
+            {PREDICTIONS.replace("AS s FROM documents)", f"AS s FROM {DOUBLED})")}
+            SELECT stats.*, coalesce(k.keywords, '') AS keywords, coalesce(n.section_count, 0) AS section_count, predicted_category, confidence, message FROM stats
+            LEFT JOIN (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS keywords FROM local_keywords GROUP BY doc_id) k USING (doc_id)
+            LEFT JOIN (SELECT doc_id, count(*) AS section_count FROM sections GROUP BY doc_id) n USING (doc_id)
+            LEFT JOIN predictions USING (doc_id)""",
         "document_report_paged": f"""WITH {local_keywords(ASSEMBLED)}, {STATISTICS}, {sections_paged().replace("cut AS", "cut2 AS").replace("FROM cut)", "FROM cut2)")}
             SELECT stats.* REPLACE (p.n AS page_count), coalesce(k.keywords, '') AS keywords, coalesce(n.section_count, 0) AS section_count FROM stats
             JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) p USING (doc_id)

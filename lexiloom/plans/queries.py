@@ -6,6 +6,8 @@ by value across engines; the operators themselves return them as they are.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,13 @@ from ..functions import text as T
 from ..operators import classifier as C
 from ..operators import evaluation, keywords, search, splitting, statistics, terms
 from ..operators import sections as S
-from ..session import cluster, shared_folder
+from ..session import cluster, materialize, shared_folder
 from ..sources import files, labelled, pages
 from ..sources.tables import read_table
 from . import report
 
 HIGHLIGHT_QUERY = "the report of la und die, de el que"
 WARNING_PAGES = 4
-_MODEL_FORMAT = "topic-model-1"
 
 
 # --- inputs -----------------------------------------------------------------
@@ -341,32 +342,59 @@ def classification_report(spark, folder):
     return evaluation.classification_report(_guesses(spark, folder))
 
 
-def _model_path(spark, folder) -> str:
-    return f"{shared_folder(spark)}/models/{_MODEL_FORMAT}/{folder.strip('/').replace('/', '_')}"
+def _model_path(spark) -> str:
+    return f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+
 
+def _share_model(spark, folder) -> C.TopicModel:
+    """A model in closed form: a term's coefficients are its shares among the languages, times eight.
 
-def _model(spark, folder) -> C.TopicModel:
-    """Trained on first use, read back afterwards."""
-    return C.load_or_train(_language_rows(spark, folder), _model_path(spark, folder))
+    It is scored by the same code as a trained one, and every value can be checked.
+    """
+    rows = _language_rows(spark, folder)
+    vocabulary = materialize(C.vocabulary_topk(rows).select("term", "total"), "vocabulary")
+    counted = C.known_terms(rows, vocabulary, ["doc_id", "category"])
+    held = [F.sum(F.when(F.col("category") == c, F.col("tf")).otherwise(0)).alias(f"_c{i}") for i, c in enumerate(_LANGUAGES)]
+    per_term = counted.groupBy("term", "total").agg(F.count(F.lit(1)).alias("df"), *held)
+    shares = [F.round(8 * F.col(f"_c{i}") / F.col("total"), 4) for i in range(len(_LANGUAGES))]
+    idf = terms.smooth_idf(F.lit(rows.count()), F.col("df"))
+    table = per_term.select("term", idf.alias("idf"), F.array(*shares).alias("coefficients"))
+    return C.TopicModel(materialize(table, "share-model"), list(_LANGUAGES), [0.0] * len(_LANGUAGES))
 
 
 def train_classifier(spark, folder):
     model = C.train_classifier(_language_rows(spark, folder))
-    model.save(_model_path(spark, folder))
-    return C.load_model(spark, _model_path(spark, folder)).tables["metrics"]
+    path = _model_path(spark)
+    model.save(path)
+    return C.load_model(spark, path).tables["metrics"]
 
 
 def model_roundtrip(spark, folder):
-    model = _model(spark, folder)
-    return model.terms.select("term", "idf", F.array_join(F.transform("coefficients", lambda c: c.cast("string")), " ").alias("coefficients"))
+    """The model's terms as they are after saving and loading."""
+    path = _model_path(spark)
+    _share_model(spark, folder).save(path)
+    model = C.load_model(spark, path)
+    named = [F.col("coefficients")[i].alias(f"coefficient_{c}") for i, c in enumerate(model.classes)]
+    return model.terms.select("term", F.round("idf", 6).alias("idf"), *named)
 
 
-def _predictions(spark, folder):
-    return C.predict(_model(spark, folder), _documents(spark, folder))
+def _predictions(spark, folder, hard=False):
+    return C.predict(_share_model(spark, folder), _documents(spark, folder), hard=hard)
 
 
 def predict(spark, folder):
-    return _predictions(spark, folder).select("doc_id", "predicted_category", "confidence", "confidence_raw", "message")
+    return _predictions(spark, folder).select(
+        "doc_id", "predicted_category", "confidence", F.round("confidence_raw", 6).alias("confidence_raw"), "message"
+    )
+
+
+def predict_hard(spark, folder):
+    return _predictions(spark, folder, hard=True).select("doc_id", "predicted_category", "confidence")
+
+
+def classifier_vectors(spark, folder):
+    vectors = C.vectors(_share_model(spark, folder), _documents(spark, folder))
+    return vectors.withColumn("weight", F.round("weight", 4))
 
 
 def probability_table(spark, folder):
@@ -401,7 +429,7 @@ def ingest_plain(spark, folder):
 
 
 def document_report_with_topic(spark, folder):
-    return report.document_report(_paragraph_documents(spark, folder), model=_model(spark, folder))
+    return report.document_report(_paragraph_documents(spark, folder), model=_share_model(spark, folder))
 
 
 REGISTERED = [
@@ -411,6 +439,7 @@ REGISTERED = [
     keywords_background, keywords_single_background, keywords_fallback, keyword_table, sections, sections_paged, section_counts, section_tfidf,
     query_vector, search_topk, search_zero_threshold, search_every_document, search_fallback, search_corpus,
     predict_gate, stratified_split, vocabulary_topk, training_summary, confusion_matrix, classification_metrics,
-    classification_report, train_classifier, model_roundtrip, predict, probability_table, document_report,
+    classification_report, train_classifier, model_roundtrip, predict, predict_hard, classifier_vectors, probability_table,
+    document_report,
     document_report_with_topic, document_report_paged, blank_documents, ingest_plain,
 ]

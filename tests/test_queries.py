@@ -36,15 +36,13 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_queries_without_sql_are_the_model_ones():
-    assert OWN - set(SQL) == {
-        "train_classifier", "model_roundtrip", "predict", "probability_table", "document_report_with_topic"
-    }
+def test_only_the_fit_has_no_sql():
+    assert OWN - set(SQL) == {"train_classifier"}
 
 
-def test_model_queries_run(spark):
-    counts = {name: entry_points.queries()[name](spark, FOLDER).count() for name in ("predict", "probability_table", "model_roundtrip")}
-    assert counts == {"predict": 200, "probability_table": 800, "model_roundtrip": 4000}
+def test_training_runs(spark):
+    metrics = entry_points.queries()["train_classifier"](spark, FOLDER).collect()
+    assert len(metrics) == 1 and metrics[0].accuracy >= 0.7
 
 
 def test_entry(spark):
