@@ -7,6 +7,9 @@ vocabulary cap, so it is broadcast and every document is scored where it lies.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
@@ -28,7 +31,9 @@ from .terms import smooth_idf, sublinear, term_frequency
 # A sparse vector is stored as a struct; read back with this schema it is a vector.
 _FEATURES = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
 
-MODEL_TABLES = ("terms", "classes", "metrics", "class_report", "confusion_matrix", "training_run")
+_PUBLISHED = "version string, saved_at double, signature string, tables array<string>"
+# The driver holds the class names and builds one column for each.
+MAX_CLASSES = 1000
 
 
 def _terms(text: Column) -> Column:
@@ -57,13 +62,18 @@ class TopicModel:
     classes: list[str]
     intercepts: list[float]
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    signature: str = ""
 
     def save(self, path: str) -> None:
+        """Write a new version, then publish it by one appended row: a reader sees the old version or the new one whole."""
         spark = self.terms.sparkSession
         rows = list(zip(range(len(self.classes)), self.classes, self.intercepts))
         classes = spark.createDataFrame(rows, "position int, name string, intercept double")
+        version = uuid.uuid4().hex
         for name, table in {"terms": self.terms, "classes": classes, **self.tables}.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            table.write.parquet(f"{path}/versions/{version}/{name}")
+        published = [(version, time.time(), self.signature, list(self.tables))]
+        spark.createDataFrame(published, _PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -72,22 +82,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_model(spark: SparkSession, path: str) -> TopicModel:
-    """Read a saved model; tables that were not saved are simply absent."""
-    classes = spark.read.parquet(f"{path}/classes").orderBy("position").collect()
-    extra = {
-        name: spark.read.parquet(f"{path}/{name}")
-        for name in MODEL_TABLES[2:] if _exists(spark, f"{path}/{name}/_SUCCESS")
-    }
+    """Read the version published last; tables that were not saved are simply absent."""
+    last = spark.read.schema(_PUBLISHED).parquet(f"{path}/published").orderBy(F.desc("saved_at")).first()
+    folder = f"{path}/versions/{last['version']}"
+    classes = spark.read.parquet(f"{folder}/classes").orderBy("position").collect()
+    extra = {name: spark.read.parquet(f"{folder}/{name}") for name in last["tables"]}
     return TopicModel(
-        spark.read.parquet(f"{path}/terms"), [r["name"] for r in classes], [r["intercept"] for r in classes], extra
+        spark.read.parquet(f"{folder}/terms"), [r["name"] for r in classes], [r["intercept"] for r in classes], extra, last["signature"]
     )
 
 
+def training_signature(labelled: DataFrame, settings: dict) -> str:
+    """Names the settings and the content of a training table, whatever the order of its rows."""
+    content = labelled.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("category", "text")).alias("h")).first()
+    return json.dumps({**settings, "rows": content["n"], "content": content["h"]}, sort_keys=True)
+
+
 def load_or_train(labelled: DataFrame, path: str, **settings) -> TopicModel:
-    """The saved model, or a new one trained and saved if there is none."""
+    """The saved model if it was trained on these rows with these settings, else a new one, trained and saved."""
     spark = labelled.sparkSession
-    if not _exists(spark, f"{path}/training_run/_SUCCESS"):
-        train_classifier(labelled, **settings).save(path)
+    signature = training_signature(labelled, settings)
+    if _exists(spark, f"{path}/published/_SUCCESS"):
+        saved = load_model(spark, path)
+        if saved.signature == signature:
+            return saved
+    model = train_classifier(labelled, **settings)
+    model.signature = signature
+    model.save(path)
     return load_model(spark, path)
 
 
@@ -112,7 +133,9 @@ def train_classifier(
     options = {k: v for k, v in (("share", test_share), ("seed", seed)) if v is not None}
     split = materialize(stratified_split(labelled, row_id, **options), "split")
     train = cluster(split.where(F.col("split") == "train").select(row_id, "category", "text"), row_id)
-    classes = [r[0] for r in split.select("category").distinct().orderBy("category").collect()]
+    classes = [r[0] for r in split.select("category").distinct().orderBy("category").limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     n_train = train.count()
 
     vocabulary = materialize(vocabulary_topk(train, vocabulary_size), "vocabulary")

@@ -328,8 +328,9 @@ def test_predictions(spark, model):
 def test_saved_model_is_used_again(spark, labelled, model, tmp_path):
     model.save(str(tmp_path / "copy"))
     copy = classifier.load_model(spark, str(tmp_path / "copy"))
-    nothing = labelled.limit(0)
-    assert classifier.load_or_train(nothing, str(tmp_path / "copy")).classes == model.classes
+    again = classifier.load_or_train(labelled.repartition(3), str(tmp_path / "copy"))
+    assert again.classes == model.classes and again.signature == model.signature
+    assert classifier.training_signature(labelled.limit(9), {}) != model.signature != classifier.training_signature(labelled, {"c": 1.0})
     docs = labelled.select("doc_id", "text")
     assert sorted(map(str, classifier.predict(copy, docs).collect())) == sorted(map(str, classifier.predict(model, docs).collect()))
     classifier.TopicModel(model.terms, model.classes, model.intercepts).save(str(tmp_path / "bare"))
