@@ -4,10 +4,10 @@ Every document is read in overlapping passages, each of which is a query. An
 item's BM25 impacts are divided by the score that the item gives itself, so the
 threshold is a share of the item found in a passage. Passages are at least twice
 as long as the longest item and overlap by half: an item always lies whole in
-one. All items at or above the threshold are retrieved: first, the upper bounds
-of a passage's terms are added up for all passages of a batch at once; where the
-sum reaches the threshold, WAND walks the postings with the maxima of terms and
-of blocks. Each retrieved pair is verified in the passage: shares of the
+one. All items at or above the threshold are retrieved: first, for all passages
+of a text at once, the impacts of each item's rarer terms are added up, and what
+its most common terms could add at most; where that reaches the threshold, WAND
+walks the postings with the maxima of terms and of blocks. Each retrieved pair is verified in the passage: shares of the
 question's and of the answer's word trigrams.
 
 The index travels to the tasks. It is built for ``max_index_mb`` of test texts
@@ -39,6 +39,8 @@ K1, B = 0.9, 0.4
 BLOCK = 16
 GRAM = 3
 MIN_PASSAGE = 128
+#: Share of an item that its most common terms may make up without being looked up for every passage.
+CERTAIN = 0.25
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -73,7 +75,7 @@ def overlap(wanted: list[str], passage: list[str]) -> float:
 class Index:
     """Postings by item number with normalised impacts, their maxima by term and by block."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_length: float):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_length: float, threshold: float = 1.0):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         split = [words(t) for _, t in items]
@@ -91,6 +93,38 @@ class Index:
         self.block_most = [[max(p[k:k + BLOCK]) for k in range(0, len(p), BLOCK)] for p in self.impacts]
         self.block_last = [[p[min(k + BLOCK, len(p)) - 1] for k in range(0, len(p), BLOCK)] for p in self.items]
 
+        self._split(min(CERTAIN, threshold / 2))
+
+    def _split(self, most: float) -> None:
+        """Set apart each item's smallest impacts, up to ``most`` in sum; the essential rest lies flat by term."""
+        rows = sorted((item, x, t) for t, (own, xs) in enumerate(zip(self.items, self.impacts)) for item, x in zip(own, xs))
+        self.spare, essential, held = np.zeros(len(self.ids)), [], 0.0
+        for k, (item, x, t) in enumerate(rows):
+            held = (0.0 if not k or rows[k - 1][0] != item else held) + x
+            if held <= most:
+                self.spare[item] = held
+            else:
+                essential.append((t, item, x))
+        essential.sort()
+        self.essential_items = np.array([i for _, i, _ in essential], np.int64)
+        self.essential_impacts = np.array([x for _, _, x in essential])
+        edges = np.searchsorted(np.array([t for t, _, _ in essential], np.int64), np.arange(len(self.terms) + 1))
+        self.essential_first, self.essential_count = edges[:-1], np.diff(edges)
+
+    def reachable(self, cells: np.ndarray, terms: np.ndarray, threshold: float) -> np.ndarray:
+        """The cells (passages) some item may reach the threshold in, from their distinct terms.
+
+        An item's score is at most its essential impacts found plus what was set
+        apart; items without an essential term in the cell stay below.
+        """
+        n = self.essential_count[terms]
+        if not n.sum():
+            return np.zeros(0, np.int64)
+        at = np.repeat(self.essential_first[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        pairs, where = np.unique(np.repeat(cells, n) * len(self.ids) + self.essential_items[at], return_inverse=True)
+        bound = np.bincount(where, weights=self.essential_impacts[at]) + self.spare[pairs % len(self.ids)]
+        return np.unique(pairs[bound >= threshold - 1e-9] // len(self.ids))
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score over the distinct terms reaches the threshold."""
         at = dict.fromkeys(terms, 0)
@@ -191,7 +225,7 @@ def _statistics(tests: DataFrame) -> tuple[dict[str, int], int, float]:
 
 def _finder(rows, stats, threshold, min_overlap):
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(rows, *stats)
+        index = Index(rows, *stats, threshold)
         longest = max((len(q) + len(a) for q, a in index.parts), default=0)
         size = max(MIN_PASSAGE, 2 * longest)
         known, n_terms = index.terms, max(1, len(index.terms))
@@ -213,8 +247,7 @@ def _finder(rows, stats, threshold, min_overlap):
                 both = np.concatenate([terms, terms[half > 0]])
                 fits = cells < n_passages
                 distinct = np.unique(cells[fits] * n_terms + both[fits])
-                bounds = np.bincount(distinct // n_terms, weights=index.most[distinct % n_terms], minlength=n_passages)
-                for p in np.flatnonzero(bounds >= threshold - 1e-9).tolist():
+                for p in index.reachable(distinct // n_terms, distinct % n_terms, threshold).tolist():
                     lo, hi = np.searchsorted(distinct, (p * n_terms, (p + 1) * n_terms))
                     hits = index.search((distinct[lo:hi] - p * n_terms).tolist(), threshold)
                     if hits:
