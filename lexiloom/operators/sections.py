@@ -74,4 +74,5 @@ def sections_paged(pages: DataFrame, page_cap: int | None = None) -> DataFrame:
 
 
 def section_counts(sections: DataFrame) -> DataFrame:
-    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"))
+    """Sections per document. Only ids are dealt, whatever way the sections were cut and united."""
+    return cluster(sections.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"))
