@@ -18,7 +18,9 @@ everything after works on classes.
    no pairs). Each is verified exactly by a search that compares a class with
    those not yet reached; components over ``block`` classes are dealt as pairs
    of blocks, so no task holds a whole one. Verified links, a spanning forest
-   of them, give the components.
+   of them, give the components. The same tasks count the links of each class,
+   every pair of blocks once, in numbers of documents: links are counted, not
+   listed.
 
 No cap on partners or candidates exists. Defined results: null and blank texts
 have empty sets and are linked with nothing; with fewer than five words the
@@ -242,27 +244,71 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         queue += hit.tolist()
 
 
-def _verified(placed: DataFrame, block: int) -> DataFrame:
-    """Verified links ``a, b`` inside candidate components ``uid, n, tokens, label``."""
+def link_counts(sizes: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], own: np.ndarray, within: set[int]) -> np.ndarray:
+    """For each set the copies of those it links with in another block, and in its own if that is one of ``within``."""
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edges = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    tokens = [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    marks, out = np.zeros(int(flat.max()) + 1, np.int32), np.zeros(len(sets), np.int64)
+    blocks = np.unique(own).tolist()
+    for y in blocks:
+        # by size: only sets within the threshold of each other's size are compared
+        right = np.flatnonzero(own == y)
+        right = right[np.argsort(sizes[right], kind="stable")]
+        pool = np.concatenate([tokens[i] for i in right.tolist()])
+        firsts = np.concatenate(([0], np.cumsum([len(tokens[i]) for i in right.tolist()])))
+        for x in blocks:
+            if x > y or (x == y and x not in within):
+                continue
+            for d in np.flatnonzero(own == x).tolist():
+                lo = int(np.searchsorted(sizes[right], -(-4 * sizes[d] // 5)))
+                hi = int(np.searchsorted(sizes[right], 5 * sizes[d] // 4, side="right"))
+                if lo == hi:
+                    continue
+                marks[tokens[d]] = 1
+                both = np.add.reduceat(marks[pool[firsts[lo]:firsts[hi]]], firsts[lo:hi] - firsts[lo])
+                marks[tokens[d]] = 0
+                near = right[lo:hi]
+                hit = near[(100 * both >= 80 * (sizes[near] + sizes[d] - both)) & (near != d)]
+                out[d] += copies[hit].sum()
+                if x != y:
+                    out[hit] += copies[d]
+    return out
+
+
+def _verified(placed: DataFrame, block: int, count_links: bool) -> DataFrame:
+    """Inside candidate components ``uid, n, copies, tokens, label``: verified links ``a, b``, and ``links`` of ``a`` where ``b`` is null."""
     sizes = placed.groupBy("label").agg(F.count("*").alias("members"))
     dealt = placed.join(sizes, "label").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: (i != F.col("own")) | (F.col("blocks") == 1))
     units = dealt.withColumn("other", F.explode(others)).select(
-        "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "n", "tokens"
+        "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "n", "copies", "own", "blocks", "tokens"
     )
 
     def verify(table: pa.Table) -> pa.Table:
         uids = table.column("uid").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         forest = linked(table.column("n").to_numpy(), sets) if len(uids) > 1 else []
-        return pa.table({"a": pa.array([uids[x] for x, _ in forest], pa.int64()), "b": pa.array([uids[y] for _, y in forest], pa.int64())})
+        a, b, links = [uids[x] for x, _ in forest], [uids[y] for _, y in forest], [None] * len(forest)
+        if forest and count_links:
+            i, j, blocks = (table.column(c)[0].as_py() for c in ("i", "j", "blocks"))
+            # the pairs inside a block are counted with the block that follows it
+            within = {x for x in (i, j) if {x, (x + 1) % blocks} == {i, j}}
+            counts = link_counts(table.column("n").to_numpy(), table.column("copies").to_numpy(), sets, table.column("own").to_numpy(), within)
+            a, b, links = a + uids, b + [None] * len(uids), links + counts.tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
-    return units.groupBy("label", "i", "j").applyInArrow(verify, "a long, b long")
+    return units.groupBy("label", "i", "j").applyInArrow(verify, "a long, b long, links long")
 
 
-def jaccard_components(docs: DataFrame, block: int = 1000) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_copies`` of every document."""
+def jaccard_components(docs: DataFrame, block: int = 1000, count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_members, n_links`` of every document.
+
+    ``n_members`` are the documents of the component, ``n_links`` those among them
+    that reach the threshold with this one, copies included; null where
+    ``count_links`` is off.
+    """
 
     sets = materialize(_sets(docs), "jaccard-sets")
     total = sets.agg(F.sum("n")).collect()[0][0] or 0
@@ -273,16 +319,22 @@ def jaccard_components(docs: DataFrame, block: int = 1000) -> DataFrame:
     least = keys.groupBy("key").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least <> most")
     near = keys.join(least.select("key", "least"), "key").select(F.col("uid").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     groups = components(near, "jaccard-near")
-    placed = classes.select("uid", "n", "tokens").join(groups.select(F.col("node").alias("uid"), "label"), "uid")
-    links = materialize(_verified(placed, block), "jaccard-links")
-    merged = components(links, "jaccard-links")
-    joined = sets.join(merged.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("_group", F.coalesce("label", "uid"))
+    copies = sets.where(F.col("uid").isNotNull()).groupBy("uid").agg(F.count("*").alias("copies"))
+    placed = classes.select("uid", "n", "tokens").join(groups.select(F.col("node").alias("uid"), "label"), "uid").join(copies, "uid")
+    found = materialize(_verified(placed, block, count_links), "jaccard-links")
+    merged = components(found.where(F.col("b").isNotNull()).select("a", "b"), "jaccard-links")
+    links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
+    # stored, so that the join with the documents can be dealt anew where a class has very many copies
+    known = materialize(copies.join(merged.select(F.col("node").alias("uid"), "label"), "uid", "left").join(links, "uid", "left"), "jaccard-known")
+    joined = sets.join(known, "uid", "left").withColumn("_group", F.coalesce("label", "uid"))
     named = joined.where(F.col("uid").isNotNull()).groupBy("_group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_members"))
     # an empty set stands for itself: its own key keeps such rows apart
     keyed = joined.withColumn("_group", F.coalesce("_group", F.col("doc_id")))
     out = keyed.join(named, (keyed["_group"] == named["_group"]) & keyed["uid"].isNotNull(), "left")
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)) if count_links else F.lit(None)
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_members", F.lit(1).cast("long")).alias("n_members"),
+        n_links.cast("long").alias("n_links"),
     )
 
 
@@ -292,5 +344,5 @@ def one_of_each(docs: DataFrame, block: int = 1000) -> DataFrame:
     Rows with one ``doc_id`` are one document. Rows without an id stay if one of
     them is linked with no known document.
     """
-    kept = jaccard_components(docs, block).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = jaccard_components(docs, block, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

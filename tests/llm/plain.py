@@ -27,9 +27,9 @@ def shingles(text):
 
 
 def components(rows):
-    """Number of shingles and smallest linked id for each row number."""
+    """Number of shingles, smallest linked id and number of links for each row number."""
     sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -40,11 +40,13 @@ def components(rows):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
     groups = defaultdict(list)
     for x, (i, _) in enumerate(rows):
         groups[find(x)].append(i)
     least = {g: min((i for i in ids if i is not None), default=None) for g, ids in groups.items()}
-    return [(len(sets[x]), least[find(x)]) for x in range(len(rows))]
+    return [(len(sets[x]), least[find(x)], links[x]) for x in range(len(rows))]
 
 
 def cut_repeats(texts, window):

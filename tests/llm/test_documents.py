@@ -143,7 +143,7 @@ def test_column_wise_construction(memory_mb):
 def test_components(corpus, corpus_rows, block):
     got = jaccard_join.jaccard_components(corpus, block).collect()
     want = [(i, *found) for (i, _, _), found in zip(corpus_rows, plain.components([(i, t) for i, t, _ in corpus_rows]))]
-    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
+    same([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got], want)
 
 
 def test_index_keys_never_lose_a_link():

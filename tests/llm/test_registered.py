@@ -42,7 +42,7 @@ def test_row_local_queries_return_every_row(spark, name):
 def test_pipeline_equals_a_plain_run(spark, corpus, corpus_rows):
     kept = {r.doc_id for r in quality_rules.kept_documents(corpus).collect()}
     docs = [(i, t) for i, t, _ in corpus_rows if i in kept]
-    docs = [d for d, (_, least) in zip(docs, plain.components(docs)) if d[0] == least]
+    docs = [d for d, (_, least, _) in zip(docs, plain.components(docs)) if d[0] == least]
     docs = [(i, raw.decode("utf-8", "ignore")) for (i, _), (raw, _, _) in zip(docs, plain.cut_repeats([t for _, t in docs], 400))]
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()
     docs = [(i, t) for i, t in docs if plain.WORD.search(t) and not any(decontaminate.overlap(decontaminate.words(b.text), decontaminate.words(t)) > 0.5 for b in items)]
