@@ -41,6 +41,8 @@ SEGMENT = 128
 COARSE = 192
 _END = np.uint64(1)  # stands for the end of a text among the word hashes
 _GROUP_TOKENS = 6_000_000
+_HASHED_BYTES = 500_000
+_SEGMENTS_AT_ONCE = 2048
 
 
 def held_out(doc_id) -> bool:
@@ -61,6 +63,19 @@ def _suffixes(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and suffix hashes and words per text; some texts at a time, as hashing takes many bytes for each byte read."""
+    edges, held = [0], 0
+    for i, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= _HASHED_BYTES or i == len(texts):
+            edges.append(i)
+            held = 0
+    found = [(*word_hashes(texts[a:b]), _suffixes(texts[a:b])) for a, b in zip(edges, edges[1:])]
+    hashes, per_text, suffixes = map(np.concatenate, zip(*found))
+    return hashes, per_text, suffixes
+
+
 _BLOCKS = "ids array<long>, lengths array<int>, tokens binary, words binary, counts binary, suffixes binary"
 _SCHEMA = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("tokens", "words", "counts", "suffixes")]])
 
@@ -68,10 +83,10 @@ _SCHEMA = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int3
 def _blocks(docs: DataFrame, rest_classes: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_parts(batches):
-            hashes, per_text = word_hashes(texts)
+            hashes, per_text, suffixes = _hashed(texts)
             ends = np.cumsum(per_text)
             all_tokens = np.insert(np.maximum(hashes, np.uint64(2)), ends, _END)
-            suffix = np.insert(_suffixes(texts) % np.uint64(rest_classes), ends, 0).astype(np.uint16)
+            suffix = np.insert(suffixes % np.uint64(rest_classes), ends, 0).astype(np.uint16)
             words, first, local = np.unique(all_tokens, return_index=True, return_inverse=True)
             trains = np.repeat(np.array([not held_out(i) for i in ids]), per_text + 1)
             counts = np.bincount(local[trains], minlength=len(words)).astype(np.int64)
@@ -291,6 +306,16 @@ def segment_counts(model: Model, lengths: np.ndarray, classes: np.ndarray, train
     order = np.argsort(begin - stop, kind="stable")
     begin, long = begin[order], (stop - begin)[order]
     table = np.ascontiguousarray(model.emits.T)
+    for a in range(0, len(begin), _SEGMENTS_AT_ONCE):
+        some = slice(a, a + _SEGMENTS_AT_ONCE)
+        starts, moves, emits = (x + y for x, y in zip((starts, moves, emits), _expected(model, table, begin[some], long[some], classes)))
+    return starts, moves, emits
+
+
+def _expected(model: Model, table: np.ndarray, begin: np.ndarray, long: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts over some segments, longest first, all at the same step at once."""
+    states = len(model.start)
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, model.emits.shape[1]))
     active = [int(np.searchsorted(-long, -t, side="left")) for t in range(int(long[0]) + 1)]
     seen, forward, scales = [], [], []
     alpha = None
