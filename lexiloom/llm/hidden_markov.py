@@ -76,6 +76,13 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, per_text, suffixes
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches one by one: a block's row is megabytes, a batch of them would be copied whole."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
+
+
 _BLOCKS = "ids array<long>, lengths array<int>, tokens binary, words binary, counts binary, suffixes binary"
 _SCHEMA = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("tokens", "words", "counts", "suffixes")]])
 
@@ -108,18 +115,17 @@ _RANGED_SCHEMA = pa.schema([("range", pa.int32()), ("block", pa.int64()), *[(c,
 
 def _by_range(blocks: DataFrame, ranges: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words, counts, suffixes in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = np.frombuffer(words, np.uint64)
-                counts, suffixes = _unplanes(counts, np.int64), _unplanes(suffixes, np.uint16)
-                part = (mix(words) % np.uint64(ranges)).astype(np.int32)
-                rows = {c: [] for c in _RANGED_SCHEMA.names}
-                for r in np.unique(part).tolist():
-                    own = np.flatnonzero(part == r)
-                    own = own[np.argsort(words[own])]
-                    for c, v in zip(rows, (r, block, _deltas(words[own]), _planes(counts[own]), _planes(suffixes[own]))):
-                        rows[c].append(v)
-                yield pa.RecordBatch.from_pydict(rows, schema=_RANGED_SCHEMA)
+        for block, words, counts, suffixes in _rows(batches):
+            words = np.frombuffer(words, np.uint64)
+            counts, suffixes = _unplanes(counts, np.int64), _unplanes(suffixes, np.uint16)
+            part = (mix(words) % np.uint64(ranges)).astype(np.int32)
+            rows = {c: [] for c in _RANGED_SCHEMA.names}
+            for r in np.unique(part).tolist():
+                own = np.flatnonzero(part == r)
+                own = own[np.argsort(words[own])]
+                for c, v in zip(rows, (r, block, _deltas(words[own]), _planes(counts[own]), _planes(suffixes[own]))):
+                    rows[c].append(v)
+            yield pa.RecordBatch.from_pydict(rows, schema=_RANGED_SCHEMA)
 
     return blocks.select("block", "words", "counts", "suffixes").mapInArrow(deal, _RANGED)
 
@@ -211,27 +217,27 @@ def _coded(blocks: DataFrame, counted: DataFrame, ranges: int, classes: Classes,
     total, distinct = int(n.sum()), int(v.sum())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, lengths, tokens, words, suffixes, totals in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                words, suffixes = np.frombuffer(words, np.uint64), _unplanes(suffixes, np.uint16)
-                part = mix(words) % np.uint64(ranges)
-                counts = np.zeros(len(words), np.int64)
-                for t in totals:
-                    own = np.flatnonzero(part == t["range"])
-                    counts[own[np.argsort(words[own])]] = _unplanes(t["counts"], np.int64)
-                own = classes.of(words, suffixes)
-                base = np.log10((counts + SMOOTH) / (total + SMOOTH * (distinct + 1)))
-                within = np.where((own > 0) & (own <= len(classes.top)), 0.0, np.log10((counts + SMOOTH) / (n[own] + SMOOTH * (v[own] + 1))))
-                within[own == 0] = 0.0
-                tokens = _unplanes(tokens, np.int32)
-                firsts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "ids": [ids], "lengths": [lengths], "classes": [_planes(own[tokens].astype(np.uint16))],
-                    "known": [np.add.reduceat((counts > 0).astype(np.int64)[tokens], firsts)],
-                    "base": [np.add.reduceat(base[tokens], firsts)], "within": [np.add.reduceat(within[tokens], firsts)],
-                }, schema=_CODED_SCHEMA)
-
-    joined = blocks.join(back, "block").select("ids", "lengths", "tokens", "words", "suffixes", "totals")
+        for ids, lengths, tokens, words, suffixes, totals in _rows(batches):
+            words, suffixes = np.frombuffer(words, np.uint64), _unplanes(suffixes, np.uint16)
+            part = mix(words) % np.uint64(ranges)
+            counts = np.zeros(len(words), np.int64)
+            for t in totals:
+                own = np.flatnonzero(part == t["range"])
+                counts[own[np.argsort(words[own])]] = _unplanes(t["counts"], np.int64)
+            own = classes.of(words, suffixes)
+            base = np.log10((counts + SMOOTH) / (total + SMOOTH * (distinct + 1)))
+            within = np.where((own > 0) & (own <= len(classes.top)), 0.0, np.log10((counts + SMOOTH) / (n[own] + SMOOTH * (v[own] + 1))))
+            within[own == 0] = 0.0
+            tokens = _unplanes(tokens, np.int32)
+            firsts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "ids": [ids], "lengths": [lengths], "classes": [_planes(own[tokens].astype(np.uint16))],
+                "known": [np.add.reduceat((counts > 0).astype(np.int64)[tokens], firsts)],
+                "base": [np.add.reduceat(base[tokens], firsts)], "within": [np.add.reduceat(within[tokens], firsts)],
+            }, schema=_CODED_SCHEMA)
+
+    # as many partitions as ranges, also where small ones would be united: a row takes many times its stored bytes
+    joined = blocks.repartition(ranges, "block").join(back, "block").select("ids", "lengths", "tokens", "words", "suffixes", "totals")
     return joined.mapInArrow(code, _CODED)
 
 
@@ -265,9 +271,8 @@ def _coarse_bigrams(coded: DataFrame, coarse: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for ids, lengths, classes in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            yield ids, np.array(lengths, np.int64), _unplanes(classes, np.uint16).astype(np.int64)
+    for ids, lengths, classes in _rows(batches):
+        yield ids, np.array(lengths, np.int64), _unplanes(classes, np.uint16).astype(np.int64)
 
 
 def first_model(bigrams: np.ndarray, coarse: np.ndarray, class_counts: np.ndarray, states: int, rounds: int = 60, seed: int = 7) -> Model:
@@ -398,13 +403,12 @@ def _scored(coded: DataFrame, model: Model, total: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
-        for batch in batches:
-            for ids, lengths, classes, known, base, within in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                held.append((ids, np.array(lengths, np.int64), _unplanes(classes, np.uint16), np.array(known, np.int64), np.array(base), np.array(within)))
-                tokens += sum(lengths)
-                if tokens >= _GROUP_TOKENS:  # long texts of several blocks share their steps
-                    yield emit(held)
-                    held, tokens = [], 0
+        for ids, lengths, classes, known, base, within in _rows(batches):
+            held.append((ids, np.array(lengths, np.int64), _unplanes(classes, np.uint16), np.array(known, np.int64), np.array(base), np.array(within)))
+            tokens += sum(lengths)
+            if tokens >= _GROUP_TOKENS:  # long texts of several blocks share their steps
+                yield emit(held)
+                held, tokens = [], 0
         if held:
             yield emit(held)
 
