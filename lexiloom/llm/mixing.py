@@ -1,9 +1,11 @@
 """Mixing sources to target weights by temperature, realised as block permutations.
 
 A source's weight is its share of tokens to the power of an exponent, divided by
-the sum over sources. The exponent is bisected: the entropy of the weights meets
-``entropy`` (a share of the largest possible one), or, where that would repeat a
-source more than ``max_repeats`` times, it rises until the limit holds.
+the sum over sources. ``entropy`` (a share of the largest possible one) is the
+least entropy of the weights: sources that have it already keep their own shares
+(exponent 1), others are evened out until it is met. Where that would repeat a
+source more than ``max_repeats`` times, the exponent rises until the limit holds,
+to 1 at most: weights are never sharper than the shares.
 
 Each source gets weight x budget tokens: whole passes over its documents, then a
 part of a pass. Documents lie in ``blocks`` blocks by hash; the last pass takes
@@ -16,7 +18,7 @@ sorted or shuffled, so a source with a third of all rows costs nothing extra.
 Defined results: a null source is a source of its own; null texts count no
 tokens and are emitted with the passes; equal rows of one document fall
 together; an empty table gives an empty result; a source without tokens is
-emitted once. Extra columns are returned as they are.
+emitted once; an entropy over 1 gives even weights, as 1 does. Extra columns are returned as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def mixing_weights(tokens: dict[str, int], entropy: float | None = 0.95, max_rep
     """Exponent, weights and budget in tokens.
 
     ``budget`` is a multiple of all tokens; None takes the smallest one under
-    which every source is read at least once.
+    which every source is read at least once. A fixed budget over ``max_repeats``
+    repeats some source more often under any weights, and raises.
     """
     total = sum(tokens.values())
     shares = {s: n / total for s, n in tokens.items() if n}
@@ -62,12 +65,14 @@ def mixing_weights(tokens: dict[str, int], entropy: float | None = 0.95, max_rep
         return high
 
     exponent = 1.0
-    if entropy is not None and len(shares) > 1:
-        exponent = bisect(0.0, 16.0, lambda a: flatness(a) > entropy * math.log(len(shares)))
-    if repeats(exponent) > max_repeats:
-        if exponent > 1 or repeats(1.0) > max_repeats:
+    if entropy is not None and flatness(1.0) < entropy * math.log(len(shares)):
+        exponent = bisect(0.0, 1.0, lambda a: flatness(a) > entropy * math.log(len(shares)))
+    # guards a limit that the natural shares meet exactly
+    limit = max_repeats * (1 + 1e-9)
+    if repeats(exponent) > limit:
+        if repeats(1.0) > limit:
             raise ValueError(f"no exponent keeps repetitions within {max_repeats}")
-        exponent = bisect(exponent, 1.0, lambda a: repeats(a) > max_repeats)
+        exponent = bisect(exponent, 1.0, lambda a: repeats(a) > limit)
     w = weights(exponent)
     return exponent, w, size(w)
 
@@ -107,7 +112,8 @@ def mix(
     # The block in which a source's last pass ends, and what is left of the quota there.
     upto = Window.partitionBy("_key").orderBy("_order", "_block")
     walked = sums.join(plan, "_key").withColumn("_sum", F.sum("_n").over(upto))
-    last = walked.where((F.col("_sum") > F.col("_rest")) & (F.col("_sum") - F.col("_n") <= F.col("_rest"))).where(F.col("_n") > 0)
+    # less than one token is no part of a pass: texts without tokens are not taken once more for it
+    last = walked.where(F.col("_rest") >= 1).where((F.col("_sum") > F.col("_rest")) & (F.col("_sum") - F.col("_n") <= F.col("_rest"))).where(F.col("_n") > 0)
     last = last.select("_key", F.col("_order").alias("_last_order"), (F.col("_rest") - (F.col("_sum") - F.col("_n"))).alias("_left"))
     ends = last.collect()  # one row per source
 

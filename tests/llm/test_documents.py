@@ -84,6 +84,31 @@ def test_exponent_meets_entropy_or_limit():
         mixing.mixing_weights(tokens, max_repeats=2.0, budget=3.0)
 
 
+@pytest.mark.parametrize("tiny", [None, 12])
+@pytest.mark.parametrize("budget", [None, 1.0])
+def test_even_sources_keep_their_shares(tiny, budget):
+    tokens = {f"s{i}": 6000 + 3 * i for i in range(20)} | ({"tiny": tiny} if tiny else {})
+    exponent, w, size = mixing.mixing_weights(tokens, entropy=0.97, max_repeats=4.0, budget=budget)
+    assert exponent == 1 and size == pytest.approx(sum(tokens.values()))
+    assert all(size * w[s] == pytest.approx(n) for s, n in tokens.items())
+
+
+def test_limits_of_entropy_and_repeats_are_met():
+    tokens = {"a": 9000, "b": 900, "c": 100}
+    for entropy in (1.0, 1.5):
+        _, w, _ = mixing.mixing_weights(tokens, entropy=entropy, max_repeats=100, budget=1.0)
+        assert all(x == pytest.approx(1 / 3) for x in w.values())
+    assert mixing.mixing_weights(tokens, entropy=0.97, max_repeats=1.0, budget=None)[0] == pytest.approx(1.0)
+    assert mixing.mixing_weights({"a": 7}, entropy=0.97, budget=None)[1] == {"a": 1.0}
+
+
+@pytest.mark.parametrize("budget", [None, 1.0])
+def test_a_tiny_source_beside_even_ones_is_kept(spark, budget):
+    rows = [(100 * s + i, plain.prose(100 * s + i, 60), f"s{s}") for s in range(20) for i in range(5)] + [(9000, "a b c", "tiny"), (9001, "", "s1")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy=0.97, max_repeats=4.0, budget=budget, blocks=4)
+    same([(r.doc_id, r.epoch) for r in mixed.collect()], [(i, 1) for i, _, _ in rows])
+
+
 def test_quotas_are_met_within_one_document(corpus, corpus_rows):
     mixed = mixing.mix(corpus, entropy=0.99, max_repeats=6.0, budget=1.0, blocks=8).collect()
     n = lambda t: len(plain.WORD.findall(t or ""))
