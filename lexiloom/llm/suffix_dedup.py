@@ -16,7 +16,12 @@ A byte goes if a ``window``-byte string that covers it starts anywhere else too.
    read and written in order; beyond ``memory_mb`` they are files. A window
    repeats where its suffix shares ``window / symbol_bytes`` symbols with a
    neighbour.
-3. Windows found are merged to spans per text.
+3. A key whose pieces exceed ``hot_bytes`` (a phrase shorter than the window in very
+   many surroundings) is no collection: equal pieces are counted and repeat as a
+   whole; of each distinct piece every window becomes a row with its own hash, and
+   hashes counted more than once mark their windows. Only counts and joins are
+   dealt, by a hash of the whole piece or window, so no task holds the key.
+4. Windows found are merged to spans per text.
 
 Everything works on distinct texts by SHA-256; copies of a text are only
 counted, and texts of ``window`` bytes with copies go whole.
@@ -36,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -45,6 +50,7 @@ from .shingles import _BYTE, _STEP, in_parts, mix
 WINDOW = 400
 GRAM = 32
 _RANGE_BYTES = 2_000_000
+_HOT_BYTES = 4 * _RANGE_BYTES
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -212,7 +218,7 @@ def _keyed(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _pieces(texts: DataFrame, ranges: int, window: int) -> DataFrame:
-    """The pieces of wanted runs, from rows of ``uid, text, runs``."""
+    """The pieces of wanted runs whose key is not hot, from rows of ``uid, text, runs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,6 +226,8 @@ def _pieces(texts: DataFrame, ranges: int, window: int) -> DataFrame:
             for uid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = (text or "").encode("utf-8", "replace")
                 for r in wanted:
+                    if r["hot"]:
+                        continue
                     rows["range"].append(r["key"] % ranges)
                     rows["uid"].append(uid)
                     rows["first"].append(r["first"])
@@ -259,6 +267,61 @@ def _found(pieces: DataFrame, window: int, symbol_bytes: int, memory_mb: int) ->
     return pieces.groupBy("range").applyInArrow(search, "uid binary, start int, stop int")
 
 
+def _hot_pieces(texts: DataFrame, window: int) -> DataFrame:
+    """The pieces of runs with a hot key, each place once: ``uid, first, piece``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
+        for batch in batches:
+            rows = {c: [] for c in shape.names}
+            for uid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw = (text or "").encode("utf-8", "replace")
+                for r in wanted:
+                    if r["hot"]:
+                        rows["uid"].append(uid)
+                        rows["first"].append(r["first"])
+                        rows["piece"].append(raw[r["first"]:r["last"] + window])
+                if len(rows["uid"]) >= 4000:
+                    yield pa.RecordBatch.from_pydict(rows, schema=shape)
+                    rows = {c: [] for c in rows}
+            if rows["uid"]:
+                yield pa.RecordBatch.from_pydict(rows, schema=shape)
+
+    return texts.select("uid", "text", "runs").mapInArrow(cut, "uid binary, first int, piece binary").dropDuplicates(["uid", "first"])
+
+
+def _hot_found(texts: DataFrame, window: int) -> DataFrame:
+    """Spans ``uid, start, stop`` of repeated bytes under hot keys, by counts of whole pieces and of single windows."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
+                uids, firsts, pieces, alone = (part.column(i).to_pylist() for i in range(4))
+                lengths = np.array([len(p) for p in pieces], np.int64)
+                count = lengths - window + 1
+                row = np.repeat(np.arange(len(pieces)), count)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hashes = _gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), window)[(np.cumsum(lengths) - lengths)[row] + within]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uids, pa.binary()).take(pa.array(row)), pa.array(np.array(firsts, np.int32)[row]), pa.array((np.array(firsts)[row] + within).astype(np.int32)),
+                    pa.array(hashes.view(np.int64)), pa.array(np.array(alone, bool)[row]),
+                ], ["uid", "first", "at", "hash", "alone"])
+
+    pieces = materialize(_hot_pieces(texts, window).withColumn("sha", F.unhex(F.sha2("piece", 256))), "suffix-hot")
+    place = F.xxhash64("uid", "first")
+    groups = pieces.groupBy("sha").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    known = pieces.join(groups, "sha")
+    whole = known.where("n > 1").select("uid", F.col("first").alias("start"), (F.col("first") + F.length("piece")).cast("int").alias("stop"))
+    distinct = known.where(place == F.col("one")).select("uid", "first", "piece", (F.col("n") == 1).alias("alone"))
+    windows = materialize(distinct.mapInArrow(hashed, "uid binary, first int, at int, hash long, alone boolean"), "suffix-windows")
+    twice = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    marked = windows.where("alone").join(twice, "hash").select("uid", "first", "at")
+    # neighbours make one span; a piece has at most as many windows as the window has grams
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("uid", "first").orderBy("at"))
+    parts = marked.withColumn("stretch", stretch).groupBy("uid", "first", "stretch").agg(F.min("at").alias("start"), (F.max("at") + window).cast("int").alias("stop"))
+    return whole.unionByName(parts.select("uid", "start", "stop"))
+
+
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for start, stop in sorted(spans):
@@ -269,20 +332,23 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _prepared(docs: DataFrame, window: int, symbol_bytes: int, memory_mb: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, window: int, symbol_bytes: int, memory_mb: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The keyed rows, one text with its wanted runs per distinct text, and the spans found by text."""
     keyed = materialize(_keyed(docs, window), "suffix-texts")
     one = keyed.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("chosen"), F.count("*").alias("copies"))
     chosen = keyed.join(one, "uid").where(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id"))).dropDuplicates(["uid"])
     each = chosen.select("uid", "doc_id", F.explode(F.arrays_zip("keys", "first", "last", "times")).alias("r")).select("uid", "doc_id", "r.*")
-    shared = each.groupBy("keys").agg(F.sum("times").alias("n")).where("n > 1").select("keys")
-    wanted = each.join(shared, "keys").groupBy("uid", "doc_id").agg(F.collect_list(F.struct(F.col("keys").alias("key"), "first", "last")).alias("runs"))
+    n_bytes = F.col("last") - F.col("first") + F.lit(window)
+    shared = each.groupBy("keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("keys", (F.col("bytes") > hot_bytes).alias("hot"))
+    wanted = each.join(shared, "keys").groupBy("uid", "doc_id").agg(F.collect_list(F.struct(F.col("keys").alias("key"), "first", "last", "hot")).alias("runs"))
     wanted = materialize(wanted, "suffix-wanted")
-    size = wanted.select(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + window))).collect()[0][0] or 0
+    total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + window).otherwise(0)))
+    size, hot_size = (x or 0 for x in wanted.select(total(False), total(True)).collect()[0])
     ranges = max(1, math.ceil(size / _RANGE_BYTES))
     own = docs.select(F.col("doc_id").alias("_doc"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_uid"), "text")
     texts = own.join(wanted, (own["_uid"] == wanted["uid"]) & own["_doc"].eqNullSafe(wanted["doc_id"]))
-    return keyed, texts, _found(_pieces(texts, ranges, window), window, symbol_bytes, memory_mb)
+    spans = _found(_pieces(texts, ranges, window), window, symbol_bytes, memory_mb)
+    return keyed, texts, spans.unionByName(_hot_found(texts, window)) if hot_size else spans
 
 
 def _by_text(spans: DataFrame) -> DataFrame:
@@ -290,9 +356,9 @@ def _by_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    keyed, texts, spans = _prepared(docs, window, symbol_bytes, memory_mb)
+    keyed, texts, spans = _prepared(docs, window, symbol_bytes, memory_mb, hot_bytes)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,12 +389,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memor
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES) -> DataFrame:
     """The documents, all columns, with the repeated bytes cut from ``text``.
 
     A character of which a cut leaves only some bytes goes with them.
     """
-    keyed, _, spans = _prepared(docs, window, symbol_bytes, memory_mb)
+    keyed, _, spans = _prepared(docs, window, symbol_bytes, memory_mb, hot_bytes)
     copies = keyed.groupBy("uid").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     gone = copies.join(_by_text(spans), "uid", "left").select(

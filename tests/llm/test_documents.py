@@ -149,6 +149,26 @@ def test_texts_without_repeats(corpus, corpus_rows):
     same([(r.doc_id, r.text) for r in got.collect()], want)
 
 
+def test_hot_keys_are_not_dealt_as_one_range(spark):
+    rng = random.Random(8)
+    phrase, page = plain.prose(900, 12)[:100], plain.prose(901, 300)
+    rows = [(i, plain.prose(i, 90) + phrase + plain.prose(i + 5000, 90)) for i in range(40)]
+    # equal windows inside different pieces, equal pieces, and a row that stands there twice
+    rows += [(100 + i, rows[i][1][200:-rng.randrange(1, 60)] + str(i)) for i in range(5)]
+    rows += [(200 + i, f"{i} {page} {i}") for i in range(6)] + [(300, "ab" * 900), (301, "ab" * 700 + "b"), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = plain.cut_repeats([t for _, t in rows], 400)
+    want = [(i, len(t.encode()), removed, spans, plain.sha(kept)) for (i, t), (kept, removed, spans) in zip(rows, cut)]
+    for hot_bytes in (0, 5000):
+        got = suffix_dedup.repeats(docs, hot_bytes=hot_bytes).collect()
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
+    _, texts, _ = suffix_dedup._prepared(docs, 400, 40, 64, 5000)
+    sizes = {}
+    for r in suffix_dedup._pieces(texts.dropDuplicates(["uid"]), 1 << 30, 400).collect():
+        sizes[r.range] = sizes.get(r.range, 0) + len(r.piece)
+    assert suffix_dedup._hot_pieces(texts, 400).count() > 0 and max(sizes.values(), default=0) <= 5000
+
+
 @pytest.mark.parametrize("memory_mb", [0, 64])
 def test_column_wise_construction(memory_mb):
     rng = random.Random(3)
