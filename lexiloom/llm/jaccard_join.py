@@ -10,10 +10,12 @@ everything after works on classes.
    whose shingles are its own is out.
 2. The rest orders its shared shingles by frequency. A prefix is extended until
    it covers one shingle more than a partner may lack. Rare shingles are indexed
-   singly. Frequent ones form ``_CLASSES`` token classes by hash, of which pairs
-   are indexed: a class of ``n`` shingles in the prefix then covers ``n - 1``.
-   Sets with few shingles are indexed singly; sizes in between lie in both
-   levels, so that every pair of sizes within the threshold meets in one.
+   singly. Frequent ones form token classes by hash, of which pairs are indexed: a
+   class of ``n`` shingles in the prefix then covers ``n - 1``. The number of
+   classes doubles with the size (bands), so a class has some 17 shingles in a
+   prefix at most and a set some two keys for each of its shingles. Sets with few
+   shingles are indexed singly; sizes in between lie in both levels or bands, so
+   that every pair of sizes within the threshold meets in one.
 3. Classes that share an index key form candidate components (minimum labels,
    no pairs). Each is verified exactly by a search that compares a class with
    those not yet reached; components over ``block`` classes are dealt as pairs
@@ -44,7 +46,8 @@ from . import shingles
 from .components import components
 
 RARE = 32
-_CLASSES = 16
+#: Token classes of the first band, and its largest set; both double from band to band.
+_CLASSES, _BAND_UP_TO = 16, 1280
 _SINGLE_UP_TO, _COMBINED_FROM = 30, 24
 _RANGE_TOKENS = 2_000_000
 
@@ -146,6 +149,15 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.groupBy("range").applyInArrow(find, _SHARED)
 
 
+def _class_counts(n: int) -> list[int]:
+    """Numbers of token classes of the bands in which a set of ``n`` shingles lies.
+
+    A band starts at four fifths of where the one before it ends.
+    """
+    k = max(0, (n - 1) // _BAND_UP_TO).bit_length()
+    return [_CLASSES << k] + ([_CLASSES << k + 1] if 5 * n >= 4 * (_BAND_UP_TO << k) else [])
+
+
 def index_keys(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """Index keys of a set of ``n`` shingles, of which ``tokens`` are shared with others.
 
@@ -164,19 +176,17 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         keys.append(shingles.mix(tokens[:min(rare, needed)] + np.uint64(2)))
         if rare < needed:
             frequent = tokens[rare:]
-            group = (frequent >> np.uint64(7)) % np.uint64(_CLASSES)
-            # a class covers one shingle less than it has in the prefix
-            seen, covered, end = set(), rare, 0
-            for g in group.tolist():
-                if covered >= needed:
-                    break
-                covered += g in seen
-                seen.add(g)
-                end += 1
-            for g in seen:
-                own = frequent[:end][group[:end] == g]
-                a, b = np.triu_indices(len(own), 1)
-                keys.append(shingles.mix(shingles.mix(own[a]) + own[b] + np.uint64(3)))
+            for classes in _class_counts(n):
+                group = (frequent >> np.uint64(7)) % np.uint64(classes)
+                # a class covers one shingle less than it has in the prefix
+                first = np.zeros(len(group), bool)
+                first[np.unique(group, return_index=True)[1]] = True
+                end = int(np.searchsorted(np.cumsum(~first), needed - rare)) + 1
+                by = np.argsort(group[:end], kind="stable")
+                own = np.split(frequent[:end][by], np.flatnonzero(np.diff(group[:end][by])) + 1)
+                pairs = [(x[a], x[b]) for x in own for a, b in [np.triu_indices(len(x), 1)]]
+                a, b = map(np.concatenate, zip(*pairs))
+                keys.append(shingles.mix(shingles.mix(a) + b + np.uint64(3)))
     return np.unique(np.concatenate(keys))
 
 

@@ -212,6 +212,26 @@ def test_index_keys_never_lose_a_link():
         assert keys[0] & keys[1], (n, drop)
 
 
+def test_index_keys_of_long_texts_grow_with_their_length_and_meet():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(1, 2**62, 60_000, dtype=np.uint64))
+    rng.shuffle(pool)
+    counts = lambda s: 40 + (s % np.uint64(50)).astype(np.int64)
+    for n in (1000, 1023, 1024, 1100, 1279, 1280, 1281, 1300, 2048, 2100, 2559, 2561, 2700, 5121, 20_000):
+        a = np.sort(pool[:n])
+        own = jaccard_join.index_keys(a, counts(a), n)
+        assert len(own) <= 4 * n
+        fewer = np.sort(pool[:-(-4 * n // 5)])
+        more = np.sort(pool[:5 * n // 4])
+        other = np.sort(pool[n // 9:n + n // 9 - 1])
+        assert 10 * len(np.intersect1d(a, other)) >= 8 * len(np.union1d(a, other))
+        for b in (fewer, more, other):
+            # some of what only one of the two has is shared with others
+            both = np.union1d(np.intersect1d(a, b), np.union1d(a, b)[::3])
+            keys = [jaccard_join.index_keys(x, counts(x), len(s)) for s in (a, b) for x in [np.intersect1d(s, both)]]
+            assert len(np.intersect1d(*keys)), (n, len(b))
+
+
 # --- licence scan -------------------------------------------------------------------
 
 def test_licences(corpus, corpus_rows):
