@@ -4,6 +4,8 @@ import gzip
 import html.parser
 import os
 
+import pytest
+
 from lexiloom.llm import url_filter, warc
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.org", None, "block"), ("", "/", "block"), ("org", "/fr/", "allow")]
@@ -70,6 +72,17 @@ def test_plain_text_holds_the_visible_words():
     assert "".join(warc.plain_text(page).split()) == "".join("".join(reader.out).split())
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><p>all the text</p></body></html>", "all the text"),
+    ("<html><head><meta charset=utf-8><title>t</title><style>p{}</style><script>x</script><p>one<p>two", "one\ntwo"),
+    ("<head><link rel=a><noscript>n</noscript><template>m</template><!-- </head> --><div>three</div>", "three"),
+    ("<HEAD lang=de><TITLE>t</TITLE>\n</HEAD>\n<BODY>four<head>five", "fourfive"),
+    ("<title>t</title><header>six</header>", "six"),
+])
+def test_a_head_without_end_tag_hides_no_text(page, text):
+    assert warc.plain_text(page) == text
+
+
 def test_records_are_linked_and_survive_a_round_trip(spark, tmp_path):
     source = spark.createDataFrame([(1, "http://a/b", "<html lang=de><title>x\r\ny</title><p>Grüße"), (2, None, None), (1, "http://a/b", "<html lang=de><title>x\r\ny</title><p>Grüße"), (None, "http://c", "")], "page_id long, url string, html string")
     records = warc.derive(warc.responses_of_pages(source)).cache()
