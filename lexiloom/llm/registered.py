@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from . import (
+    conversation_repair, decontaminate, hard_negatives, hidden_markov, jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, token_counts,
+    url_filter, warc,
+)
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SPAM_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|ads-track|adult-x)\."
@@ -69,9 +72,25 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with the labels of every seventh moved on."""
+    label = F.col("label").cast("long")
+    rows = _table(spark, folder, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repairs(conversation_repair.damaged(_table(spark, folder, "conversations")), F.col("present"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.decompose(_table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_token_counts, op2_url_filter, op3_quality_rules, op4_source_mixing, op5_warc_derivatives, op6_suffix_dedup, op7_jaccard_join,
-    op8_license_scan, op9_markov_scores, op10_benchmark_leaks,
+    op8_license_scan, op9_markov_scores, op10_benchmark_leaks, op11_hard_negatives, op12_conversation_repair, op13_packing,
 )}
 
 _URL_PARTS = """
@@ -102,7 +121,20 @@ r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, broken_rules FROM r"""
 
+_NEGATIVES = """
+WITH sound AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, list_sum(list_transform(list_zip(a.q, b.q), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+           FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id),
+positives AS (SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+              QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_label ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, anchor_label, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id, anchor_label)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
 SQL = {
+    "op11_hard_negatives": _NEGATIVES,
     "op3_quality_rules": _QUALITY,
     "op2_url_filter": f"""
 WITH parts AS ({_URL_PARTS}),

@@ -24,13 +24,13 @@ def rows(table):
 @pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         duck.sql(f"CREATE VIEW {table} AS FROM '{FOLDER}/{table}.parquet'")
     assert rows(entry_points.queries()[name](spark, FOLDER).toPandas()) == rows(duck.sql(registered.SQL[name]).df())
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in registered.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in registered.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules" and "pipeline" in entry_points.queries()
 
 
