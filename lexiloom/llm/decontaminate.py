@@ -262,6 +262,8 @@ def _finder(rows, stats, threshold, min_overlap):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents, all columns, that leak no item. Rows without ``doc_id`` are judged by their text."""
-    found = leaks(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The documents, all columns, that leak no item. Every row is judged by its own text, whatever its id."""
+    key = F.xxhash64("text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("_leaks")).distinct()
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), key.alias("_text"))
+    return whole.join(found, F.col("_text") == F.col("_leaks"), "left_anti").select("_row.*")

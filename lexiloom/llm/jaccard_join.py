@@ -33,12 +33,13 @@ than ``doc_id, text`` are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -53,7 +54,7 @@ _RANGE_TOKENS = 2_000_000
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, uid`` (uid null for an empty set)."""
+    """``doc_id, n, uid, key`` (uid null for an empty set; key names the id and the text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in shingles.in_parts(batches):
@@ -61,9 +62,16 @@ def _sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(keys, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "uid": pa.array([shingles.fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                "key": pa.array([hashlib.sha256((b"n" if i is None else b"%d" % i) + b":" + t).digest()[:16] for i, t in zip(keys, texts)], pa.binary()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, uid long")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, uid long, key binary")
+
+
+def _row_key() -> Column:
+    """The same key of a row of documents as a column."""
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return F.substring(F.unhex(F.sha2(named, 256)), 1, 16)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -312,14 +320,8 @@ def _verified(placed: DataFrame, block: int, count_links: bool) -> DataFrame:
     return units.groupBy("label", "i", "j").applyInArrow(verify, "a long, b long, links long")
 
 
-def jaccard_components(docs: DataFrame, block: int = 1000, count_links: bool = True) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_members, n_links`` of every document.
-
-    ``n_members`` are the documents of the component, ``n_links`` those among them
-    that reach the threshold with this one, copies included; null where
-    ``count_links`` is off.
-    """
-
+def _grouped(docs: DataFrame, block: int, count_links: bool) -> DataFrame:
+    """A row for each document: ``doc_id, n, uid, key, copies, links, _group`` (group null for an empty set)."""
     sets = materialize(_sets(docs), "jaccard-sets")
     total = sets.agg(F.sum("n")).collect()[0][0] or 0
     bits = max(4, math.ceil(math.log2(max(1, total / _RANGE_TOKENS))))
@@ -336,11 +338,23 @@ def jaccard_components(docs: DataFrame, block: int = 1000, count_links: bool = T
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     # stored, so that the join with the documents can be dealt anew where a class has very many copies
     known = materialize(copies.join(merged.select(F.col("node").alias("uid"), "label"), "uid", "left").join(links, "uid", "left"), "jaccard-known")
-    joined = sets.join(known, "uid", "left").withColumn("_group", F.coalesce("label", "uid"))
+    return sets.join(known, "uid", "left").withColumn("_group", F.coalesce("label", "uid"))
+
+
+def jaccard_components(docs: DataFrame, block: int = 1000, count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_members, n_links`` of every document.
+
+    ``n_members`` are the documents of the component, ``n_links`` those among them
+    that reach the threshold with this one, copies included; null where
+    ``count_links`` is off.
+    """
+    joined = _grouped(docs, block, count_links)
     named = joined.where(F.col("uid").isNotNull()).groupBy("_group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_members"))
+    # stored for the same reason: a component may hold a third of all documents
+    named = materialize(named.withColumnRenamed("_group", "_of"), "jaccard-components")
     # an empty set stands for itself: its own key keeps such rows apart
     keyed = joined.withColumn("_group", F.coalesce("_group", F.col("doc_id")))
-    out = keyed.join(named, (keyed["_group"] == named["_group"]) & keyed["uid"].isNotNull(), "left")
+    out = keyed.join(named, (keyed["_group"] == named["_of"]) & keyed["uid"].isNotNull(), "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)) if count_links else F.lit(None)
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_members", F.lit(1).cast("long")).alias("n_members"),
@@ -349,10 +363,14 @@ def jaccard_components(docs: DataFrame, block: int = 1000, count_links: bool = T
 
 
 def one_of_each(docs: DataFrame, block: int = 1000) -> DataFrame:
-    """The documents, all columns, whose id is the smallest of their component.
+    """One row, all columns, of each component: the smallest id, of rows with that id the one whose text's key is smallest.
 
-    Rows with one ``doc_id`` are one document. Rows without an id stay if one of
-    them is linked with no known document.
+    Rows equal in id and text are one document and leave one row. A null id is
+    larger than any other. Texts without words are components of their own.
     """
-    kept = jaccard_components(docs, block, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = _grouped(docs, block, count_links=False)
+    alone = F.when(F.col("uid").isNull(), F.col("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
+    kept = rows.groupBy("_group", alone.alias("_alone")).agg(first.alias("first")).select(F.col("first.key").alias("_kept"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), _row_key().alias("_key"))
+    return whole.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"]).select("_row.*")

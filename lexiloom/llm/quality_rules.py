@@ -6,8 +6,9 @@ threshold table becomes one comparison. No shuffle, no user function.
 
 Words are runs without ``\\x20`` and ``\\x09-\\x0D``. Defined results: a null or
 blank text has no words and fails the length rule; ratios over nothing are 0;
-repeated rows are judged alike; extra columns are returned, those named like a
-result column are replaced.
+very long texts are measured whole, as arrays of one row; equal values at a
+threshold keep the text; repeated rows are judged alike; extra columns are
+returned, of whatever name, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ BREAK_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "[#*$%&|<>]"
 MARKS = "[!?…]"
 PUNCTUATION = ".,;:!?\"'()"
+WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_stop_words", "n_lines", "n_dup_lines", "n_copied_words", "n_repeat_words")
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -50,7 +53,7 @@ THRESHOLDS = (
     Rule("symbols", "symbol_ratio", high=0.25),
     Rule("marks", "mark_ratio", high=0.25),
     Rule("stop_words", "stop_word_ratio", low=0.04, min_words=50),
-    Rule("line_copies", "dup_line_ratio", high=0.3, min_words=50),
+    Rule("line_copies", "copied_word_ratio", high=0.3, min_words=50),
     Rule("repeats", "repeat_ratio", high=0.2),
 )
 
@@ -84,34 +87,57 @@ def _repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The documents with every measure as a column."""
+    """The documents with every measure as a column.
+
+    Stop words are those of the language in ``lang``; the ratio is null, which no
+    rule fails, for a language without a list. Without such a column the words of
+    all lists count.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumn("_words", F.array_remove(F.split(text, BREAKS), "")).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BREAK_CHARS, "")) > 0))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    lang = F.lower("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    split = docs.select(
+        whole, text.alias("_text"), lang.alias("_lang"), F.array_remove(F.split(text, BREAKS), "").alias("_words"),
+        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BREAK_CHARS, "")) > 0).alias("_lines"),
+    )
     hashes = F.transform(
         F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(0), F.size("_words") - WINDOW)).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(*_window(F.col("_words"), i)),
     )
     lower = lambda w: F.lower(F.translate(w, PUNCTUATION, ""))
-    known = sorted({w for words in STOP_WORDS.values() for w in words.split()})
+    listed = {name: words.split() for name, words in STOP_WORDS.items()}
+    every = sorted({w for words in listed.values() for w in words})
+    stops = lambda words: F.size(F.filter("_words", lambda w: lower(w).isin(words)))
+    n_stops = stops(every)
+    if "lang" in docs.columns:
+        n_stops = F.lit(None).cast("int")
+        for name, words in listed.items():
+            n_stops = F.when(F.col("_lang") == name, stops(words)).otherwise(n_stops)
+    distinct = F.array_distinct("_lines")
     counted = split.withColumns({
         "_hashes": hashes,
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, BREAK_CHARS, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        "n_marks": F.regexp_count(text, F.lit(MARKS)).cast("long"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: lower(w).isin(known))).cast("long"),
+        "word_chars": F.length(F.translate("_text", BREAK_CHARS, "")).cast("long"),
+        "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
+        "n_marks": F.regexp_count("_text", F.lit(MARKS)).cast("long"),
+        "n_stop_words": n_stops.cast("long"),
         "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(distinct)).cast("long"),
     }).withColumn("n_repeat_words", _repeated_words(F.col("_words"), F.col("_hashes")))
+    once = F.aggregate(distinct, F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(WORD)))
+    counted = counted.withColumn("n_copied_words", F.when(F.col("n_dup_lines") > 0, F.col("n_words") - once).otherwise(0).cast("long"))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return counted.withColumns({
+    ratios = {
         "mean_word_chars": per("word_chars", "n_words"),
         "symbol_ratio": per("n_symbols", "n_words"),
         "mark_ratio": per("n_marks", "n_words"),
         "stop_word_ratio": per("n_stop_words", "n_words"),
-        "dup_line_ratio": per("n_dup_lines", "n_lines"),
+        "copied_word_ratio": per("n_copied_words", "n_words"),
         "repeat_ratio": per("n_repeat_words", "n_words"),
-    }).drop("_words", "_lines", "_hashes")
+    }
+    results = [*COUNTS, *ratios]
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in results]
+    return counted.withColumns(ratios).select(*own, *results)
 
 
 def broken(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
@@ -123,7 +149,7 @@ def broken(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
             out = out | (m < r.low)
         if r.high is not None:
             out = out | (m > r.high)
-        return out & (F.col("n_words") >= r.min_words)
+        return F.coalesce(out, F.lit(False)) & (F.col("n_words") >= r.min_words)
 
     return F.array_compact(F.array(*[F.when(breaks(r), r.name) for r in rules])) if rules else F.array().cast("array<string>")
 
@@ -141,6 +167,7 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> Dat
     The verdict passes a generator, below which no filter is pushed: a pushed one
     would repeat every measure inside every other that uses it.
     """
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
-    verdict = judge(whole, rules).select("_row", F.explode(F.array("kept")).alias("_kept"))
-    return verdict.where("_kept").select("_row.*")
+    lang = ["lang"] if "lang" in docs.columns else []
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_all"), "text", *lang)
+    verdict = judge(whole, rules).select("_all", F.explode(F.array("kept")).alias("_kept"))
+    return verdict.where("_kept").select("_all.*")

@@ -37,14 +37,15 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality_rules.judge(_table(spark, folder, "documents").select("doc_id", "text"))
+    judged = quality_rules.judge(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken_rules", ",").alias("broken_rules")
     )
 
 
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, folder, "documents"), entropy=0.97, max_repeats=4.0, budget=1.0)
+    """One and a half times the corpus, sources half way from their own entropy to the largest, none read over four times."""
+    mixed = mixing.mix(_table(spark, folder, "documents"), gain=0.5, max_repeats=4.0, budget=1.5)
     return mixed.select("doc_id", "source", "epoch", "block", "block_order")
 
 
@@ -53,7 +54,8 @@ def op5_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.repeats(_table(spark, folder, "documents"))
+    """Bytes under repeated 400-byte strings, and those under repeated strings of a passage's size."""
+    return suffix_dedup.repeats(_table(spark, folder, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,9 +100,11 @@ _URL_PARTS = """
            CASE WHEN regexp_matches(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
     FROM pages"""
 
-_STOP_LIST = ", ".join(sorted({"'" + w + "'" for words in quality_rules.STOP_WORDS.values() for w in words.split()}))
+_STOPS = "CASE lower(lang) " + " ".join(
+    f"WHEN '{name}' THEN len(list_filter(words, lambda x: lower(regexp_replace(x, '[.,;:!?\"''()]', '', 'g')) IN ({', '.join(repr(w) for w in words.split())})))" for name, words in quality_rules.STOP_WORDS.items()
+) + " END"
 _QUALITY = f"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
 g AS (SELECT rid, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
@@ -109,14 +113,14 @@ twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM h),
 covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY rid),
 m AS (SELECT w.rid, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!?…]', '', 'g')) AS n_marks,
-             len(list_filter(words, lambda x: lower(regexp_replace(x, '[.,;:!?"''()]', '', 'g')) IN ({_STOP_LIST}))) AS n_stop,
+             {_STOPS} AS n_stop, len(words) - list_sum(list_transform(list_distinct(lines), lambda x: len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')))) AS n_copied,
              len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
       FROM w LEFT JOIN covered ON covered.rid = w.rid),
 r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
              concat_ws(',', CASE WHEN n_words < 10 THEN 'words' END,
                CASE WHEN n_words = 0 OR word_chars / n_words < 2 OR word_chars / n_words > 14 THEN 'word_length' END,
                CASE WHEN n_words > 0 AND n_symbols / n_words > 0.25 THEN 'symbols' END, CASE WHEN n_words > 0 AND n_marks / n_words > 0.25 THEN 'marks' END,
-               CASE WHEN n_words >= 50 AND n_stop / n_words < 0.04 THEN 'stop_words' END, CASE WHEN n_words >= 50 AND n_dup_lines / n_lines > 0.3 THEN 'line_copies' END,
+               CASE WHEN n_words >= 50 AND n_stop / n_words < 0.04 THEN 'stop_words' END, CASE WHEN n_words >= 50 AND n_copied / n_words > 0.3 THEN 'line_copies' END,
                CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.2 THEN 'repeats' END) AS broken_rules FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, broken_rules FROM r"""

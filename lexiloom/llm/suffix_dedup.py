@@ -2,19 +2,20 @@
 
 A byte goes if a ``window``-byte string that covers it starts anywhere else too.
 
-1. Each window is keyed by the smallest hash of its 32-byte grams. Consecutive
-   windows of a document with the same key form a run; the piece of a run is the
-   text under its windows. Equal windows have equal keys, so they meet in one
-   hash range; keys that stand in one place only are dropped before any text moves.
+1. Each window is keyed by the smallest hash of its grams of half its size.
+   Consecutive windows of a document with the same key form a run; the piece of
+   a run is the text under its windows. Equal windows have equal keys, so they
+   meet in one hash range; keys that stand in one place only are dropped before
+   any text moves. Windows of two sizes have their own keys, runs and ranges.
 2. In a range, equal pieces fall together (their windows repeat). Of the others
-   the suffixes are sorted column-wise: symbols are ``symbol_bytes`` wide, a
-   piece gives one string for each byte phase, and every round inserts one more
-   symbol in front of every string, from the right. The new suffixes' places
-   follow from their symbol and the rank of their tail; the common prefix with
-   each neighbour is one more than the least common prefix between their tails.
-   The collection's columns (symbol with tail rank, common prefix, suffix) are
-   read and written in order; beyond ``memory_mb`` they are files. A window
-   repeats where its suffix shares ``window / symbol_bytes`` symbols with a
+   the suffixes are sorted column-wise: a window has ``symbols`` symbols, a
+   piece gives strings for each byte phase, cut at symbols that stand once, and
+   every round inserts one more symbol in front of every string, from the right.
+   The new suffixes' places follow from their symbol and the rank of their tail;
+   the common prefix with each neighbour is one more than the least common prefix
+   between their tails. The collection's columns (symbol with tail rank, common
+   prefix, suffix) are read and written in order; beyond ``memory_mb`` they are
+   files. A window repeats where its suffix shares all its symbols with a
    neighbour.
 3. A key whose pieces exceed ``hot_bytes`` (a phrase shorter than the window in very
    many surroundings) is no collection: equal pieces are counted and repeat as a
@@ -27,9 +28,11 @@ Everything works on distinct texts by SHA-256; copies of a text are only
 counted, and texts of ``window`` bytes with copies go whole.
 
 Defined results: a null text is an empty one; texts shorter than the window
-stay; equal rows are copies of each other; matches never cross documents. Columns
-other than ``doc_id, text`` are kept by ``remove_repeats`` and not read by
-``repeats``.
+stay; equal rows and equal texts (ties) are copies of each other and go together;
+matches never cross documents; a very long text is cut into runs by one task and
+only its wanted pieces move; empty tables give empty results. Columns other than
+``doc_id, text``, of whatever name, are kept by ``remove_repeats`` and not read
+by ``repeats``.
 """
 
 from __future__ import annotations
@@ -43,12 +46,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import materialize
 from .shingles import _BYTE, _STEP, in_parts, mix
 
 WINDOW = 400
-GRAM = 32
+PASSAGE = 200
+SYMBOLS = 4
 _RANGE_BYTES = 2_000_000
 _HOT_BYTES = 4 * _RANGE_BYTES
 _LOW = np.int64(0xFFFFFFFF)
@@ -92,13 +97,14 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs(texts: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, ...]]:
     """For each text the runs of windows: keys, first and last window, places of the key's gram in the run's piece."""
-    width = window - min(GRAM, window) + 1
+    gram = -(-window // 2)
+    width = window - gram + 1
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
     whole = np.frombuffer(b"".join(texts), np.uint8)
     if not len(whole):
         return [(np.zeros(0, np.int64),) * 4 for _ in texts]
-    grams = _gram_hashes(whole, min(GRAM, window))
+    grams = _gram_hashes(whole, gram)
     least = _sliding_least(grams, width)
     out = []
     for s, n in zip(starts.tolist(), lengths.tolist()):
@@ -132,26 +138,52 @@ class _Columns:
         return np.memmap(path, column.dtype, "r")
 
 
-def repeated_windows(pieces: list[bytes], window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64) -> np.ndarray:
-    """Flags over the bytes of all pieces: windows that start there and repeat in the collection."""
-    deep = window // symbol_bytes
-    if deep * symbol_bytes != window:
-        raise ValueError("symbol_bytes must divide the window")
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    whole = np.frombuffer(b"".join(pieces), np.uint8)
-    symbols = np.unique(_gram_hashes(whole, symbol_bytes), return_inverse=True)[1] + 1
-    phase = np.tile(np.arange(symbol_bytes), len(pieces))
-    count = (np.repeat(lengths, symbol_bytes) - phase) // symbol_bytes
-    final = np.repeat(starts, symbol_bytes) + phase + symbol_bytes * (count - 1)
+def _segments(hashes: np.ndarray, inside: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the strings of ``least`` symbols or more that stand twice or more each.
+
+    A string takes every ``width``-th place. A symbol that stands once is in no
+    repeat, so strings end there; a symbol that is not ``inside`` a piece stands nowhere.
+    """
+    _, which, times = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    rows = -(-len(hashes) // width) + 1
+    good = np.zeros(rows * width, bool)
+    good[np.flatnonzero(inside)[times[which] > 1]] = True
+    table = good.reshape(rows, width)
+    at = np.arange(rows)[:, None]
+    ends = np.minimum.accumulate(np.where(table, rows, at)[::-1], axis=0)[::-1]
+    first = table.copy()
+    first[1:] &= ~table[:-1]
+    first &= ends - at >= least
+    row, phase = np.nonzero(first)
+    return row * width + phase, (ends - at)[row, phase]
+
+
+def repeated_windows(pieces: list[bytes], window: int = WINDOW, symbols: int = SYMBOLS, memory_mb: int = 64) -> np.ndarray:
+    """Flags over the bytes of all pieces: windows of ``symbols`` symbols that start there and repeat in the collection."""
+    if window % symbols:
+        raise ValueError("the number of symbols must divide the window")
+    deep, symbol_bytes = symbols, window // symbols
+    # a byte between pieces, so that no string goes on from one into the next
+    lengths = np.array([len(p) + 1 for p in pieces], np.int64)
+    whole = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    flags = np.zeros(len(whole), bool)
+    left = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(len(whole))
+    of_piece, inside = left > 0, left >= symbol_bytes
+    if not inside.any():
+        return flags[of_piece]
+    hashes = _gram_hashes(whole, symbol_bytes)
+    first, count = _segments(hashes, inside, symbol_bytes, deep)
+    if not len(first):
+        return flags[of_piece]
+    final = first + symbol_bytes * (count - 1)
     order = np.argsort(-count, kind="stable")
     count, final = count[order], final[order]
-    m = int(np.searchsorted(-count, -1, side="right"))
-    count, final = count[:m], final[:m]
+    m = len(count)
+    used = np.zeros(len(whole), bool)
+    used[np.repeat(final, count) - symbol_bytes * (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))] = True
+    ranked = np.zeros(len(whole), np.int64)
+    ranked[used] = np.unique(hashes[used], return_inverse=True)[1] + 1
 
-    flags = np.zeros(len(whole), bool)
-    if not m:
-        return flags
     with tempfile.TemporaryDirectory() as folder:
         files = _Columns(folder, memory_mb * 1_000_000)
         # the empty suffixes come first, in the order of the strings
@@ -160,7 +192,7 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW, symbol_bytes: in
         for files.round in range(1, int(count[0]) + 1):
             a = int(np.searchsorted(-count, -files.round, side="right"))
             at = final[:a] - symbol_bytes * (files.round - 1)
-            fresh = (symbols[at] << 32) | rank[:a]
+            fresh = (ranked[at] << 32) | rank[:a]
             order = np.argsort(fresh)
             fresh, n = fresh[order], len(keys)
             before = np.searchsorted(keys, fresh)
@@ -193,65 +225,77 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW, symbol_bytes: in
             suffix = files.keep("suffix", merged(suffix, at[order]))
         same = np.append(common >= deep, False)
         flags[np.asarray(suffix)[same[:-1] | same[1:]]] = True
-    return flags
+    return flags[of_piece]
 
 
 def _uid(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()[:16]
 
 
-_TEXTS = "doc_id long, uid binary, n_bytes long, sha256 string, keys array<long>, first array<int>, last array<int>, times array<int>"
+_RUNS = ("size", "keys", "first", "last", "times")
+_TEXTS = "doc_id long, uid binary, n_bytes long, sha256 string, size array<int>, keys array<long>, first array<int>, last array<int>, times array<int>"
+
 
+def _keyed(docs: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """The runs of each row's text for every window size, side by side."""
 
-def _keyed(docs: DataFrame, window: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_parts(batches):
-            found = runs(texts, window)
+            found = [[(np.full(len(f[0]), w, np.int32), *f) for f in runs(texts, w)] for w in windows]
+            joined = [[np.concatenate(column) for column in zip(*each)] for each in zip(*found)]
             digests = [hashlib.sha256(t) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "uid": pa.array([d.digest()[:16] for d in digests], pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
-                "sha256": pa.array([d.hexdigest() for d in digests]), "keys": pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                **{c: pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i, c in enumerate(("first", "last", "times"), 1)},
+                "sha256": pa.array([d.hexdigest() for d in digests]),
+                **{c: pa.array([f[i].astype(kind) for f in joined], pa.list_(pa.from_numpy_dtype(kind))) for i, (c, kind) in enumerate(zip(_RUNS, (np.int32, np.int64, np.int32, np.int32, np.int32)))},
             })
 
     return docs.select("doc_id", "text").mapInArrow(read, _TEXTS)
 
 
-def _pieces(texts: DataFrame, ranges: int, window: int) -> DataFrame:
-    """The pieces of wanted runs whose key is not hot, from rows of ``uid, text, runs``."""
+_PIECES = "size int, range int, uid binary, first int, piece binary"
+_PIECES_SHAPE = pa.schema([("size", pa.int32()), ("range", pa.int32()), ("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
+
+
+def _pieces(texts: DataFrame, ranges: int, hot: bool = False) -> DataFrame:
+    """The pieces of wanted runs whose key is hot or not, from rows of ``uid, text, runs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"range": [], "uid": [], "first": [], "piece": []}
+            rows = {c: [] for c in _PIECES_SHAPE.names}
             for uid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = (text or "").encode("utf-8", "replace")
                 for r in wanted:
-                    if r["hot"]:
-                        continue
-                    rows["range"].append(r["key"] % ranges)
-                    rows["uid"].append(uid)
-                    rows["first"].append(r["first"])
-                    rows["piece"].append(raw[r["first"]:r["last"] + window])
+                    if r["hot"] == hot:
+                        rows["size"].append(r["size"])
+                        rows["range"].append(r["key"] % ranges)
+                        rows["uid"].append(uid)
+                        rows["first"].append(r["first"])
+                        rows["piece"].append(raw[r["first"]:r["last"] + r["size"]])
                 if len(rows["range"]) >= 4000:
-                    yield pa.RecordBatch.from_pydict(rows, schema=shape)
+                    yield pa.RecordBatch.from_pydict(rows, schema=_PIECES_SHAPE)
                     rows = {c: [] for c in rows}
             if rows["range"]:
-                yield pa.RecordBatch.from_pydict(rows, schema=shape)
+                yield pa.RecordBatch.from_pydict(rows, schema=_PIECES_SHAPE)
+
+    return texts.select("uid", "text", "runs").mapInArrow(cut, _PIECES)
 
-    shape = pa.schema([("range", pa.int32()), ("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
-    return texts.select("uid", "text", "runs").mapInArrow(cut, "range int, uid binary, first int, piece binary")
 
+_SPANS = "uid binary, size int, start int, stop int"
+_SPANS_SHAPE = pa.schema([("uid", pa.binary()), ("size", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
-def _found(pieces: DataFrame, window: int, symbol_bytes: int, memory_mb: int) -> DataFrame:
-    """Spans ``uid, start, stop`` of repeated bytes, from the collection of each range."""
+
+def _found(pieces: DataFrame, symbols: int, memory_mb: int) -> DataFrame:
+    """Spans ``uid, size, start, stop`` of bytes repeated by windows of a size, from the collection of each size and range."""
 
     def search(table: pa.Table) -> pa.Table:
+        window = table.column("size")[0].as_py()
         places: dict[bytes, set[tuple[bytes, int]]] = {}
         for uid, first, piece in zip(*(table.column(c).to_pylist() for c in ("uid", "first", "piece"))):
             places.setdefault(piece, set()).add((uid, first))
         distinct = list(places)
-        flags = repeated_windows(distinct, window, symbol_bytes, memory_mb)
-        rows, at = {"uid": [], "start": [], "stop": []}, 0
+        flags = repeated_windows(distinct, window, symbols, memory_mb)
+        rows, at = {c: [] for c in _SPANS_SHAPE.names}, 0
         for piece in distinct:
             n = len(piece) - window + 1
             own = flags[at:at + n] if len(places[piece]) == 1 else np.ones(n, bool)
@@ -260,66 +304,49 @@ def _found(pieces: DataFrame, window: int, symbol_bytes: int, memory_mb: int) ->
             for start, stop in edges.reshape(-1, 2).tolist():
                 for uid, first in places[piece]:
                     rows["uid"].append(uid)
+                    rows["size"].append(window)
                     rows["start"].append(first + start)
                     rows["stop"].append(first + stop - 1 + window)
-        return pa.Table.from_pydict(rows, schema=pa.schema([("uid", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())]))
+        return pa.Table.from_pydict(rows, schema=_SPANS_SHAPE)
 
-    return pieces.groupBy("range").applyInArrow(search, "uid binary, start int, stop int")
+    return pieces.groupBy("size", "range").applyInArrow(search, _SPANS)
 
 
-def _hot_pieces(texts: DataFrame, window: int) -> DataFrame:
-    """The pieces of runs with a hot key, each place once: ``uid, first, piece``."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
-        for batch in batches:
-            rows = {c: [] for c in shape.names}
-            for uid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = (text or "").encode("utf-8", "replace")
-                for r in wanted:
-                    if r["hot"]:
-                        rows["uid"].append(uid)
-                        rows["first"].append(r["first"])
-                        rows["piece"].append(raw[r["first"]:r["last"] + window])
-                if len(rows["uid"]) >= 4000:
-                    yield pa.RecordBatch.from_pydict(rows, schema=shape)
-                    rows = {c: [] for c in rows}
-            if rows["uid"]:
-                yield pa.RecordBatch.from_pydict(rows, schema=shape)
-
-    return texts.select("uid", "text", "runs").mapInArrow(cut, "uid binary, first int, piece binary").dropDuplicates(["uid", "first"])
-
-
-def _hot_found(texts: DataFrame, window: int) -> DataFrame:
-    """Spans ``uid, start, stop`` of repeated bytes under hot keys, by counts of whole pieces and of single windows."""
+def _hot_found(texts: DataFrame) -> DataFrame:
+    """Spans ``uid, size, start, stop`` of repeated bytes under hot keys, by counts of whole pieces and of single windows."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
-                uids, firsts, pieces, alone = (part.column(i).to_pylist() for i in range(4))
-                lengths = np.array([len(p) for p in pieces], np.int64)
-                count = lengths - window + 1
-                row = np.repeat(np.arange(len(pieces)), count)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                hashes = _gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), window)[(np.cumsum(lengths) - lengths)[row] + within]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(uids, pa.binary()).take(pa.array(row)), pa.array(np.array(firsts, np.int32)[row]), pa.array((np.array(firsts)[row] + within).astype(np.int32)),
-                    pa.array(hashes.view(np.int64)), pa.array(np.array(alone, bool)[row]),
-                ], ["uid", "first", "at", "hash", "alone"])
-
-    pieces = materialize(_hot_pieces(texts, window).withColumn("sha", F.unhex(F.sha2("piece", 256))), "suffix-hot")
+                sizes, uids, firsts, pieces, alone = (part.column(i).to_pylist() for i in range(5))
+                for window in set(sizes):
+                    own = [i for i, s in enumerate(sizes) if s == window]
+                    lengths = np.array([len(pieces[i]) for i in own], np.int64)
+                    count = lengths - window + 1
+                    row = np.repeat(np.array(own), count)
+                    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    begins = np.repeat(np.cumsum(lengths) - lengths, count)
+                    hashes = _gram_hashes(np.frombuffer(b"".join(pieces[i] for i in own), np.uint8), window)[begins + within]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(row), window, np.int32)), pa.array(uids, pa.binary()).take(pa.array(row)), pa.array(np.array(firsts, np.int32)[row]),
+                        pa.array((np.array(firsts)[row] + within).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(np.array(alone, bool)[row]),
+                    ], ["size", "uid", "first", "at", "hash", "alone"])
+
+    pieces = _pieces(texts, 1, hot=True).dropDuplicates(["size", "uid", "first"])
+    pieces = materialize(pieces.withColumn("sha", F.unhex(F.sha2("piece", 256))), "suffix-hot")
     place = F.xxhash64("uid", "first")
-    groups = pieces.groupBy("sha").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    known = pieces.join(groups, "sha")
-    whole = known.where("n > 1").select("uid", F.col("first").alias("start"), (F.col("first") + F.length("piece")).cast("int").alias("stop"))
-    distinct = known.where(place == F.col("one")).select("uid", "first", "piece", (F.col("n") == 1).alias("alone"))
-    windows = materialize(distinct.mapInArrow(hashed, "uid binary, first int, at int, hash long, alone boolean"), "suffix-windows")
-    twice = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    marked = windows.where("alone").join(twice, "hash").select("uid", "first", "at")
+    groups = pieces.groupBy("size", "sha").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    known = pieces.join(groups, ["size", "sha"])
+    whole = known.where("n > 1").select("uid", "size", F.col("first").alias("start"), (F.col("first") + F.length("piece")).cast("int").alias("stop"))
+    distinct = known.where(place == F.col("one")).select("size", "uid", "first", "piece", (F.col("n") == 1).alias("alone"))
+    rows = materialize(distinct.mapInArrow(hashed, "size int, uid binary, first int, at int, hash long, alone boolean"), "suffix-windows")
+    # stored, so that the join can be dealt anew where a window has very many places
+    twice = materialize(rows.groupBy("size", "hash").agg(F.count("*").alias("n")).where("n > 1").select("size", "hash"), "suffix-twice")
+    marked = rows.where("alone").join(twice, ["size", "hash"]).select("uid", "first", "size", "at")
     # neighbours make one span; a piece has at most as many windows as the window has grams
-    stretch = F.col("at") - F.row_number().over(Window.partitionBy("uid", "first").orderBy("at"))
-    parts = marked.withColumn("stretch", stretch).groupBy("uid", "first", "stretch").agg(F.min("at").alias("start"), (F.max("at") + window).cast("int").alias("stop"))
-    return whole.unionByName(parts.select("uid", "start", "stop"))
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("uid", "first", "size").orderBy("at"))
+    parts = marked.withColumn("stretch", stretch).groupBy("uid", "first", "size", "stretch").agg(F.min("at").alias("start"), (F.max("at") + F.col("size")).cast("int").alias("stop"))
+    return whole.unionByName(parts.select("uid", "size", "start", "stop"))
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -332,38 +359,47 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _prepared(docs: DataFrame, window: int, symbol_bytes: int, memory_mb: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed rows, one text with its wanted runs per distinct text, and the spans found by text."""
-    keyed = materialize(_keyed(docs, window), "suffix-texts")
+def _prepared(docs: DataFrame, windows: tuple[int, ...], symbols: int, memory_mb: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keyed rows, one text with its wanted runs per distinct text, and the spans found by text and window size."""
+    keyed = materialize(_keyed(docs, windows), "suffix-texts")
     one = keyed.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("chosen"), F.count("*").alias("copies"))
     chosen = keyed.join(one, "uid").where(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id"))).dropDuplicates(["uid"])
-    each = chosen.select("uid", "doc_id", F.explode(F.arrays_zip("keys", "first", "last", "times")).alias("r")).select("uid", "doc_id", "r.*")
-    n_bytes = F.col("last") - F.col("first") + F.lit(window)
-    shared = each.groupBy("keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("keys", (F.col("bytes") > hot_bytes).alias("hot"))
-    wanted = each.join(shared, "keys").groupBy("uid", "doc_id").agg(F.collect_list(F.struct(F.col("keys").alias("key"), "first", "last", "hot")).alias("runs"))
-    wanted = materialize(wanted, "suffix-wanted")
-    total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + window).otherwise(0)))
+    each = chosen.select("uid", "doc_id", F.explode(F.arrays_zip(*_RUNS)).alias("r")).select("uid", "doc_id", "r.*")
+    n_bytes = F.col("last") - F.col("first") + F.col("size")
+    shared = each.groupBy("size", "keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("size", "keys", (F.col("bytes") > hot_bytes).alias("hot"))
+    run = F.struct("size", F.col("keys").alias("key"), "first", "last", "hot")
+    wanted = materialize(each.join(shared, ["size", "keys"]).groupBy("uid", "doc_id").agg(F.collect_list(run).alias("runs")), "suffix-wanted")
+    total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + r["size"]).otherwise(0)))
     size, hot_size = (x or 0 for x in wanted.select(total(False), total(True)).collect()[0])
-    ranges = max(1, math.ceil(size / _RANGE_BYTES))
+    ranges = max(1, math.ceil(size / _RANGE_BYTES / len(windows)))
     own = docs.select(F.col("doc_id").alias("_doc"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_uid"), "text")
     texts = own.join(wanted, (own["_uid"] == wanted["uid"]) & own["_doc"].eqNullSafe(wanted["doc_id"]))
-    spans = _found(_pieces(texts, ranges, window), window, symbol_bytes, memory_mb)
-    return keyed, texts, spans.unionByName(_hot_found(texts, window)) if hot_size else spans
+    spans = _found(_pieces(texts, ranges), symbols, memory_mb)
+    return keyed, texts, spans.unionByName(_hot_found(texts)) if hot_size else spans
 
 
-def _by_text(spans: DataFrame) -> DataFrame:
-    """One row of sorted spans for each text; a text's spans are at most as many as its runs."""
-    return spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+def _by_text(spans: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """One row for each text with a list of sorted spans for each size, ``spans_<size>``; a text's spans are at most as many as its runs."""
+    lists = [F.sort_array(F.collect_list(F.when(F.col("size") == w, F.struct("start", "stop")))).alias(f"spans_{w}") for w in windows]
+    return spans.groupBy("uid").agg(*lists)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    keyed, texts, spans = _prepared(docs, window, symbol_bytes, memory_mb, hot_bytes)
+def repeats(
+    docs: DataFrame, window: int = WINDOW, symbols: int = SYMBOLS, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES, passage: int | None = None,
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
+
+    With a ``passage`` size also ``n_passage_bytes``: the bytes covered by strings
+    of that size that start elsewhere too, found in the same pass over the texts.
+    """
+    windows = (window,) if passage is None else (passage, window)
+    keyed, texts, spans = _prepared(docs, windows, symbols, memory_mb, hot_bytes)
+    shape = pa.schema([("uid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"uid": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for uid, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows = {c: [] for c in shape.names}
+            for uid, text, found, shorter in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw, cut, at = (text or "").encode("utf-8", "replace"), hashlib.sha256(), 0
                 gone = _united([(s["start"], s["stop"]) for s in found])
                 for start, stop in gone:
@@ -374,46 +410,51 @@ def repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memor
                 rows["n_removed"].append(sum(b - a for a, b in gone))
                 rows["n_spans"].append(len(gone))
                 rows["kept_sha256"].append(cut.hexdigest())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("uid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+                rows["n_passage_bytes"].append(sum(b - a for a, b in _united([(s["start"], s["stop"]) for s in shorter])))
+            yield pa.RecordBatch.from_pydict(rows, schema=shape)
 
-    by_text = texts.select("uid", "text").join(_by_text(spans), "uid")
-    partly = by_text.mapInArrow(digest, "uid binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["uid"])
+    by_text = texts.select("uid", "text").join(_by_text(spans, windows), "uid").select("uid", "text", f"spans_{window}", f"spans_{windows[0]}")
+    partly = by_text.mapInArrow(digest, "uid binary, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long").dropDuplicates(["uid"])
     copies = keyed.groupBy("uid").agg(F.count("*").alias("copies"))
     rows = keyed.select("doc_id", "uid", "n_bytes", "sha256").join(copies.join(partly, "uid", "left"), "uid")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
-    return rows.select(
+    whole = lambda size: (F.col("copies") > 1) & (F.col("n_bytes") >= size)
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = [
         "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-    )
+        F.when(whole(window), F.col("n_bytes")).otherwise(count("n_removed")).alias("n_removed"),
+        F.when(whole(window), F.lit(1).cast("long")).otherwise(count("n_spans")).alias("n_spans"),
+        F.when(whole(window), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    ]
+    if passage is not None:
+        out.append(F.when(whole(passage), F.col("n_bytes")).otherwise(count("n_passage_bytes")).alias("n_passage_bytes"))
+    return rows.select(*out)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, symbol_bytes: int = 40, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, symbols: int = SYMBOLS, memory_mb: int = 64, hot_bytes: int = _HOT_BYTES) -> DataFrame:
     """The documents, all columns, with the repeated bytes cut from ``text``.
 
     A character of which a cut leaves only some bytes goes with them.
     """
-    keyed, _, spans = _prepared(docs, window, symbol_bytes, memory_mb, hot_bytes)
+    keyed, _, spans = _prepared(docs, (window,), symbols, memory_mb, hot_bytes)
     copies = keyed.groupBy("uid").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
-    gone = copies.join(_by_text(spans), "uid", "left").select(
-        F.col("uid").alias("_uid"), F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), whole).otherwise(F.col("spans")).alias("_spans")
-    ).where(F.col("_spans").isNotNull())
-    marked = docs.withColumn("_uid", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)).join(gone, "_uid", "left").drop("_uid")
+    gone = copies.join(_by_text(spans, (window,)), "uid", "left").select(
+        "uid", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), whole).otherwise(F.col(f"spans_{window}")).alias("spans")
+    ).where(F.col("spans").isNotNull())
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("own"))
+    marked = own.join(gone, own["own"] == gone["uid"], "left").select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("text")
-            texts = batch.column(i).to_pylist()
-            for k, found in enumerate(batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for k, found in enumerate(batch.column(2).to_pylist()):
                 if found:
                     raw, kept, at = texts[k].encode("utf-8", "replace"), [], 0
                     for start, stop in _united([(s["start"], s["stop"]) for s in found]):
                         kept.append(raw[at:start])
                         at = stop
                     texts[k] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
-            out = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
-            yield out.select([c for c in out.schema.names if c != "_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return marked.mapInArrow(cut, docs.schema)
+    shape = StructType([StructField("row", docs.schema), StructField("text", StringType())])
+    return marked.mapInArrow(cut, shape).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -26,6 +26,7 @@ def corpus_rows():
         (50, None, "hot"), (51, "", "s0"), (52, " \t\n ", "s0"), (53, "three short words", "s0"), (54, "three short words", "s0"), (55, "Three SHORT words", None),
         (56, " ".join(prose(k, 400) for k in range(400, 420)), "s1"), (57, "Again " * 500, "s1"), (58, "Again " * 480, "s1"), (59, "é" * 900, "s0"),
         (None, base[2], "s0"), (60, base[3], "s0"), (60, base[3], "s0"),
+        (65, prose(600, 120), "s1"), (65, prose(600, 120), "s1"),  # a document that is listed twice
         (61, base[4] + "\nReleased under the MIT License.\nAll rights reserved.", "s0"),
         (62, "Licensed under CC BY-NC 4.0. cc by cc by\n" + base[5], "s0"),
         (63, " ".join(w + "###" for w in prose(500, 120).split()), "s0"), (64, (prose(501, 12) + "\n") * 9, "s0"),

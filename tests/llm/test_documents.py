@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import decontaminate, hidden_markov, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, token_counts
 
@@ -66,6 +67,17 @@ def test_quality_measures(corpus, corpus_rows):
     assert set(range(12)) | {40, 41, 56, 61} <= kept and not kept & {50, 51, 52, 53, 57, 63, 64}
 
 
+def test_line_and_stop_word_rules_leave_good_texts_alone(spark):
+    heading = "Section\n"
+    short_lines = "\n".join((heading if k % 2 else "") + plain.prose(k, 30) for k in range(20))  # a third of the lines, few of the words
+    copied = "\n".join([plain.prose(1, 20)] * 4 + [plain.prose(k, 10) for k in range(3)])
+    rows = [(1, short_lines, "en"), (2, copied, "en"), (3, " ".join(f"slovo{k}" for k in range(80)), "cs"), (4, " ".join(f"word{k}" for k in range(80)), "EN"), (5, plain.prose(9, 80), None)]
+    docs = spark.createDataFrame([(*r, "w", "l", 0) for r in rows], "doc_id long, text string, lang string, _words string, _lines string, n_words int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4, 5)] == [True, False, True, False, True]
+    assert "line_copies" in got[2].broken_rules and got[4].broken_rules == ["stop_words"] and got[1]._words == "w" and got[1].n_words > 500
+
+
 def test_kept_documents_return_their_own_columns(corpus):
     kept = quality_rules.kept_documents(corpus)
     assert kept.columns == corpus.columns
@@ -84,6 +96,18 @@ def test_exponent_meets_entropy_or_limit():
         mixing.mixing_weights(tokens, max_repeats=2.0, budget=3.0)
 
 
+@pytest.mark.parametrize("budget", [None, 1.0, 1.5])
+def test_a_gain_binds_for_all_but_even_sources(budget):
+    for tokens in ({f"s{i}": 6000 + 3 * i for i in range(20)}, {"a": 9000, "b": 900, "c": 100}, {"hot": 10**9, **{f"s{i}": 10**6 + i for i in range(30)}, "tiny": 3}):
+        exponent, w, size = mixing.mixing_weights(tokens, max_repeats=50.0, budget=budget, gain=0.5)
+        total = sum(tokens.values())
+        flat = lambda p: -sum(x * math.log(x) for x in p)
+        natural = flat([n / total for n in tokens.values()])
+        met = natural + 0.5 * (math.log(len(tokens)) - natural)
+        assert 0 < exponent < 1 and (flat(w.values()) == pytest.approx(met) or max(size * w[s] / tokens[s] for s in w) == pytest.approx(50.0))
+    assert mixing.mixing_weights({"a": 5, "b": 5}, gain=0.5)[0] == 1.0
+
+
 @pytest.mark.parametrize("tiny", [None, 12])
 @pytest.mark.parametrize("budget", [None, 1.0])
 def test_even_sources_keep_their_shares(tiny, budget):
@@ -126,6 +150,41 @@ def test_quotas_are_met_within_one_document(corpus, corpus_rows):
     assert all(set(e) == set(range(1, max(e) + 1)) for e in passes.values())
 
 
+def test_rows_equal_a_plain_mix(spark):
+    """Which documents, passes and places, row for row, from the same hashes taken one by one."""
+    rows = [(100 * s + i, plain.prose(100 * s + i, 20 + 7 * i), f"s{s}" if s else None) for s in range(4) for i in range(4 + 9 * s)] + [(900, "", "s1"), (901, None, "s2")]
+    docs = spark.createDataFrame([(*r, "k", "h", 1, 2, 3) for r in rows], "doc_id long, text string, source string, _key string, _hash string, _taken int, _place int, _row int")
+    n = lambda t: len(plain.WORD.findall(t or ""))
+    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    hashed = docs.select("doc_id", "text", key.alias("k"), F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).withColumn("b", F.pmod("h", F.lit(8)))
+    hashed = hashed.withColumn("o", F.xxhash64(F.lit(43), "k", "b")).collect()
+    for budget in (1.5, None):
+        tokens = {}
+        for r in hashed:
+            tokens[r.k] = tokens.get(r.k, 0) + n(r.text)
+        exponent, weights, size = mixing.mixing_weights(tokens, max_repeats=4.0, budget=budget, gain=0.5)
+        assert 0 < exponent < 1
+        want, partial = [], 0
+        for s, total in tokens.items():
+            own = sorted((r for r in hashed if r.k == s), key=lambda r: (r.o, r.b, r.h))
+            passes, quota = divmod(size * weights[s] + 1e-6, total)
+            taken, open_block = set(), None
+            for r in own if quota >= 1 else []:  # whole blocks in order, then one block's documents while they fit
+                block = [x for x in own if x.o == r.o]
+                if sum(n(x.text) for x in own if x.o <= r.o) <= quota:
+                    taken |= {x.doc_id for x in block}
+                elif open_block in (None, r.o):
+                    open_block = r.o
+                    before = sum(n(x.text) for x in own if x.o < r.o)
+                    if before + sum(n(x.text) for x in block if x.h <= r.h) <= quota:
+                        taken.add(r.doc_id)
+            partial += 0 < len(taken) < len(own)
+            want += [(r.doc_id, e, r.b) for r in own for e in range(1, int(passes) + 1 + (r.doc_id in taken))]
+        got = mixing.mix(docs, max_repeats=4.0, budget=budget, blocks=8, gain=0.5).collect()
+        assert partial and sorted((r.doc_id, r.epoch, r.block) for r in got) == sorted(want)
+        assert {(r._key, r._hash, r._taken, r._place, r._row) for r in got} == {("k", "h", 1, 2, 3)}
+
+
 def test_covering_budget_keeps_every_document(corpus, corpus_rows):
     mixed = mixing.mix(corpus, budget=None).collect()
     assert {(r.doc_id, r.text) for r in mixed} == {(i, t) for i, t, _ in corpus_rows}
@@ -133,7 +192,7 @@ def test_covering_budget_keeps_every_document(corpus, corpus_rows):
 
 # --- suffix-array dedup ------------------------------------------------------------
 
-@pytest.mark.parametrize("window, symbol", [(400, 40), (100, 20)])
+@pytest.mark.parametrize("window, symbol", [(400, 4), (400, 10), (100, 5)])
 def test_repeated_bytes(corpus, corpus_rows, window, symbol):
     got = suffix_dedup.repeats(corpus, window, symbol).collect()
     cut = plain.cut_repeats([t for _, t, _ in corpus_rows], window)
@@ -142,7 +201,10 @@ def test_repeated_bytes(corpus, corpus_rows, window, symbol):
 
 
 def test_texts_without_repeats(corpus, corpus_rows):
-    got = suffix_dedup.remove_repeats(corpus, 100, 20)
+    named = {"_uid": 1, "_spans": "x", "uid": 2, "row": 3, "size": 4, "own": 5}
+    got = suffix_dedup.remove_repeats(corpus.withColumns({c: F.lit(x) for c, x in named.items()}), 100, 5)
+    assert all(set(r.asDict().items()) >= set(named.items()) for r in got.collect())
+    got = got.select(*corpus.columns)
     assert got.columns == corpus.columns
     cut = plain.cut_repeats([t for _, t, _ in corpus_rows], 100)
     want = [(i, None if t is None else kept.decode("utf-8", "ignore")) for (i, t, _), (kept, _, _) in zip(corpus_rows, cut)]
@@ -159,14 +221,16 @@ def test_hot_keys_are_not_dealt_as_one_range(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     cut = plain.cut_repeats([t for _, t in rows], 400)
     want = [(i, len(t.encode()), removed, spans, plain.sha(kept)) for (i, t), (kept, removed, spans) in zip(rows, cut)]
-    for hot_bytes in (0, 5000):
-        got = suffix_dedup.repeats(docs, hot_bytes=hot_bytes).collect()
-        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
-    _, texts, _ = suffix_dedup._prepared(docs, 400, 40, 64, 5000)
+    shorter = [removed for _, removed, _ in plain.cut_repeats([t for _, t in rows], 200)]
+    for hot_bytes in (0, 5000, 1 << 40):
+        got = suffix_dedup.repeats(docs, hot_bytes=hot_bytes, passage=200).collect()
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in got], [(*w, n) for w, n in zip(want, shorter)])
+        same([tuple(r) for r in suffix_dedup.repeats(docs, hot_bytes=hot_bytes).collect()], want)
+    _, texts, _ = suffix_dedup._prepared(docs, (400,), 4, 64, 5000)
     sizes = {}
-    for r in suffix_dedup._pieces(texts.dropDuplicates(["uid"]), 1 << 30, 400).collect():
+    for r in suffix_dedup._pieces(texts.dropDuplicates(["uid"]), 1 << 30).collect():
         sizes[r.range] = sizes.get(r.range, 0) + len(r.piece)
-    assert suffix_dedup._hot_pieces(texts, 400).count() > 0 and max(sizes.values(), default=0) <= 5000
+    assert suffix_dedup._pieces(texts, 1, hot=True).count() > 0 and max(sizes.values(), default=0) <= 5000
 
 
 @pytest.mark.parametrize("memory_mb", [0, 64])
@@ -175,13 +239,22 @@ def test_column_wise_construction(memory_mb):
     for _ in range(15):
         pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))).encode() for _ in range(rng.randint(1, 6))]
         pieces = list(dict.fromkeys(pieces + [pieces[0][3:] + b"a"]))
-        flags, at = suffix_dedup.repeated_windows(pieces, 12, 3, memory_mb), 0
+        flags, at = suffix_dedup.repeated_windows(pieces, 12, 4, memory_mb), 0
         seen = [p[i:i + 12] for p in pieces for i in range(len(p) - 11)]
         for p in pieces:
-            assert flags[at:at + len(p) - 11].tolist() == [seen.count(p[i:i + 12]) > 1 for i in range(len(p) - 11)]
+            assert flags[at:at + len(p)].tolist() == [len(p) - i >= 12 and seen.count(p[i:i + 12]) > 1 for i in range(len(p))]
             at += len(p)
 
 
+def test_passages_of_fifty_short_words_fill_the_window_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    passage = " ".join(["also", "with", "some", "word"][k % 4] + "abcdefghij"[k // 4 % 10] for k in range(51))[:-51] + " " + plain.prose(77, 12)
+    rows = [(i, plain.prose(i, 80) + "\n" + passage + "\n" + plain.prose(i + 50, 80)) for i in range(3)]
+    kept = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(kept) == 3 and not any(passage in r.text for r in kept) and all(plain.prose(r.doc_id, 79) in r.text for r in kept)
+
+
 # --- n-gram Jaccard join ------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [2, 1000])
@@ -191,6 +264,16 @@ def test_components(corpus, corpus_rows, block):
     same([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got], want)
 
 
+def test_one_row_of_each_component_stays(spark):
+    base, other = plain.prose(1, 100), plain.prose(2, 100)
+    near = base + " changed"
+    rows = [(1, base), (1, base), (2, near), (3, other), (3, other), (3, plain.prose(3, 100)), (None, other), (None, plain.prose(4, 90)), (None, plain.prose(4, 90)), (5, None), (5, None), (6, ""), (7, near)]
+    docs = spark.createDataFrame([(i, t, 1, "k", "r") for i, t in rows], "doc_id long, text string, _group int, _key string, _row string")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    same([(r.doc_id, r.text) for r in kept.collect()], [(1, base), (3, other), (3, plain.prose(3, 100)), (None, plain.prose(4, 90)), (5, None), (6, "")])
+
+
 def test_index_keys_never_lose_a_link():
     rng = np.random.default_rng(1)
     for trial in range(300):
@@ -298,6 +381,15 @@ def test_leaks(spark, corpus, corpus_rows):
     assert decontaminate.decontaminate(corpus, benchmark.limit(0)).count() == len(corpus_rows)
 
 
+def test_rows_without_id_are_judged_by_their_text(spark):
+    clean, leak = plain.prose(1, 120), plain.prose(2, 120)
+    docs = spark.createDataFrame([(None, clean, "x"), (None, leak, "x"), (1, clean, "x"), (1, leak, "x"), (None, None, "x"), (2, "", "x")], "doc_id long, text string, _leaks string")
+    benchmark = spark.createDataFrame([(1, " ".join(leak.split()[20:60]))], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns
+    same([(r.doc_id, r.text) for r in kept.collect()], [(None, clean), (1, clean), (None, None), (2, "")])
+
+
 def test_block_max_wand_equals_all_scores():
     rng = random.Random(8)
     items = [(i, plain.prose(rng.randrange(40), rng.randint(3, 30))) for i in range(150)]
