@@ -2,11 +2,11 @@
 
 A byte goes if a ``window``-byte string that covers it starts anywhere else too.
 
-1. Each window is keyed by the smallest hash of its grams of half its size.
+1. Each window is keyed by the smallest hash of its grams of 48 bytes.
    Consecutive windows of a document with the same key form a run; the piece of
    a run is the text under its windows. Equal windows have equal keys, so they
    meet in one hash range; keys that stand in one place only are dropped before
-   any text moves. Windows of two sizes have their own keys, runs and ranges.
+   any text moves.
 2. In a range, equal pieces fall together (their windows repeat). Of the others
    the suffixes are sorted column-wise: a window has ``symbols`` symbols, a
    piece gives strings for each byte phase, cut at symbols that stand once, and
@@ -54,6 +54,7 @@ from .shingles import _BYTE, _STEP, in_parts, mix
 WINDOW = 400
 PASSAGE = 200
 SYMBOLS = 4
+GRAM = 48
 _RANGE_BYTES = 2_000_000
 _HOT_BYTES = 4 * _RANGE_BYTES
 _LOW = np.int64(0xFFFFFFFF)
@@ -97,7 +98,7 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs(texts: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, ...]]:
     """For each text the runs of windows: keys, first and last window, places of the key's gram in the run's piece."""
-    gram = -(-window // 2)
+    gram = min(GRAM, window)
     width = window - gram + 1
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
@@ -232,64 +233,75 @@ def _uid(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()[:16]
 
 
-_RUNS = ("size", "keys", "first", "last", "times")
-_TEXTS = "doc_id long, uid binary, n_bytes long, sha256 string, size array<int>, keys array<long>, first array<int>, last array<int>, times array<int>"
+_RUNS = ("keys", "first", "last", "times")
+_RUN_COLUMNS = "keys array<long>, first array<int>, last array<int>, times array<int>"
 
 
-def _keyed(docs: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """The runs of each row's text for every window size, side by side."""
+def _run_columns(found: list[tuple[np.ndarray, ...]]) -> dict[str, pa.Array]:
+    kinds = (np.int64, np.int32, np.int32, np.int32)
+    return {c: pa.array([f[i].astype(kind) for f in found], pa.list_(pa.from_numpy_dtype(kind))) for i, (c, kind) in enumerate(zip(_RUNS, kinds))}
+
+
+def _keyed(docs: DataFrame, window: int) -> DataFrame:
+    """The runs of each row's text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_parts(batches):
-            found = [[(np.full(len(f[0]), w, np.int32), *f) for f in runs(texts, w)] for w in windows]
-            joined = [[np.concatenate(column) for column in zip(*each)] for each in zip(*found)]
             digests = [hashlib.sha256(t) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "uid": pa.array([d.digest()[:16] for d in digests], pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
-                "sha256": pa.array([d.hexdigest() for d in digests]),
-                **{c: pa.array([f[i].astype(kind) for f in joined], pa.list_(pa.from_numpy_dtype(kind))) for i, (c, kind) in enumerate(zip(_RUNS, (np.int32, np.int64, np.int32, np.int32, np.int32)))},
+                "sha256": pa.array([d.hexdigest() for d in digests]), **_run_columns(runs(texts, window)),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(read, _TEXTS)
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id long, uid binary, n_bytes long, sha256 string, {_RUN_COLUMNS}")
 
 
-_PIECES = "size int, range int, uid binary, first int, piece binary"
-_PIECES_SHAPE = pa.schema([("size", pa.int32()), ("range", pa.int32()), ("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
+def _wanted(each: DataFrame, window: int, hot_bytes: int) -> tuple[DataFrame, int, int]:
+    """``uid, at, runs`` with the runs whose key stands twice or more, stored, and the bytes of their pieces under usual and hot keys."""
+    each = each.select("uid", "at", F.explode(F.arrays_zip(*_RUNS)).alias("r")).select("uid", "at", "r.*")
+    n_bytes = F.col("last") - F.col("first") + F.lit(window)
+    shared = each.groupBy("keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("keys", (F.col("bytes") > hot_bytes).alias("hot"))
+    run = F.struct(F.col("keys").alias("key"), "first", "last", "hot")
+    wanted = materialize(each.drop("times").join(shared, "keys").groupBy("uid", "at").agg(F.collect_list(run).alias("runs")), "suffix-wanted")
+    total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + window).otherwise(0)))
+    size, hot_size = (x or 0 for x in wanted.select(total(False), total(True)).collect()[0])
+    return wanted, size, hot_size
+
 
+_PIECES = "range int, uid binary, first int, piece binary"
+_PIECES_SHAPE = pa.schema([("range", pa.int32()), ("uid", pa.binary()), ("first", pa.int32()), ("piece", pa.binary())])
 
-def _pieces(texts: DataFrame, ranges: int, hot: bool = False) -> DataFrame:
-    """The pieces of wanted runs whose key is hot or not, from rows of ``uid, text, runs``."""
+
+def _pieces(texts: DataFrame, ranges: int, window: int, hot: bool = False) -> DataFrame:
+    """The pieces of wanted runs whose key is hot or not, from rows of ``uid, at, body, runs``; ``at`` is the body's place in its text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {c: [] for c in _PIECES_SHAPE.names}
-            for uid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = (text or "").encode("utf-8", "replace")
+            for uid, at, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for r in wanted:
                     if r["hot"] == hot:
-                        rows["size"].append(r["size"])
                         rows["range"].append(r["key"] % ranges)
                         rows["uid"].append(uid)
-                        rows["first"].append(r["first"])
-                        rows["piece"].append(raw[r["first"]:r["last"] + r["size"]])
+                        rows["first"].append(at + r["first"])
+                        rows["piece"].append(body[r["first"]:r["last"] + window])
                 if len(rows["range"]) >= 4000:
                     yield pa.RecordBatch.from_pydict(rows, schema=_PIECES_SHAPE)
                     rows = {c: [] for c in rows}
             if rows["range"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=_PIECES_SHAPE)
 
-    return texts.select("uid", "text", "runs").mapInArrow(cut, _PIECES)
+    return texts.select("uid", "at", "body", "runs").mapInArrow(cut, _PIECES)
 
 
-_SPANS = "uid binary, size int, start int, stop int"
-_SPANS_SHAPE = pa.schema([("uid", pa.binary()), ("size", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+_SPANS = "uid binary, start int, stop int"
+_SPANS_SHAPE = pa.schema([("uid", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _found(pieces: DataFrame, symbols: int, memory_mb: int) -> DataFrame:
-    """Spans ``uid, size, start, stop`` of bytes repeated by windows of a size, from the collection of each size and range."""
+def _found(pieces: DataFrame, window: int, symbols: int, memory_mb: int) -> DataFrame:
+    """Spans ``uid, start, stop`` of repeated bytes, from the collection of each range."""
 
     def search(table: pa.Table) -> pa.Table:
-        window = table.column("size")[0].as_py()
         places: dict[bytes, set[tuple[bytes, int]]] = {}
         for uid, first, piece in zip(*(table.column(c).to_pylist() for c in ("uid", "first", "piece"))):
             places.setdefault(piece, set()).add((uid, first))
@@ -304,49 +316,52 @@ def _found(pieces: DataFrame, symbols: int, memory_mb: int) -> DataFrame:
             for start, stop in edges.reshape(-1, 2).tolist():
                 for uid, first in places[piece]:
                     rows["uid"].append(uid)
-                    rows["size"].append(window)
                     rows["start"].append(first + start)
                     rows["stop"].append(first + stop - 1 + window)
         return pa.Table.from_pydict(rows, schema=_SPANS_SHAPE)
 
-    return pieces.groupBy("size", "range").applyInArrow(search, _SPANS)
+    return pieces.groupBy("range").applyInArrow(search, _SPANS)
 
 
-def _hot_found(texts: DataFrame) -> DataFrame:
-    """Spans ``uid, size, start, stop`` of repeated bytes under hot keys, by counts of whole pieces and of single windows."""
+def _hot_found(texts: DataFrame, window: int) -> DataFrame:
+    """Spans ``uid, start, stop`` of repeated bytes under hot keys, by counts of whole pieces and of single windows."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
-                sizes, uids, firsts, pieces, alone = (part.column(i).to_pylist() for i in range(5))
-                for window in set(sizes):
-                    own = [i for i, s in enumerate(sizes) if s == window]
-                    lengths = np.array([len(pieces[i]) for i in own], np.int64)
-                    count = lengths - window + 1
-                    row = np.repeat(np.array(own), count)
-                    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                    begins = np.repeat(np.cumsum(lengths) - lengths, count)
-                    hashes = _gram_hashes(np.frombuffer(b"".join(pieces[i] for i in own), np.uint8), window)[begins + within]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(row), window, np.int32)), pa.array(uids, pa.binary()).take(pa.array(row)), pa.array(np.array(firsts, np.int32)[row]),
-                        pa.array((np.array(firsts)[row] + within).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(np.array(alone, bool)[row]),
-                    ], ["size", "uid", "first", "at", "hash", "alone"])
-
-    pieces = _pieces(texts, 1, hot=True).dropDuplicates(["size", "uid", "first"])
+                uids, firsts, pieces, alone = (part.column(i).to_pylist() for i in range(4))
+                lengths = np.array([len(p) for p in pieces], np.int64)
+                count = lengths - window + 1
+                row = np.repeat(np.arange(len(pieces)), count)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hashes = _gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), window)[(np.cumsum(lengths) - lengths)[row] + within]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uids, pa.binary()).take(pa.array(row)), pa.array(np.array(firsts, np.int32)[row]), pa.array((np.array(firsts)[row] + within).astype(np.int32)),
+                    pa.array(hashes.view(np.int64)), pa.array(np.array(alone, bool)[row]),
+                ], ["uid", "first", "at", "hash", "alone"])
+
+    pieces = _pieces(texts, 1, window, hot=True).dropDuplicates(["uid", "first"])
     pieces = materialize(pieces.withColumn("sha", F.unhex(F.sha2("piece", 256))), "suffix-hot")
     place = F.xxhash64("uid", "first")
-    groups = pieces.groupBy("size", "sha").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    known = pieces.join(groups, ["size", "sha"])
-    whole = known.where("n > 1").select("uid", "size", F.col("first").alias("start"), (F.col("first") + F.length("piece")).cast("int").alias("stop"))
-    distinct = known.where(place == F.col("one")).select("size", "uid", "first", "piece", (F.col("n") == 1).alias("alone"))
-    rows = materialize(distinct.mapInArrow(hashed, "size int, uid binary, first int, at int, hash long, alone boolean"), "suffix-windows")
+    groups = pieces.groupBy("sha").agg(F.count("*").alias("n"), F.min(place).alias("one"))
+    known = pieces.join(groups, "sha")
+    whole = known.where("n > 1").select("uid", F.col("first").alias("start"), (F.col("first") + F.length("piece")).cast("int").alias("stop"))
+    distinct = known.where(place == F.col("one")).select("uid", "first", "piece", (F.col("n") == 1).alias("alone"))
+    rows = materialize(distinct.mapInArrow(hashed, "uid binary, first int, at int, hash long, alone boolean"), "suffix-windows")
     # stored, so that the join can be dealt anew where a window has very many places
-    twice = materialize(rows.groupBy("size", "hash").agg(F.count("*").alias("n")).where("n > 1").select("size", "hash"), "suffix-twice")
-    marked = rows.where("alone").join(twice, ["size", "hash"]).select("uid", "first", "size", "at")
+    twice = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "suffix-twice")
+    marked = rows.where("alone").join(twice, "hash").select("uid", "first", "at")
     # neighbours make one span; a piece has at most as many windows as the window has grams
-    stretch = F.col("at") - F.row_number().over(Window.partitionBy("uid", "first", "size").orderBy("at"))
-    parts = marked.withColumn("stretch", stretch).groupBy("uid", "first", "size", "stretch").agg(F.min("at").alias("start"), (F.max("at") + F.col("size")).cast("int").alias("stop"))
-    return whole.unionByName(parts.select("uid", "size", "start", "stop"))
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("uid", "first").orderBy("at"))
+    parts = marked.withColumn("stretch", stretch).groupBy("uid", "first", "stretch").agg(F.min("at").alias("start"), (F.max("at") + window).cast("int").alias("stop"))
+    return whole.unionByName(parts.select("uid", "start", "stop"))
+
+
+def _searched(texts: DataFrame, wanted: tuple[DataFrame, int, int], window: int, symbols: int, memory_mb: int) -> DataFrame:
+    """Spans ``uid, start, stop`` of the bodies' repeated windows."""
+    _, size, hot_size = wanted
+    spans = _found(_pieces(texts, max(1, math.ceil(size / _RANGE_BYTES)), window), window, symbols, memory_mb)
+    return spans.unionByName(_hot_found(texts, window)) if hot_size else spans
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -359,29 +374,41 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _prepared(docs: DataFrame, windows: tuple[int, ...], symbols: int, memory_mb: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed rows, one text with its wanted runs per distinct text, and the spans found by text and window size."""
-    keyed = materialize(_keyed(docs, windows), "suffix-texts")
-    one = keyed.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("chosen"), F.count("*").alias("copies"))
+def _prepared(docs: DataFrame, window: int, symbols: int, memory_mb: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keyed rows, one text with its wanted runs per distinct text (``uid, at, body, runs``), and the spans found by text."""
+    keyed = materialize(_keyed(docs, window), "suffix-texts")
+    one = keyed.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id")).alias("chosen"))
     chosen = keyed.join(one, "uid").where(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id"))).dropDuplicates(["uid"])
-    each = chosen.select("uid", "doc_id", F.explode(F.arrays_zip(*_RUNS)).alias("r")).select("uid", "doc_id", "r.*")
-    n_bytes = F.col("last") - F.col("first") + F.col("size")
-    shared = each.groupBy("size", "keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("size", "keys", (F.col("bytes") > hot_bytes).alias("hot"))
-    run = F.struct("size", F.col("keys").alias("key"), "first", "last", "hot")
-    wanted = materialize(each.join(shared, ["size", "keys"]).groupBy("uid", "doc_id").agg(F.collect_list(run).alias("runs")), "suffix-wanted")
-    total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + r["size"]).otherwise(0)))
-    size, hot_size = (x or 0 for x in wanted.select(total(False), total(True)).collect()[0])
-    ranges = max(1, math.ceil(size / _RANGE_BYTES / len(windows)))
-    own = docs.select(F.col("doc_id").alias("_doc"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_uid"), "text")
-    texts = own.join(wanted, (own["_uid"] == wanted["uid"]) & own["_doc"].eqNullSafe(wanted["doc_id"]))
-    spans = _found(_pieces(texts, ranges), symbols, memory_mb)
-    return keyed, texts, spans.unionByName(_hot_found(texts)) if hot_size else spans
+    wanted = _wanted(chosen.withColumn("at", F.lit(0)), window, hot_bytes)
+    runs_of = wanted[0].join(one, "uid").select("uid", "at", "runs", F.col("chosen.doc_id").alias("doc_id"))
+    own = docs.select(F.col("doc_id").alias("_doc"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("_uid"), F.col("text").cast("binary").alias("body"))
+    texts = own.join(runs_of, (own["_uid"] == runs_of["uid"]) & own["_doc"].eqNullSafe(runs_of["doc_id"])).select("uid", "at", "body", "runs")
+    return keyed, texts, _searched(texts, wanted, window, symbols, memory_mb)
+
 
+def _within(bodies: DataFrame, window: int, symbols: int, memory_mb: int, hot_bytes: int) -> DataFrame:
+    """Spans ``uid, start, stop`` of windows that repeat, all of whose parts are known to: ``uid, body, spans`` has the spans of smaller windows."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, places, parts = [], [], []
+            for uid, body, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for start, stop in _united([(s["start"], s["stop"]) for s in found]):
+                    if stop - start >= window:
+                        uids.append(uid)
+                        places.append(start)
+                        parts.append(body[start:stop])
+            if parts:
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uids, pa.binary()), "at": pa.array(places, pa.int32()), "body": pa.array(parts, pa.binary()), **_run_columns(runs(parts, window))})
 
-def _by_text(spans: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """One row for each text with a list of sorted spans for each size, ``spans_<size>``; a text's spans are at most as many as its runs."""
-    lists = [F.sort_array(F.collect_list(F.when(F.col("size") == w, F.struct("start", "stop")))).alias(f"spans_{w}") for w in windows]
-    return spans.groupBy("uid").agg(*lists)
+    cut = materialize(bodies.select("uid", "body", "spans").mapInArrow(stretches, f"uid binary, at int, body binary, {_RUN_COLUMNS}").dropDuplicates(["uid", "at"]), "suffix-stretches")
+    wanted = _wanted(cut, window, hot_bytes)
+    return _searched(cut.select("uid", "at", "body").join(wanted[0], ["uid", "at"]), wanted, window, symbols, memory_mb)
+
+
+def _by_text(spans: DataFrame) -> DataFrame:
+    """One row of sorted spans for each text; a text's spans are at most as many as its runs."""
+    return spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def repeats(
@@ -389,32 +416,40 @@ def repeats(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
 
-    With a ``passage`` size also ``n_passage_bytes``: the bytes covered by strings
-    of that size that start elsewhere too, found in the same pass over the texts.
+    With a ``passage`` size also ``n_passage_bytes``: the bytes covered by strings of
+    that smaller size that start elsewhere too. They are found first; a repeated
+    window can only lie where they cover a window's bytes, so the construction
+    for the window works on those stretches alone.
     """
-    windows = (window,) if passage is None else (passage, window)
-    keyed, texts, spans = _prepared(docs, windows, symbols, memory_mb, hot_bytes)
+    if passage is not None and passage >= window:
+        raise ValueError("a passage is shorter than the window")
+    keyed, texts, spans = _prepared(docs, window if passage is None else passage, symbols, memory_mb, hot_bytes)
+    bodies = texts.select("uid", "body").join(_by_text(spans), "uid")
+    if passage is not None:
+        bodies = materialize(bodies.dropDuplicates(["uid"]), "suffix-bodies")
+        longer = _by_text(_within(bodies, window, symbols, memory_mb, hot_bytes))
+        bodies = bodies.withColumnRenamed("spans", "shorter").join(longer, "uid", "left").select("uid", "body", "spans", "shorter")
     shape = pa.schema([("uid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {c: [] for c in shape.names}
-            for uid, text, found, shorter in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw, cut, at = (text or "").encode("utf-8", "replace"), hashlib.sha256(), 0
-                gone = _united([(s["start"], s["stop"]) for s in found])
+            columns = [c.to_pylist() for c in batch.columns]
+            for uid, body, found, shorter in zip(*columns[:3], columns[3] if passage is not None else [None] * len(batch)):
+                cut, at = hashlib.sha256(), 0
+                gone = _united([(s["start"], s["stop"]) for s in found or ()])
                 for start, stop in gone:
-                    cut.update(raw[at:start])
+                    cut.update(body[at:start])
                     at = stop
-                cut.update(raw[at:])
+                cut.update(body[at:])
                 rows["uid"].append(uid)
                 rows["n_removed"].append(sum(b - a for a, b in gone))
                 rows["n_spans"].append(len(gone))
                 rows["kept_sha256"].append(cut.hexdigest())
-                rows["n_passage_bytes"].append(sum(b - a for a, b in _united([(s["start"], s["stop"]) for s in shorter])))
+                rows["n_passage_bytes"].append(sum(b - a for a, b in _united([(s["start"], s["stop"]) for s in shorter or ()])))
             yield pa.RecordBatch.from_pydict(rows, schema=shape)
 
-    by_text = texts.select("uid", "text").join(_by_text(spans, windows), "uid").select("uid", "text", f"spans_{window}", f"spans_{windows[0]}")
-    partly = by_text.mapInArrow(digest, "uid binary, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long").dropDuplicates(["uid"])
+    partly = bodies.mapInArrow(digest, "uid binary, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long").dropDuplicates(["uid"])
     copies = keyed.groupBy("uid").agg(F.count("*").alias("copies"))
     rows = keyed.select("doc_id", "uid", "n_bytes", "sha256").join(copies.join(partly, "uid", "left"), "uid")
     whole = lambda size: (F.col("copies") > 1) & (F.col("n_bytes") >= size)
@@ -435,11 +470,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, symbols: int = SYMBOLS
 
     A character of which a cut leaves only some bytes goes with them.
     """
-    keyed, _, spans = _prepared(docs, (window,), symbols, memory_mb, hot_bytes)
+    keyed, _, spans = _prepared(docs, window, symbols, memory_mb, hot_bytes)
     copies = keyed.groupBy("uid").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
-    gone = copies.join(_by_text(spans, (window,)), "uid", "left").select(
-        "uid", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), whole).otherwise(F.col(f"spans_{window}")).alias("spans")
+    gone = copies.join(_by_text(spans), "uid", "left").select(
+        "uid", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), whole).otherwise(F.col("spans")).alias("spans")
     ).where(F.col("spans").isNotNull())
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("own"))
     marked = own.join(gone, own["own"] == gone["uid"], "left").select("row", "text", "spans")

@@ -226,11 +226,11 @@ def test_hot_keys_are_not_dealt_as_one_range(spark):
         got = suffix_dedup.repeats(docs, hot_bytes=hot_bytes, passage=200).collect()
         same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in got], [(*w, n) for w, n in zip(want, shorter)])
         same([tuple(r) for r in suffix_dedup.repeats(docs, hot_bytes=hot_bytes).collect()], want)
-    _, texts, _ = suffix_dedup._prepared(docs, (400,), 4, 64, 5000)
+    _, texts, _ = suffix_dedup._prepared(docs, 400, 4, 64, 5000)
     sizes = {}
-    for r in suffix_dedup._pieces(texts.dropDuplicates(["uid"]), 1 << 30).collect():
+    for r in suffix_dedup._pieces(texts.dropDuplicates(["uid"]), 1 << 30, 400).collect():
         sizes[r.range] = sizes.get(r.range, 0) + len(r.piece)
-    assert suffix_dedup._pieces(texts, 1, hot=True).count() > 0 and max(sizes.values(), default=0) <= 5000
+    assert suffix_dedup._pieces(texts, 1, 400, hot=True).count() > 0 and max(sizes.values(), default=0) <= 5000
 
 
 @pytest.mark.parametrize("memory_mb", [0, 64])
