@@ -41,7 +41,8 @@ CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 SPACE_RUNS = r"[ \t]+"
 BLANK_LINE_RUNS = r"\n{3,}"
 PARAGRAPH_BREAK = rf"\n{SPACE}*\n+"
-SENTENCE_BREAK = rf"""(?<=[.!?]){SPACE}+(?=[A-Z0-9"'])"""
+SENTENCE_END, SENTENCE_START = "[.!?]", """[A-Z0-9"']"""
+SENTENCE_BREAK = rf"(?<={SENTENCE_END}){SPACE}+(?={SENTENCE_START})"
 
 
 def strip(text: Column) -> Column:
@@ -51,14 +52,18 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """ASCII quotes and dashes, LF line ends, no controls, collapsed space."""
+    return strip(clean_inner(text))
+
+
+def clean_inner(text: Column) -> Column:
+    """``clean_text`` with the white space at both ends left on."""
     c = F.coalesce(text, F.lit(""))
     c = F.translate(c, "“”‘’", "\"\"''")
     c = F.regexp_replace(c, "[–—]", " - ")
     c = F.regexp_replace(c, LINE_ENDS, "\n")
     c = F.regexp_replace(c, CONTROLS, "")
     c = F.regexp_replace(c, SPACE_RUNS, " ")
-    c = F.regexp_replace(c, BLANK_LINE_RUNS, "\n\n")
-    return strip(c)
+    return F.regexp_replace(c, BLANK_LINE_RUNS, "\n\n")
 
 
 def _pieces(cleaned: Column, boundary: str) -> Column:

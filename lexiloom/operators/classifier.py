@@ -8,7 +8,6 @@ vocabulary cap, so it is broadcast and every document is scored where it lies.
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,21 +16,22 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.fixed_values import (
     INVERSE_REGULARISATION, MAX_ITERATIONS, PREDICT_MIN_CHARS, TOO_BRIEF_MESSAGE, UNDETERMINED, VOCABULARY_CAP,
 )
 from ..session import cluster, materialize
-from .evaluation import classification_metrics, classification_report, confusion_matrix
+from .evaluation import METRICS, classification_metrics, classification_report, confusion_matrix
 from .splitting import stratified_split
-from .terms import smooth_idf, sublinear, term_frequency
+from .terms import normalise, smooth_idf, sublinear, term_frequency
 
 # A sparse vector is stored as a struct; read back with this schema it is a vector.
 _FEATURES = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
 
-_PUBLISHED = "version string, saved_at double, signature string, tables array<string>"
+# The solver stops where a step gains less than this share of the objective.
+TOLERANCE = 1e-8
 # The driver holds the class names and builds one column for each.
 MAX_CLASSES = 1000
 
@@ -41,17 +41,44 @@ def _terms(text: Column) -> Column:
     return T.terms(T.without_stop_words(T.classifier_tokens(text), stops))
 
 
-def vocabulary_topk(texts: DataFrame, size: int = VOCABULARY_CAP) -> DataFrame:
-    """``term, total, position``: the most frequent terms, ties by term.
+def training_terms(texts: DataFrame, row: list[str]) -> DataFrame:
+    """``row, term, tf``, stored: everything that training reads of the texts."""
+    return materialize(term_frequency(texts, row, _terms(F.col("text"))), "training-terms")
 
-    Counts are combined before the shuffle; only ``size`` rows are ordered globally.
+
+def frequent_terms(counted: DataFrame, size: int, buckets: int = 1 << 18) -> DataFrame:
+    """The ``size`` terms with the largest totals, ties by term: ``term, total``, from rows ``term, tf``.
+
+    Exact, though the long tail of rare terms is never shuffled. Counts by hash
+    bucket (``buckets`` rows a task at most, merged by addition) bound the total of
+    every term from above. The terms of the ``size`` heaviest buckets are counted;
+    the total of rank ``size`` among them is a lower bound, and only terms of
+    buckets that reach it can still enter. ``counted`` is read three times: pass
+    a stored table. The bucket numbers are broadcast, ``buckets`` longs at most.
     """
-    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("total")
-    )
-    best = counts.orderBy(F.desc("total"), "term").limit(size)
-    position = F.row_number().over(Window.orderBy(F.desc("total"), "term")).cast("long")
-    return best.withColumn("position", position)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_bucket")
+    sums = materialize(counted.groupBy(bucket).agg(F.sum("tf").alias("_most")), "term-buckets")
+    heavy = sums.orderBy(F.desc("_most"), "_bucket").limit(size).select("_bucket")
+    heavy = materialize(heavy, "heavy-buckets")
+
+    def totals(chosen: DataFrame) -> DataFrame:
+        held = counted.select("term", "tf", bucket).join(F.broadcast(chosen), "_bucket", "left_semi")
+        return held.groupBy("term").agg(F.sum("tf").alias("total"))
+
+    first = materialize(totals(heavy).orderBy(F.desc("total"), "term").limit(size), "frequent-terms")
+    least = first.agg(F.when(F.count(F.lit(1)) < size, F.lit(0).cast("long")).otherwise(F.min("total"))).scalar()
+    rest = sums.where(F.col("_most") >= least).join(F.broadcast(heavy), "_bucket", "left_anti").select("_bucket")
+    return first.unionByName(totals(rest)).orderBy(F.desc("total"), "term").limit(size)
+
+
+def vocabulary_topk(texts: DataFrame, size: int = VOCABULARY_CAP, row_id: str = "doc_id") -> DataFrame:
+    """``term, total, position``: the most frequent terms, ties by term."""
+    return _vocabulary(training_terms(texts, [row_id]), size)
+
+
+def _vocabulary(counted: DataFrame, size: int) -> DataFrame:
+    position = F.row_number().over(Window.orderBy(F.desc("total"), "term")).cast("long")  # ``size`` rows
+    return frequent_terms(counted, size).withColumn("position", position)
 
 
 @dataclass
@@ -64,32 +91,85 @@ class TopicModel:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     signature: str = ""
 
-    def save(self, path: str) -> None:
-        """Write a new version, then publish it by one appended row: a reader sees the old version or the new one whole."""
+    def save(self, path: str) -> int:
+        """Write the tables, then publish them under the next free number; returns the number.
+
+        The number is claimed by creating a file that must not exist yet, so of two
+        writers one gets it and the other takes the next; no clock is compared. A
+        reader sees whole versions only, as the claim names a folder that is complete.
+        (The file system has to create files atomically; HDFS does.)
+        """
         spark = self.terms.sparkSession
         rows = list(zip(range(len(self.classes)), self.classes, self.intercepts))
         classes = spark.createDataFrame(rows, "position int, name string, intercept double")
-        version = uuid.uuid4().hex
+        folder = uuid.uuid4().hex
         for name, table in {"terms": self.terms, "classes": classes, **self.tables}.items():
-            table.write.parquet(f"{path}/versions/{version}/{name}")
-        published = [(version, time.time(), self.signature, list(self.tables))]
-        spark.createDataFrame(published, _PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
+            table.write.parquet(f"{path}/versions/{folder}/{name}")
+        entry = json.dumps({"folder": folder, "signature": self.signature, "tables": list(self.tables)})
+        number = max(published_versions(spark, path), default=0) + 1
+        while not _create(spark, f"{path}/published/{number:012d}.json", entry):
+            number += 1
+        return number
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file with this content; False if it exists."""
+    target, system = _file_system(spark, path)
+    try:
+        stream = system.create(target, False)
+    except Exception as error:
+        if system.exists(target):
+            return False
+        raise error
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    return True
+
+
+def published_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published versions, in order."""
+    target, system = _file_system(spark, f"{path}/published")
+    if not system.exists(target):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(target)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
 
 def load_model(spark: SparkSession, path: str) -> TopicModel:
-    """Read the version published last; tables that were not saved are simply absent."""
-    last = spark.read.schema(_PUBLISHED).parquet(f"{path}/published").orderBy(F.desc("saved_at")).first()
-    folder = f"{path}/versions/{last['version']}"
-    classes = spark.read.parquet(f"{folder}/classes").orderBy("position").collect()
-    extra = {name: spark.read.parquet(f"{folder}/{name}") for name in last["tables"]}
-    return TopicModel(
-        spark.read.parquet(f"{folder}/terms"), [r["name"] for r in classes], [r["intercept"] for r in classes], extra, last["signature"]
-    )
+    """The version with the highest number whose entry is complete.
+
+    Tables that were not saved have their columns and no rows, the run's counts
+    are zeros; without any version there is nothing to load, which raises.
+    """
+    for number in reversed(published_versions(spark, path)):
+        raw = "".join(r[0] for r in spark.read.text(f"{path}/published/{number:012d}.json").collect())
+        if not raw.endswith("}"):  # its writer has not closed it
+            continue
+        entry = json.loads(raw)
+        folder = f"{path}/versions/{entry['folder']}"
+        classes = spark.read.parquet(f"{folder}/classes").orderBy("position").collect()
+        names = [r["name"] for r in classes]
+        extra = {name: spark.createDataFrame(rows, shape) for name, (shape, rows) in _default_tables(names).items()}
+        extra |= {name: spark.read.parquet(f"{folder}/{name}") for name in entry["tables"]}
+        return TopicModel(spark.read.parquet(f"{folder}/terms"), names, [r["intercept"] for r in classes], extra, entry["signature"])
+    raise FileNotFoundError(f"no model is published in {path}")
+
+
+def _default_tables(classes: list[str]) -> dict[str, tuple[StructType, list]]:
+    """Schema and rows by name of the tables that a model may have been saved without."""
+    counts = ("train_samples", "test_samples", "total_samples", "vocabulary_size")
+    columns = lambda *pairs: StructType([StructField(c, kind) for kind, names in pairs for c in names])
+    return {
+        "metrics": (columns((DoubleType(), METRICS)), []),
+        "class_report": (columns((StringType(), ["class"]), (DoubleType(), ["precision", "recall", "f1"]), (LongType(), ["support"])), []),
+        "confusion_matrix": (columns((StringType(), ["true_class"]), (LongType(), sorted(classes))), []),
+        "training_run": (columns((LongType(), counts), (StringType(), ["trained_at"])), [(0, 0, 0, 0, "")]),
+    }
 
 
 def training_signature(labelled: DataFrame, settings: dict) -> str:
@@ -102,7 +182,7 @@ def load_or_train(labelled: DataFrame, path: str, **settings) -> TopicModel:
     """The saved model if it was trained on these rows with these settings, else a new one, trained and saved."""
     spark = labelled.sparkSession
     signature = training_signature(labelled, settings)
-    if _exists(spark, f"{path}/published/_SUCCESS"):
+    if published_versions(spark, path):
         saved = load_model(spark, path)
         if saved.signature == signature:
             return saved
@@ -118,60 +198,120 @@ def known_terms(texts: DataFrame, vocabulary: DataFrame, keep: list[str]) -> Dat
     return counts.join(F.broadcast(vocabulary), "term")
 
 
-def train_classifier(
+@dataclass
+class Fit:
+    """A fitted model with what it was fitted on: stored unit vectors ``row_id, category, index, value``."""
+
+    model: TopicModel
+    split: DataFrame
+    rows: DataFrame
+    weights: DataFrame
+    coefficients: DataFrame
+    n_train: int
+    penalty: float
+
+
+def fit(
     labelled: DataFrame, row_id: str = "doc_id", vocabulary_size: int = VOCABULARY_CAP,
     c: float = INVERSE_REGULARISATION, max_iterations: int = MAX_ITERATIONS,
     test_share: float | None = None, seed: int | None = None,
-) -> TopicModel:
-    """Split, fit on the training part only, evaluate on the held-out part.
-
-    ``labelled`` has ``row_id, category, text``. The objective is the mean loss
-    with an L2 penalty of 1/(c * n), on unscaled features. The driver holds the
-    class names, the intercepts and at most ``vocabulary_size`` terms.
-    """
+) -> Fit:
+    """Split and fit on the training part. The texts are cut into terms once, and stored."""
     spark = labelled.sparkSession
     options = {k: v for k, v in (("share", test_share), ("seed", seed)) if v is not None}
     split = materialize(stratified_split(labelled, row_id, **options), "split")
-    train = cluster(split.where(F.col("split") == "train").select(row_id, "category", "text"), row_id)
+    train = split.where(F.col("split") == "train").select(row_id, "category", "text")
     classes = [r[0] for r in split.select("category").distinct().orderBy("category").limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     n_train = train.count()
 
-    vocabulary = materialize(vocabulary_topk(train, vocabulary_size), "vocabulary")
-    known = vocabulary.select("term", (F.col("position") - 1).cast("int").alias("index"))
-    counted = known_terms(train, known, [row_id, "category"])
-    idf = counted.groupBy("term", "index").agg(F.count(F.lit(1)).alias("df")).select(
+    counted = training_terms(cluster(train, row_id), [row_id, "category"])
+    vocabulary = materialize(_vocabulary(counted, vocabulary_size), "vocabulary")
+    known = counted.join(F.broadcast(vocabulary.select("term", (F.col("position") - 1).cast("int").alias("index"))), "term")
+    idf = materialize(known.groupBy("term", "index").agg(F.count(F.lit(1)).alias("df")).select(
         "term", "index", smooth_idf(F.lit(n_train), F.col("df")).alias("idf")
-    )
-    idf = materialize(idf, "idf")
+    ), "idf")
     size = idf.count()
 
-    pairs = F.array_sort(F.collect_list(F.struct("index", "_w")))
-    weighted = counted.join(F.broadcast(idf.select("term", "idf")), "term").withColumn(
-        "_w", sublinear(F.col("tf")) * F.col("idf")
+    weighted = known.join(F.broadcast(idf.select("term", "idf")), "term").select(
+        row_id, "category", "index", (sublinear(F.col("tf")) * F.col("idf")).alias("value")
     )
-    vectors = weighted.groupBy(row_id).agg(pairs.alias("_p"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    weights = materialize(normalise(weighted, [row_id], "value"), "training-weights")
+    vectors = weights.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_p"))
     label = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("category")) - 1
     empty = F.array().cast("array<double>")
-    features = train.join(vectors, row_id, "left").select(
+    rows = train.select(row_id, "category")
+    features = rows.join(vectors, row_id, "left").select(
         label.cast("double").alias("label"),
         F.struct(
             F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
             F.coalesce(F.transform("_p", lambda p: p["index"]), empty.cast("array<int>")).alias("indices"),
-            F.coalesce(F.transform("_p", lambda p: p["_w"] / F.col("_norm")), empty).alias("values"),
+            F.coalesce(F.transform("_p", lambda p: p["value"]), empty).alias("values"),
         ).alias("features"),
     )
+    penalty = 1.0 / (c * n_train)
     regression = LogisticRegression(
-        family="multinomial", regParam=1.0 / (c * n_train), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iterations,
+        family="multinomial", regParam=penalty, elasticNetParam=0.0,
+        standardization=False, maxIter=max_iterations, tol=TOLERANCE,
     ).fit(materialize(features, "features", _FEATURES))
 
     columns = regression.coefficientMatrix.toArray().T.tolist()
     coefficients = spark.createDataFrame(list(enumerate(columns)), "index int, coefficients array<double>")
     terms = idf.join(coefficients, "index").select("term", "idf", "coefficients")
     model = TopicModel(terms, classes, regression.interceptVector.toArray().tolist())
+    return Fit(model, split, rows, weights, coefficients, n_train, penalty)
+
+
+def training_optimality(fitted: Fit, row_id: str = "doc_id", tolerance: float = 1e-3) -> DataFrame:
+    """Per class ``class, n_terms, gradient, gradient_at_zero, gradient_ok``: is the fit the least of its objective?
+
+    The objective is convex, so its gradient (mean loss over the stored vectors
+    plus penalty) tells. ``gradient`` is its largest component for the class,
+    the intercept's included; ``gradient_ok`` if that is at most ``tolerance``
+    times the largest component where all coefficients are zero.
+    """
+    model, k = fitted.model, len(fitted.model.classes)
+    each = range(k)
+    table = F.broadcast(fitted.coefficients)
+    sums = fitted.weights.join(table, "index").groupBy(row_id).agg(*[F.sum(F.col("value") * F.col("coefficients")[i]).alias(f"_s{i}") for i in each])
+    margins = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(model.intercepts)])
+    shifted = fitted.rows.join(sums, row_id, "left").select(row_id, "category", margins.alias("_m")).select(
+        row_id, "category", F.transform("_m", lambda m: F.exp(m - F.array_max("_m"))).alias("_e")
+    )
+    is_class = [F.when(F.col("category") == x, 1.0).otherwise(0.0) for x in model.classes]
+    total = F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)
+    off = F.array(*[F.col("_e")[i] / total - is_class[i] for i in each])
+    start = F.array(*[F.lit(1.0 / k) - is_class[i] for i in each])
+    residuals = materialize(shifted.select(row_id, off.alias("_r"), start.alias("_z")), "residuals")
+    mean = lambda column, value: [(F.sum(value * F.col(column)[i]) / fitted.n_train).alias(f"{column}{i}") for i in each]
+    by_term = fitted.weights.join(residuals, row_id).groupBy("index").agg(*mean("_r", F.col("value")), *mean("_z", F.col("value")))
+    slopes = [F.abs(F.col(f"_r{i}") + fitted.penalty * F.col("coefficients")[i]) for i in each]
+    largest = by_term.join(table, "index").agg(
+        F.count(F.lit(1)).alias("n_terms"), *[F.max(slopes[i]).alias(f"_g{i}") for i in each], *[F.max(F.abs(F.col(f"_z{i}"))).alias(f"_o{i}") for i in each]
+    )
+    free = residuals.agg(*mean("_r", F.lit(1.0)), *mean("_z", F.lit(1.0)))
+    listed = F.array(*[
+        F.struct(F.lit(x).alias("class"), F.greatest(f"_g{i}", F.abs(F.col(f"_r{i}"))).alias("gradient"), F.greatest(f"_o{i}", F.abs(F.col(f"_z{i}"))).alias("gradient_at_zero"))
+        for i, x in enumerate(model.classes)
+    ])
+    one = largest.crossJoin(free)  # one row each
+    return one.select("n_terms", F.explode(listed).alias("_c")).select(
+        F.col("_c.class").alias("class"), "n_terms", F.col("_c.gradient").alias("gradient"), F.col("_c.gradient_at_zero").alias("gradient_at_zero"),
+        (F.col("_c.gradient") <= tolerance * F.col("_c.gradient_at_zero")).alias("gradient_ok"),
+    )
+
 
+def train_classifier(labelled: DataFrame, row_id: str = "doc_id", **settings) -> TopicModel:
+    """Split, fit on the training part only, evaluate on the held-out part.
+
+    ``labelled`` has ``row_id, category, text``; ``settings`` are those of ``fit``.
+    The objective is the mean loss with an L2 penalty of 1/(c * n), on unscaled
+    features. The driver holds the class names, the intercepts and at most
+    ``vocabulary_size`` terms.
+    """
+    fitted = fit(labelled, row_id, **settings)
+    model, split = fitted.model, fitted.split
     held_out = split.where(F.col("split") == "test").select(row_id, "category", "text")
     predicted = predict(model, held_out, row_id).join(held_out.select(row_id, "category"), row_id).select(
         F.col("category").alias("label"), F.col("predicted_category").alias("prediction")
@@ -181,13 +321,13 @@ def train_classifier(
         F.count_if(F.col("split") == "train").alias("train_samples"),
         F.count_if(F.col("split") == "test").alias("test_samples"),
         F.count(F.lit(1)).alias("total_samples"),
-    ).withColumn("vocabulary_size", F.lit(size).cast("long")).withColumn(
+    ).withColumn("vocabulary_size", F.lit(model.terms.count()).cast("long")).withColumn(
         "trained_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     )
     model.tables = {
         "metrics": classification_metrics(predicted),
         "class_report": classification_report(predicted),
-        "confusion_matrix": confusion_matrix(predicted, classes),
+        "confusion_matrix": confusion_matrix(predicted, model.classes),
         "training_run": run,
     }
     return model

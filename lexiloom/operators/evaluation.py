@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+METRICS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "recall_weighted", "f1_weighted")
+
 
 def prediction_counts(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return predictions.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
@@ -72,8 +74,7 @@ def _averages(per_class: DataFrame) -> DataFrame:
 def classification_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and macro / weighted precision, recall, F1, to 4 decimals, in one row."""
     averages = _averages(_per_class(prediction_counts(predictions, label, prediction)))
-    names = [c for c in averages.columns if c != "support"]
-    return averages.select(*[F.round(c, 4).alias(c) for c in names])
+    return averages.select(*[F.round(c, 4).alias(c) for c in METRICS])
 
 
 def classification_report(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

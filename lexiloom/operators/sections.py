@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed_values import SECTION_MIN_CHARS
-from ..session import cluster
+from ..session import materialize
 from ..sources.pages import assemble_pages, up_to
 
 SECTION_COLUMNS = ["doc_id", "section_id", "page_number", "text", "word_count"]
@@ -39,25 +39,32 @@ def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("word_count", _word_count())
 
 
-def sections_paged(pages: DataFrame, page_cap: int | None = None) -> DataFrame:
+def sections_paged(pages: DataFrame, page_cap: int | None = None, page_block: int = 1000) -> DataFrame:
     """Sections of paged documents, numbered without gaps through the kept ones.
 
-    A group of the numbering window holds one document's pages. A text is put
-    together only for documents none of whose pages has a section.
+    The pages are cut where they lie and stored. Numbers run within blocks of
+    ``page_block`` page numbers; a document's blocks are added up as numbers, so a
+    document may have any number of pages. A text is put together only for
+    documents none of whose pages has a section.
     """
-    kept = cluster(up_to(pages, page_cap).select("doc_id", "page_number", "text"), "doc_id")
+    kept = up_to(pages, page_cap).select("doc_id", "page_number", "text")
     page_text = kept.select("doc_id", "page_number", T.strip(F.col("text")).alias("_page"))
     pieces = T.paragraphs(T.clean_text(F.col("_page")))
     usable = F.when(F.size(pieces) > 0, pieces).otherwise(F.array("_page"))
     cut = page_text.select(
-        "doc_id", "page_number",
+        "doc_id", "page_number", F.floor(F.col("page_number") / page_block).alias("_block"),
         F.filter(usable, lambda p: F.length(p) > SECTION_MIN_CHARS).alias("_long"),
     )
-    earlier = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.size("_long")).over(earlier), F.lit(0))
+    cut = materialize(cut.withColumn("_n", F.coalesce(F.size("_long"), F.lit(0)).cast("long")), "cut-pages")
+    earlier = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy("doc_id", "_block").agg(F.sum("_n").alias("_sum"), F.max("_n").alias("_most"))
+    blocks = materialize(blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long"))), "page-blocks")
+    inside = Window.partitionBy("doc_id", "_block").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.where("_n > 0").withColumn("_offset", F.coalesce(F.sum("_n").over(inside), F.lit(0).cast("long")))
+    later = blocks.where("_before > 0").select(F.col("doc_id").alias("_doc"), F.col("_block").alias("_b"), "_before")
     numbered = (
-        cut.withColumn("_offset", offset)
-        .select("doc_id", "page_number", "_offset", F.posexplode("_long").alias("_i", "text"))
+        placed.join(later, placed["doc_id"].eqNullSafe(later["_doc"]) & placed["_block"].eqNullSafe(later["_b"]), "left")
+        .select("doc_id", "page_number", (F.col("_offset") + F.coalesce("_before", F.lit(0))).alias("_offset"), F.posexplode("_long").alias("_i", "text"))
         .select(
             "doc_id",
             (F.col("_offset") + F.col("_i") + 1).cast("long").alias("section_id"),
@@ -65,7 +72,7 @@ def sections_paged(pages: DataFrame, page_cap: int | None = None) -> DataFrame:
             "text",
         )
     )
-    without = cut.groupBy("doc_id").agg(F.max(F.size("_long")).alias("_n")).where(F.col("_n") == 0)
+    without = blocks.groupBy("doc_id").agg(F.max("_most").alias("_n")).where(F.col("_n") == 0)
     short = kept.join(without.select("doc_id"), "doc_id", "left_semi")
     whole = assemble_pages(short, page_cap).select("doc_id", T.clean_text(F.col("raw_text")).alias("text")).where(
         F.col("text") != ""
@@ -74,5 +81,5 @@ def sections_paged(pages: DataFrame, page_cap: int | None = None) -> DataFrame:
 
 
 def section_counts(sections: DataFrame) -> DataFrame:
-    """Sections per document. Only ids are dealt, whatever way the sections were cut and united."""
-    return cluster(sections.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"))
+    """Sections per document; counts combine before they are dealt."""
+    return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("section_count"))

@@ -82,15 +82,36 @@ def weigh_in_scope(tf: DataFrame, scope: list[str], row: list[str], n: str = "n"
     return normalise(weighted, row)
 
 
+def with_row_marks(terms: Column) -> Column:
+    """The terms with a null at the end: counted like a term, it says how many rows a scope has."""
+    return F.concat(terms, F.array(F.lit(None).cast("string")))
+
+
+def weigh_in_large_scope(tf: DataFrame, scope: list[str], row: list[str]) -> DataFrame:
+    """Weights for scopes of any size: ``row, term, tf, df, idf, weight``.
+
+    ``tf`` counts ``with_row_marks``. Frequencies are combined before they are
+    dealt by (scope, term), and the scope's size is one number joined to them;
+    both tables are stored, so that adaptive execution can split a scope or a
+    term that very many rows have. Only the norm needs the terms of a row together.
+    """
+    tf = materialize(tf, "scope-terms")
+    df = materialize(document_frequency(tf, scope), "scope-frequency")
+    sizes = df.where(F.col("term").isNull()).select(*scope, F.col("df").alias("_n"))
+    known = materialize(df.where(F.col("term").isNotNull()).join(sizes, scope).withColumn("idf", smooth_idf(F.col("_n"), F.col("df"))).drop("_n"), "scope-idf")
+    weighted = tf.where(F.col("term").isNotNull()).join(known, [*scope, "term"]).withColumn("weight", sublinear(F.col("tf")) * F.col("idf"))
+    return normalise(weighted, row).select(*row, "term", "tf", "df", "idf", "weight")
+
+
 def weigh_in_corpus(
-    tf: DataFrame, row: list[str], n: Column, normalised: bool = True, rows: DataFrame | None = None
+    tf: DataFrame, row: list[str], n: Column, normalised: bool = True, rows: DataFrame | None = None, df: DataFrame | None = None
 ) -> DataFrame:
     """Weights with the whole table as the scope, for all of ``tf`` or only some of its ``rows``.
 
     ``tf`` is read three times: pass a stored table. Document frequencies are
-    counted once and stored.
+    counted once and stored, unless the stored table ``df`` has them already.
     """
-    df = materialize(document_frequency(tf, []), "document-frequency")
+    df = materialize(document_frequency(tf, []), "document-frequency") if df is None else df
     postings = tf.agg(F.count(F.lit(1))).scalar()
     weighted = (
         attach_by_frequency(tf if rows is None else rows, df, ["term"], "df", total=postings)

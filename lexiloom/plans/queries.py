@@ -22,6 +22,8 @@ from . import report
 
 HIGHLIGHT_QUERY = "the report of la und die, de el que"
 WARNING_PAGES = 4
+LARGE_FILE = 20_000
+WORD_PIECE = "[a-z]([a-z]{4})[a-z]*"
 
 
 # --- inputs -----------------------------------------------------------------
@@ -124,7 +126,7 @@ def ingest_documents(spark, folder):
 
 
 def ingest_errors(spark, folder):
-    return files.ingest_errors(_files(spark, folder))
+    return files.ingest_errors(files.without_large(_files(spark, folder), LARGE_FILE))
 
 
 def assemble_pages(spark, folder):
@@ -139,7 +141,7 @@ def assemble_pages(spark, folder):
 
 
 def ingest_warnings(spark, folder):
-    docs = pages.assemble_pages(_conversation_pages(spark, folder), large_pages=WARNING_PAGES)
+    docs = pages.page_warnings(_conversation_pages(spark, folder), large_pages=WARNING_PAGES)
     return docs.select("doc_id", "page_count", F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -199,6 +201,11 @@ def document_statistics(spark, folder):
     return statistics.document_statistics(_blank_lines(_documents(spark, folder)))
 
 
+def document_statistics_paged(spark, folder):
+    """The conversations as documents of pages, never put together."""
+    return statistics.paged_statistics(_blank_lines(_conversation_pages(spark, folder)))
+
+
 def term_frequency(spark, folder):
     return keywords.keyword_term_counts(_documents(spark, folder))
 
@@ -259,7 +266,7 @@ def section_counts(spark, folder):
 
 
 def section_tfidf(spark, folder):
-    postings = search.section_tfidf(_document_sections(spark, folder))
+    postings = search.section_tfidf(_document_sections(spark, folder), whole_texts=True)
     return postings.select("doc_id", "section_id", "term", "tf", "df", F.round("weight", 4).alias("weight"))
 
 
@@ -288,7 +295,7 @@ def search_every_document(spark, folder):
     """Every document asked with its own first line, best section only, vector search."""
     first = F.get(F.split("text", "\n"), F.lit(0))
     own = _documents(spark, folder).select(F.col("doc_id").alias("query_id"), "doc_id", first.alias("query"))
-    return _flat(search.search(_document_sections(spark, folder), own, top_k=1, fallback=False))
+    return _flat(search.search(_document_sections(spark, folder), own, top_k=1, fallback=False, whole_texts=True))
 
 
 def search_fallback(spark, folder):
@@ -300,6 +307,22 @@ def search_fallback(spark, folder):
     return _flat(search.project_hits(ranked, cut, turns, mark_all_words=True))
 
 
+def search_blank_queries(spark, folder):
+    """Every turn put to its own conversation, those of every third conversation blanked."""
+    blank = F.when(F.col("doc_id") % 3 == 0, F.lit(" \t\u00a0\n")).when(F.col("doc_id") % 3 == 1, F.col("query"))
+    return _flat(search.search(_conversation_sections(spark, folder), _turns(spark, folder).withColumn("query", blank)))
+
+
+def search_fallback_corpus(spark, folder):
+    """The benchmark texts as pieces of words, put to all sections where they share no term."""
+    cut = materialize(_document_sections(spark, folder), "document-sections")
+    pieces = F.array_join(F.regexp_extract_all("query", F.lit(WORD_PIECE), F.lit(1)), " ")
+    asked = _passages(spark, folder).withColumn("query", pieces)
+    answered = search.rank_sections(search.corpus_postings(cut, asked), asked, 1, "corpus").select("query_id")
+    ranked = search.rank_fallback(cut, asked, answered, 5, "corpus")
+    return _flat(search.project_hits(ranked, cut, asked, mark_all_words=True))
+
+
 def search_corpus(spark, folder):
     return _flat(search.search(_document_sections(spark, folder), _passages(spark, folder), scope="corpus"))
 
@@ -369,6 +392,19 @@ def train_classifier(spark, folder):
     return C.load_model(spark, path).tables["metrics"]
 
 
+def training_optimality(spark, folder):
+    """Is the fitted model the least of its objective? One row per class."""
+    return C.training_optimality(C.fit(_language_rows(spark, folder))).select("class", "n_terms", "gradient_ok")
+
+
+def labelled_csv(spark, folder):
+    """The labelled texts written as CSV and read back."""
+    path = f"{shared_folder(spark)}/labelled/{uuid.uuid4().hex}"
+    rows = _documents(spark, folder, "lang").select(F.col("lang").alias("category"), "text")
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return labelled.read_labelled_csv(spark, path)
+
+
 def model_roundtrip(spark, folder):
     """The model's terms as they are after saving and loading."""
     path = _model_path(spark)
@@ -435,9 +471,10 @@ def document_report_with_topic(spark, folder):
 REGISTERED = [
     ingest_route, decode_text, ingest_documents, ingest_errors, assemble_pages, ingest_warnings, page_breakdown,
     labelled_clean, clean_text, paragraphs, sentences, tokenize_words, preprocess_for_ml, ngrams, highlight,
-    document_statistics, term_frequency, inverse_document_frequency, keyword_scope, keywords_local, keywords_corpus,
+    document_statistics, document_statistics_paged, term_frequency, inverse_document_frequency, keyword_scope, keywords_local, keywords_corpus,
     keywords_background, keywords_single_background, keywords_fallback, keyword_table, sections, sections_paged, section_counts, section_tfidf,
-    query_vector, search_topk, search_zero_threshold, search_every_document, search_fallback, search_corpus,
+    query_vector, search_topk, search_zero_threshold, search_every_document, search_fallback, search_blank_queries,
+    search_fallback_corpus, search_corpus, training_optimality, labelled_csv,
     predict_gate, stratified_split, vocabulary_topk, training_summary, confusion_matrix, classification_metrics,
     classification_report, train_classifier, model_roundtrip, predict, predict_hard, classifier_vectors, probability_table,
     document_report,

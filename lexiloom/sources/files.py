@@ -14,19 +14,29 @@ PDF_EXTENSION = ".pdf"
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
 
-def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """All files below a folder: ``path, file_name, content``.
+# A file's content is one value of a row, which cannot hold more than 2 GB.
+MAX_FILE_BYTES = 1 << 30
 
+
+def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """All files below a folder: ``path, file_name, content, size``.
+
+    Files of more than ``max_bytes`` come without content: they are listed by
+    length, and the limit on the length of those that are read is pushed into
+    the scan, so an oversized file is never opened and reaches the quarantine.
     A scan leaves out files of length 0. With a ``manifest`` (``path, length``,
     a storage inventory) those listed there are added, so that they reach the
-    quarantine; without one they are not reported.
+    quarantine too; without one they are not reported.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = every.where(F.col("length") <= max_bytes).select("path", "content", F.col("length").alias("size"))
+    large = every.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"), F.col("length").alias("size"))
+    files = files.unionByName(large)
     if manifest is not None:
         empty = manifest.where(F.col("length") == 0).select("path").distinct()
-        missing = empty.join(files.select("path"), "path", "left_anti")
-        files = files.unionByName(missing.withColumn("content", F.lit(b"")))
-    return with_file_name(files).select("path", "file_name", "content")
+        missing = empty.join(every.select("path"), "path", "left_anti")
+        files = files.unionByName(missing.select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("size")))
+    return with_file_name(files).select("path", "file_name", "content", "size")
 
 
 def with_file_name(files: DataFrame) -> DataFrame:
@@ -58,10 +68,18 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def _error_code() -> Column:
+def without_large(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Files as ``read_files`` gives them, from a table that holds all contents."""
+    size = F.length("content").cast("long")
+    return files.withColumn("size", size).withColumn("content", F.when(F.col("size") <= max_bytes, F.col("content")))
+
+
+def _error_code(sized: bool) -> Column:
     """The first thing wrong with a routed, decoded file; null if nothing is."""
+    too_large = F.col("content").isNull() & (F.col("size") > 0) if sized else F.lit(False)
     return (
         F.when(F.col("route") == "unsupported", "UNSUPPORTED_FORMAT")
+        .when(too_large, "FILE_TOO_LARGE")
         .when((F.col("route") == "pdf") & (F.length("content") == 0), "EMPTY_FILE")
         .when(F.col("route") == "pdf", F.lit(None).cast("string"))
         .when(F.btrim("text", F.lit(ASCII_SPACE)) == "", "EMPTY_FILE")
@@ -75,6 +93,7 @@ def _error_message() -> Column:
             F.col("error_code") == "UNSUPPORTED_FORMAT",
             F.concat(F.lit("Unsupported file format '"), F.col("extension"), F.lit("': only .pdf and .txt are read.")),
         )
+        .when(F.col("error_code") == "FILE_TOO_LARGE", F.lit("The file is too large to be read in one piece."))
         .when(F.col("error_code") == "EMPTY_FILE", F.lit("The file is empty (0 bytes of text)."))
         .otherwise(F.lit("The file contains only whitespace."))
     )
@@ -82,7 +101,7 @@ def _error_message() -> Column:
 
 def _checked(files: DataFrame) -> DataFrame:
     decoded = route(files).withColumn("text", decode_text(F.coalesce("content", F.lit(b""))))
-    return decoded.withColumn("error_code", _error_code())
+    return decoded.withColumn("error_code", _error_code("size" in files.columns))
 
 
 def ingest_documents(files: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import classifier, evaluation, keywords, search, sections, splitting, statistics, terms
 from lexiloom.plans import report
+from lexiloom.sources import labelled as labelled_source
+from lexiloom.sources import pages as page_source
 
 from . import plain
 from .conftest import ENERGY, KITCHEN
@@ -228,12 +231,129 @@ def test_stored_index_gives_the_same_hits(spark, cut, asked, targeted):
     stored = search.search(cut, targeted, 2, postings=spark.table("section_index"))
     assert sorted(map(str, stored.collect())) == sorted(map(str, search.search(cut, targeted, 2).collect()))
     spark.sql("DROP TABLE section_index")
+    spark.sql("DROP TABLE section_index_terms")
     whole = search.corpus_tfidf(cut)
     assert sorted(map(str, search.search(cut, asked, 2, scope="corpus", postings=whole).collect())) == sorted(
         map(str, search.search(cut, asked, 2, scope="corpus").collect())
     )
 
 
+@pytest.mark.parametrize("first_rows", [0, 40, 10_000])
+def test_pruned_corpus_search_equals_all_scores(spark, first_rows):
+    """Frequent terms beside rare ones: whatever is skipped, the best sections and their scores stay."""
+    rng = random.Random(5)
+    words = [f"rare{k}" for k in range(60)] + [f"usual{k}" for k in range(6)]
+    text = lambda n: " ".join(rng.choices(words, [1] * 60 + [30] * 6, k=n))
+    texts = {(d, s): text(rng.randint(3, 12)) for d in range(30) for s in range(1, 5)}
+    cut = spark.createDataFrame([(*k, 1, t, 1) for k, t in texts.items()], "doc_id long, section_id long, page_number long, text string, word_count long")
+    asked = [f"rare{k} rare{k + 1} usual{k % 6} usual{(k + 1) % 6} usual1" for k in range(12)] + ["usual0 usual1 usual2", "rare1", "unknown"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    postings = search.corpus_postings(cut, queries)
+    got = by_key(search.rank_in_corpus(postings, queries, 4, first_rows=first_rows).orderBy("query_id", "rank"), "query_id")
+    for q, query in enumerate(asked):
+        expected = [(k, s) for k, s in plain_search(texts, query, 200, 0.0) if s > 0][:4] if query != "unknown" else []
+        rows = got.get(q, [])
+        assert [(r.doc_id, r.section_id) for r in rows] == [k for k, _ in expected], query
+        assert [r.score for r in rows] == pytest.approx([s for _, s in expected])
+
+
+def test_frequent_postings_meet_only_candidate_sections(spark, monkeypatch):
+    rows = [(d, 1, f"common shared topic{d % 50} number{d}") for d in range(400)]
+    cut = spark.createDataFrame([(d, s, 1, t, 4) for d, s, t in rows], "doc_id long, section_id long, page_number long, text string, word_count long")
+    queries = spark.createDataFrame([(1, "common shared topic7 number7")], "query_id long, query string")
+    stored = {}
+    monkeypatch.setattr(search, "materialize", lambda df, name, keep=search.materialize: stored.setdefault(name, keep(df, name)))
+    postings = search.corpus_postings(cut, queries)
+    best = search.rank_in_corpus(postings, queries, 3, first_rows=20)
+    assert best.orderBy("rank").first().doc_id == 7
+    skipped = {r.term for r in stored["later-terms"].where("_skipped").collect()}
+    assert {"common", "shared", "common shared"} <= skipped
+    assert stored["candidates"].count() < 20 < postings.where("term = 'common'").count()
+    assert "LeftSemi" in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("first_rows", [0, 5, 10_000])
+def test_pruned_fallback_equals_all_matches(spark, first_rows):
+    rng = random.Random(6)
+    pieces = ["urbi", "arbo", "rust", "hird", "read", "ater", "ough"]
+    texts = {(d, s): " ".join(f"{rng.choice('xyz')}{rng.choice(pieces)}{rng.choice('stu')}" for _ in range(rng.randint(1, 5))) for d in range(25) for s in (1, 2)}
+    cut = spark.createDataFrame([(*k, 1, t, 1) for k, t in texts.items()], "doc_id long, section_id long, page_number long, text string, word_count long")
+    asked = [" ".join(rng.choices(pieces, k=n)) for n in (1, 2, 3, 5, 9)] + ["zzzz", "a b"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    nobody = queries.select("query_id").limit(0)
+    got = by_key(search.rank_fallback(cut, queries, nobody, 3, "corpus", first_rows).orderBy("query_id", "rank"), "query_id")
+    for q, query in enumerate(asked):
+        tokens = [t for t in query.split() if len(t) > 1]
+        scores = {k: sum(w in t for w in tokens) / len(tokens) / 2 for k, t in texts.items() if any(w in t for w in tokens)} if tokens else {}
+        expected = sorted(scores.items(), key=lambda kv: (-round(kv[1], 4), kv[0]))[:3]
+        assert [((r.doc_id, r.section_id)) for r in got.get(q, [])] == [k for k, _ in expected]
+        assert [r.score for r in got.get(q, [])] == pytest.approx([s for _, s in expected], abs=6e-5)
+
+
+# --- paged documents without bound --------------------------------------------------
+
+@pytest.fixture(scope="module")
+def many_pages(spark):
+    """One document of 100,000 pages among small ones."""
+    big = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") + 1).alias("page_number"), F.concat(F.lit("Common page text with number n"), F.col("id"), F.lit(" inside.")).alias("text"))
+    small = spark.createDataFrame([(2, 1, "A small document of one page."), (3, 1, "Tiny"), (3, 2, "bits")], "doc_id long, page_number long, text string")
+    return big.unionByName(small).repartition(16).cache()
+
+
+def test_a_document_of_very_many_pages_is_no_single_task(spark, many_pages):
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = sections.sections_paged(many_pages)
+        numbered = cut.withColumn("_task", F.spark_partition_id()).cache()
+        ids = numbered.where("doc_id = 1").agg(F.min("section_id"), F.max("section_id"), F.countDistinct("section_id"), F.countDistinct("_task")).first()
+        assert tuple(ids)[:3] == (1, 100_000, 100_000) and ids[3] > 8
+        assert numbered.where("doc_id = 1 AND section_id <> page_number").count() == 0
+        assert {(r.doc_id, r.section_id, r.text) for r in cut.where("doc_id > 1").collect()} == {(2, 1, "A small document of one page."), (3, 1, "Tiny\n\nbits")}
+        postings = search.section_tfidf(cut).withColumn("_task", F.spark_partition_id()).cache()
+        common = postings.where("doc_id = 1 AND term = 'common'").agg(F.count("*"), F.min("df"), F.max("df"), F.countDistinct("_task")).first()
+        assert tuple(common)[:3] == (100_000, 100_000, 100_000) and common[3] > 8
+        weight = postings.where("doc_id = 1 AND term = 'n77'").first()
+        idf = [math.log(100_001 / 100_001) + 1, math.log(100_001 / 2) + 1]
+        # common, page, text, number, inside and 3 pairs of them stand everywhere; n77 and the two pairs with it once
+        assert weight.weight == pytest.approx(idf[1] / math.sqrt(8 * idf[0] ** 2 + 3 * idf[1] ** 2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_both_ways_to_an_index_agree(spark, cut):
+    key = lambda df: sorted((r.doc_id, r.section_id, r.term, r.tf, r.df, round(r.idf, 9), round(r.weight, 9)) for r in df.collect())
+    assert key(search.section_tfidf(cut)) == key(search.section_tfidf(cut, whole_texts=True))
+
+
+def test_statistics_of_pages_equal_those_of_the_assembled_text(spark):
+    rng = random.Random(9)
+    bits = ["Ends here.", "goes on", "And then", "two words", "\x07", " ", "\n", "\n\n", "\t", "“Quote”", "a—b", "\u2003", "\r\n", "x\x07", "1. item", "don't", "\u00a0", "Why? No!", "é", "\x85", "word-word"]
+    rows = [(d, rng.choice([p, p, p, 3, 1500 + p, None]), rng.choice([None, "", " ", "\x07 \x07", "".join(rng.choices(bits, k=rng.randint(1, 7))), "".join(rng.choices(bits, k=rng.randint(1, 7)))])) for d in range(400) for p in range(1, rng.randint(2, 8))]
+    pages = spark.createDataFrame(rows, "doc_id long, page_number long, text string").repartition(3).cache()
+    whole = page_source.assemble_pages(pages)
+    expected = statistics.document_statistics(whole, "raw_text", F.col("page_count"))
+    for block in (1, 3, 1000):
+        got = statistics.paged_statistics(pages, block).select(*expected.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_statistics_of_very_many_pages(many_pages):
+    got = statistics.paged_statistics(many_pages).where("doc_id = 1").first()
+    assert (got.page_count, got.word_count, got.sentence_count, got.paragraph_count, got.unique_word_count) == (100_000, 700_000, 100_000, 100_000, 100_006)
+
+
+def test_page_warnings_equal_those_of_assembled_documents(spark, many_pages):
+    assembled = page_source.assemble_pages(many_pages, large_pages=5).select("doc_id", "page_count", "char_count", "warnings")
+    warned = page_source.page_warnings(many_pages, large_pages=5)
+    assert sorted(map(str, warned.collect())) == sorted(map(str, assembled.collect()))
+    assert "collect_list" not in warned._jdf.queryExecution().toString()
+    capped = page_source.page_warnings(many_pages, 5, 2).where("doc_id = 1").first()
+    assert capped.page_count == 100_000 and capped.char_count == 78 and "only pages up to 2" in capped.warnings[0]
+
+
 # --- evaluation and splitting ---------------------------------------------------
 
 def test_metrics_with_a_class_never_predicted(spark):
@@ -334,7 +454,65 @@ def test_saved_model_is_used_again(spark, labelled, model, tmp_path):
     docs = labelled.select("doc_id", "text")
     assert sorted(map(str, classifier.predict(copy, docs).collect())) == sorted(map(str, classifier.predict(model, docs).collect()))
     classifier.TopicModel(model.terms, model.classes, model.intercepts).save(str(tmp_path / "bare"))
-    assert classifier.load_model(spark, str(tmp_path / "bare")).tables == {}
+    bare = classifier.load_model(spark, str(tmp_path / "bare"))
+    assert bare.tables["metrics"].columns == copy.tables["metrics"].columns and bare.tables["metrics"].count() == 0
+    assert bare.tables["confusion_matrix"].columns == copy.tables["confusion_matrix"].columns
+    assert tuple(bare.tables["training_run"].first()) == (0, 0, 0, 0, "") and bare.tables["class_report"].columns == copy.tables["class_report"].columns
+    with pytest.raises(FileNotFoundError):
+        classifier.load_model(spark, str(tmp_path / "nowhere"))
+
+
+def test_versions_are_numbered_by_claims_and_not_by_clocks(spark, model, tmp_path, monkeypatch):
+    import threading
+    import time
+
+    path = str(tmp_path / "shared")
+    named = lambda signature: classifier.TopicModel(model.terms, model.classes, model.intercepts, signature=signature)
+    assert named("first").save(path) == 1
+    monkeypatch.setattr(time, "time", lambda: 0.0)  # a writer whose clock is decades late
+    assert named("late clock").save(path) == 2 and classifier.load_model(spark, path).signature == "late clock"
+    monkeypatch.undo()
+    numbers = []
+    writers = [threading.Thread(target=lambda k=k: numbers.append((named(f"writer {k}").save(path), f"writer {k}"))) for k in range(2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(n for n, _ in numbers) == [3, 4] and classifier.load_model(spark, path).signature == dict(numbers)[4]
+    (tmp_path / "shared" / "published" / "000000000005.json").write_text('{"folder": "half wri')  # a writer that died
+    assert classifier.load_model(spark, path).signature == dict(numbers)[4]
+    assert named("after").save(path) == 6 and classifier.load_model(spark, path).signature == "after"
+
+
+def test_gradient_vanishes_at_the_fit_and_only_there(spark, labelled):
+    fitted = classifier.fit(labelled)
+    rows = classifier.training_optimality(fitted).orderBy("class").collect()
+    assert [r["class"] for r in rows] == sorted(TOPICS) and all(r.gradient_ok and 0 <= r.gradient < r.gradient_at_zero for r in rows)
+    assert {r.n_terms for r in rows} == {fitted.model.terms.count()}
+    early = classifier.training_optimality(classifier.fit(labelled, max_iterations=1)).collect()
+    assert not any(r.gradient_ok for r in early) and {r["class"]: r.gradient_at_zero for r in early} == {r["class"]: r.gradient_at_zero for r in rows}
+
+
+@pytest.mark.parametrize("buckets", [3, 40, 1 << 18])
+def test_frequent_terms_are_exact_for_any_sketch(spark, buckets):
+    rng = random.Random(4)
+    rows = [(d, f"t{min(rng.randrange(400), rng.randrange(400))}", 1 + rng.randrange(3)) for d in range(800) for _ in range(4)]
+    totals = Counter()
+    for _, t, n in rows:
+        totals[t] += n
+    counted = spark.createDataFrame(rows, "doc_id long, term string, tf long").cache()
+    for size in (1, 25, 300, 5000):
+        got = [(r.term, r.total) for r in classifier.frequent_terms(counted, size, buckets).orderBy(F.desc("total"), "term").collect()]
+        assert got == sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))[:size]
+
+
+def test_csv_to_saved_model_to_prediction(spark, labelled, tmp_path):
+    labelled.select("category", "text").write.csv(str(tmp_path / "csv"), header=True, quoteAll=True)
+    rows = labelled_source.read_labelled_csv(spark, str(tmp_path / "csv")).withColumn("doc_id", F.xxhash64("category", "text"))
+    model = classifier.load_or_train(rows, str(tmp_path / "model"))
+    docs = spark.createDataFrame([(1, "Thunder and rain: the storm forecast"), (2, " ")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted_category for r in classifier.predict(classifier.load_model(spark, str(tmp_path / "model")), docs).collect()}
+    assert got == {1: "Weather", 2: "Undetermined"} and classifier.load_or_train(rows, str(tmp_path / "model")).signature == model.signature
 
 
 def test_scores_equal_the_softmax_of_the_unit_vector(spark, labelled, model):

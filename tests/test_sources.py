@@ -40,6 +40,24 @@ def test_files_become_documents_or_quarantine_rows(spark, folder):
     assert {(r.page_number, r.text) for r in files.text_pages(files.ingest_documents(read)).collect()} == {(1, d.raw_text) for d in docs.values()}
 
 
+def test_oversized_files_become_quarantine_rows(spark, folder, tmp_path):
+    (tmp_path / "in" / "huge.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "in" / "huge.pdf").write_bytes(b"x" * 5000)
+    (tmp_path / "in" / "huge.bin").write_bytes(b"x" * 5000)
+    old = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # Spark itself fails on a longer file
+    try:
+        read = files.read_files(spark, str(tmp_path / "in"), max_bytes=1000)
+        errors = {r.path.rsplit("/", 1)[1]: r.error_code for r in files.ingest_errors(read).collect()}
+        assert (errors["huge.txt"], errors["huge.pdf"], errors["huge.bin"]) == ("FILE_TOO_LARGE", "FILE_TOO_LARGE", "UNSUPPORTED_FORMAT")
+        assert {r.file_name for r in files.ingest_documents(read).collect()} == {"a.txt", "latin.TXT", "bom.txt"}
+        assert [r.file_name for r in files.pdf_files(read).collect()] == ["scan.pdf"]
+        plan = files.read_files(spark, str(tmp_path / "in"), max_bytes=1000)._jdf.queryExecution().executedPlan().toString()
+        assert "LessThanOrEqual(length,1000)" in plan
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)
+
+
 def test_extension(spark):
     names = [("A.TXT", ".txt"), ("a.tar.gz", ".gz"), (".txt", ""), ("..txt", ""), ("x/.hid.pdf", ".pdf"), ("d.d/noext", ""), ("a.", ".")]
     rows = spark.createDataFrame(names, "name string, expected string")
