@@ -261,6 +261,8 @@ def _wanted(each: DataFrame, window: int, hot_bytes: int) -> tuple[DataFrame, in
     each = each.select("uid", "at", F.explode(F.arrays_zip(*_RUNS)).alias("r")).select("uid", "at", "r.*")
     n_bytes = F.col("last") - F.col("first") + F.lit(window)
     shared = each.groupBy("keys").agg(F.sum("times").alias("n"), F.sum(n_bytes).alias("bytes")).where("n > 1").select("keys", (F.col("bytes") > hot_bytes).alias("hot"))
+    # stored, so that the join can be dealt anew where a key has very many runs
+    shared = materialize(shared, "suffix-shared")
     run = F.struct(F.col("keys").alias("key"), "first", "last", "hot")
     wanted = materialize(each.drop("times").join(shared, "keys").groupBy("uid", "at").agg(F.collect_list(run).alias("runs")), "suffix-wanted")
     total = lambda hot: F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hot"] == hot, r["last"] - r["first"] + window).otherwise(0)))
