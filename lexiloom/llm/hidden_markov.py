@@ -10,15 +10,20 @@ hashes. Training texts are those whose ``crc32(doc_id) % 10`` is not 0.
    ``rest_classes`` classes by their last three bytes. The probability of a text
    is that of its class sequence under the model times that of each word in its
    class (additive smoothing, one place for unseen words).
-3. States start from an aggregate Markov fit to the coarse bigram counts of all
-   training texts, then ``iterations`` rounds of Baum-Welch: tasks run scaled
-   forward and backward recursions over segments of their texts and emit expected
-   counts, which Spark sums. The driver holds only the model, whose size is fixed.
+3. States start from ten rounds of an aggregate Markov fit to the bigram counts of
+   257 coarse classes of all training texts. Then Baum-Welch, until a round gains
+   less than ``tolerance`` of the training log probability: tasks run the scaled
+   forward and backward recursions over their whole texts, in segments that hand
+   their messages over every border, and emit expected counts, which Spark sums.
+   Moves over borders count, starts only where a text starts. The driver holds
+   only the model, whose size is fixed.
 4. The scaled forward recursion over whole texts gives the exact likelihood.
 
 Defined results: a null text is an empty one and has one token, its end; a null
 ``doc_id`` is held out; equal rows are scored and counted each; without training
-texts every token has the same probability; columns other than ``doc_id, text``
+texts every token has the same probability; words of equal frequency (ties) are
+taken by hash; very long texts are scored whole and trained on in segments, so
+only their hashes are held at once; columns other than ``doc_id, text``
 are not read.
 """
 
@@ -38,11 +43,15 @@ from .shingles import _BYTE, in_parts, mix, word_hashes
 
 SMOOTH = 0.1
 SEGMENT = 128
+#: Tokens before and after a border that its first messages are taken from, and how far messages may differ at last.
+BURN, AGREE = 16, 1e-6
+TOLERANCE, MAX_ROUNDS = 2e-3, 20
 COARSE = 192
 _END = np.uint64(1)  # stands for the end of a text among the word hashes
-_GROUP_TOKENS = 6_000_000
+_GROUP_TOKENS = 2_000_000
 _HASHED_BYTES = 500_000
 _SEGMENTS_AT_ONCE = 2048
+_RANGE_BYTES = 32_000_000
 
 
 def held_out(doc_id) -> bool:
@@ -275,7 +284,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
         yield ids, np.array(lengths, np.int64), _unplanes(classes, np.uint16).astype(np.int64)
 
 
-def first_model(bigrams: np.ndarray, coarse: np.ndarray, class_counts: np.ndarray, states: int, rounds: int = 60, seed: int = 7) -> Model:
+def first_model(bigrams: np.ndarray, coarse: np.ndarray, class_counts: np.ndarray, states: int, rounds: int = 10, seed: int = 7) -> Model:
     """An aggregate Markov fit: bigrams as emissions of a pair of neighbouring states."""
     rng = np.random.default_rng(seed)
     size = len(bigrams)
@@ -299,77 +308,166 @@ def first_model(bigrams: np.ndarray, coarse: np.ndarray, class_counts: np.ndarra
     return Model(joint.sum(1), moves / moves.sum(1, keepdims=True), full / full.sum(1, keepdims=True))
 
 
-def segment_counts(model: Model, lengths: np.ndarray, classes: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions over segments of the training texts."""
-    states = len(model.start)
-    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    begin = np.concatenate([np.arange(a, a + n, SEGMENT) for a, n, t in zip(firsts.tolist(), lengths.tolist(), trains.tolist()) if t] or [np.zeros(0, np.int64)]).astype(np.int64)
-    stop = np.concatenate([np.minimum(np.arange(a, a + n, SEGMENT) + SEGMENT, a + n) for a, n, t in zip(firsts.tolist(), lengths.tolist(), trains.tolist()) if t] or [np.zeros(0, np.int64)]).astype(np.int64)
-    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, model.emits.shape[1]))
-    if not len(begin):
-        return starts, moves, emits
-    order = np.argsort(begin - stop, kind="stable")
-    begin, long = begin[order], (stop - begin)[order]
-    table = np.ascontiguousarray(model.emits.T)
-    for a in range(0, len(begin), _SEGMENTS_AT_ONCE):
-        some = slice(a, a + _SEGMENTS_AT_ONCE)
-        starts, moves, emits = (x + y for x, y in zip((starts, moves, emits), _expected(model, table, begin[some], long[some], classes)))
-    return starts, moves, emits
+class _Segments:
+    """Stretches of the training texts. All but a text's first begin with the last token of the one before, whose forward message they take over."""
 
+    def __init__(self, lengths: np.ndarray, trains: np.ndarray):
+        firsts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)[trains]
+        own = lengths[trains]
+        each = -(-own // SEGMENT)
+        place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        low = np.repeat(firsts, each) + SEGMENT * place
+        self.stop = np.minimum(low + SEGMENT, np.repeat(firsts + own, each))
+        self.first, self.last = place == 0, np.append(place[1:] == 0, True)[:len(place)]
+        self.begin = low - ~self.first
+        self.long = self.stop - self.begin
+        self.low_of_text, self.end_of_text = np.repeat(firsts, each), np.repeat(firsts + own, each)
 
-def _expected(model: Model, table: np.ndarray, begin: np.ndarray, long: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The counts over some segments, longest first, all at the same step at once."""
+
+def _forward_at(model: Model, table: np.ndarray, classes: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Forward messages at some tokens, from ``BURN`` tokens before them (or their text's start) on."""
+    states = len(model.start)
+    alpha = np.full((len(at), states), 1.0 / states)
+    for back in range(BURN, -1, -1):
+        token = at - back
+        inside = token >= low
+        step = np.where((token == low)[:, None], model.start, alpha @ model.moves) * table[classes[np.maximum(token, low)]]
+        alpha = np.where(inside[:, None], step / step.sum(1, keepdims=True), alpha)
+    return alpha
+
+
+def _backward_at(model: Model, table: np.ndarray, classes: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Backward messages at some tokens, from ``BURN`` tokens after them (or their text's end) back."""
+    beta = np.ones((len(at), len(model.start)))
+    for ahead in range(BURN, 0, -1):
+        token = at + ahead
+        inside = token < end
+        step = (beta * table[classes[np.minimum(token, end - 1)]]) @ model.moves.T
+        beta = np.where(inside[:, None], step / step.sum(1, keepdims=True), beta)
+    return beta / beta.sum(1, keepdims=True)
+
+
+def expected_counts(model: Model, lengths: np.ndarray, classes: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions over the whole training texts, and their log10 probability.
+
+    The recursions run over segments side by side. Messages at the borders are
+    first taken from ``BURN`` tokens around; then every segment's own messages are
+    compared with those its neighbours used, and segments whose neighbours
+    disagree run again with the better ones, until all agree to ``AGREE``.
+    """
     states = len(model.start)
-    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, model.emits.shape[1]))
+    starts, moves, emits, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((states, model.emits.shape[1])), 0.0
+    seg = _Segments(lengths, trains)
+    n = len(seg.begin)
+    if not n:
+        return starts, moves, emits, likelihood
+    table = np.ascontiguousarray(model.emits.T)
+    entry, leave = np.zeros((n, states)), np.ones((n, states))
+    later, early = np.flatnonzero(~seg.first), np.flatnonzero(~seg.last)
+    for a in range(0, len(later), 4 * _SEGMENTS_AT_ONCE):
+        some = later[a:a + 4 * _SEGMENTS_AT_ONCE]
+        entry[some] = _forward_at(model, table, classes, seg.begin[some], seg.low_of_text[some])
+    for a in range(0, len(early), 4 * _SEGMENTS_AT_ONCE):
+        some = early[a:a + 4 * _SEGMENTS_AT_ONCE]
+        leave[some] = _backward_at(model, table, classes, seg.stop[some] - 1, seg.end_of_text[some])
+    groups = [np.arange(a, min(a + _SEGMENTS_AT_ONCE, n)) for a in range(0, n, _SEGMENTS_AT_ONCE)]
+    counts: list = [None] * len(groups)
+    out, back = np.zeros((n, states)), np.zeros((n, states))
+    todo = set(range(len(groups)))
+    while todo:
+        for g in todo:
+            own = groups[g]
+            counts[g], out[own], back[own] = _expected(model, table, seg, own, entry[own], leave[own], classes)
+        wrong = np.zeros(n, bool)
+        wrong[later] = np.abs(out[later - 1] - entry[later]).max(1) > AGREE
+        wrong[early] |= np.abs(back[early + 1] - leave[early]).max(1) > AGREE
+        entry[later], leave[early] = out[later - 1], back[early + 1]
+        todo = {int(g) for g in np.unique(np.flatnonzero(wrong) // _SEGMENTS_AT_ONCE)}
+    for a, b, c, x in counts:
+        starts, moves, emits, likelihood = starts + a, moves + b, emits + c, likelihood + x
+    return starts, moves, emits, likelihood
+
+
+def _expected(model: Model, table: np.ndarray, seg: _Segments, own: np.ndarray, entry: np.ndarray, leave: np.ndarray, classes: np.ndarray):
+    """The counts over some segments, all at the same step at once, and the messages at their ends."""
+    states, n = len(model.start), len(own)
+    order = np.argsort(-seg.long[own], kind="stable")
+    begin, long, first, last = seg.begin[own][order], seg.long[own][order], seg.first[own][order], seg.last[own][order]
     active = [int(np.searchsorted(-long, -t, side="left")) for t in range(int(long[0]) + 1)]
-    seen, forward, scales = [], [], []
-    alpha = None
+    seen, forward, scales, likelihood = [], [], [], 0.0
+    ends = np.zeros((n, states))
     for t in range(int(long[0])):
         k = active[t]
         obs = table[classes[begin[:k] + t]]
-        alpha = (np.broadcast_to(model.start, (k, states)) if t == 0 else alpha[:k] @ model.moves) * obs
+        alpha = np.where(first[:, None], model.start * obs, entry[order]) if t == 0 else alpha[:k] @ model.moves * obs
         scale = alpha.sum(1, keepdims=True)
         alpha = alpha / scale
+        likelihood += float(np.log10(scale[first] if t == 0 else scale).sum())
         seen.append(obs)
         forward.append(alpha)
         scales.append(scale)
-    beta = np.ones((active[int(long[0]) - 1], states))
+        gone = active[t + 1] if t + 1 < len(active) else 0
+        ends[gone:k] = alpha[gone:k]
+    # a backward message is scaled so that it and the forward one make a distribution
+    final = np.where(last[:, None], 1.0, leave[order])
+    final = final / (ends * final).sum(1, keepdims=True)
+    moves = np.zeros((states, states))
+    gammas, tokens = [], []
+    beta = final[:0]
     for t in range(int(long[0]) - 1, -1, -1):
         k = active[t]
-        if len(beta) < k:
-            beta = np.concatenate((beta, np.ones((k - len(beta), states))))
+        beta = np.concatenate((beta, final[len(beta):k]))
         gamma = forward[t] * beta
-        at = classes[begin[:k] + t]
-        for s in range(states):
-            emits[s] += np.bincount(at, weights=gamma[:, s], minlength=emits.shape[1])
         if t == 0:
-            starts += gamma.sum(0)
+            gammas.append(gamma[first])
+            tokens.append(classes[begin[first]])
         else:
+            gammas.append(gamma)
+            tokens.append(classes[begin[:k] + t])
             ahead = beta * seen[t] / scales[t]
             moves += model.moves * (forward[t - 1][:k].T @ ahead)
             beta = ahead @ model.moves.T
-    return starts, moves, emits
+    starts = gammas[-1].sum(0)
+    flat, at = np.concatenate(gammas), np.concatenate(tokens)
+    emits = np.stack([np.bincount(at, weights=flat[:, s], minlength=model.emits.shape[1]) for s in range(states)])
+    undo = np.empty(n, np.int64)
+    undo[order] = np.arange(n)
+    begins = beta / beta.sum(1, keepdims=True)
+    return (starts, moves, emits, likelihood), ends[undo], begins[undo]
 
 
-def _round(coded: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch: Spark sums the tasks' expected counts."""
+def _round(coded: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round of Baum-Welch, and the log10 probability of the training texts before it: Spark sums the tasks' expected counts."""
     states, width = model.emits.shape
+    size = states + states * states + states * width + 1
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(states + states * states + states * width)
+        sums = np.zeros(size)
         for ids, lengths, classes in _texts(batches):
             trains = np.array([not held_out(i) for i in ids])
-            sums += np.concatenate([x.ravel() for x in segment_counts(model, lengths, classes, trains)])
+            *counts, likelihood = expected_counts(model, lengths, classes, trains)
+            sums += np.concatenate([*(x.ravel() for x in counts), [likelihood]])
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"k": pa.array(at), "x": pa.array(sums[at])})
 
-    sums = np.zeros(states + states * states + states * width)
+    sums = np.zeros(size)
     for r in coded.select("ids", "lengths", "classes").mapInArrow(expect, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         sums[r["k"]] = r["x"]
-    starts, moves, emits = sums[:states], sums[states:states * (states + 1)].reshape(states, states), sums[states * (states + 1):].reshape(states, width)
+    starts, moves, emits = sums[:states], sums[states:states * (states + 1)].reshape(states, states), sums[states * (states + 1):-1].reshape(states, width)
     whole = emits.sum(0) + SMOOTH
     emits = emits + SMOOTH * whole / whole.sum()  # a class no state has seen keeps some probability
-    return Model((starts + SMOOTH) / (starts + SMOOTH).sum(), (moves + SMOOTH) / (moves + SMOOTH).sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
+    return Model((starts + SMOOTH) / (starts + SMOOTH).sum(), (moves + SMOOTH) / (moves + SMOOTH).sum(1, keepdims=True), emits / emits.sum(1, keepdims=True)), float(sums[-1])
+
+
+def train(coded: DataFrame, model: Model, tolerance: float, max_rounds: int) -> Model:
+    """Rounds of Baum-Welch until one gains less than ``tolerance`` of the log probability, ``max_rounds`` at most."""
+    before = None
+    for _ in range(max_rounds):
+        better, likelihood = _round(coded, model)
+        if before is not None and likelihood - before <= tolerance * abs(before):
+            return better
+        model, before = better, likelihood
+    return model
 
 
 def log_likelihoods(model: Model, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -415,16 +513,21 @@ def _scored(coded: DataFrame, model: Model, total: int) -> DataFrame:
     return coded.mapInArrow(score, shape)
 
 
-def score_documents(docs: DataFrame, states: int = 8, top_words: int = 1024, rest_classes: int = 1024, iterations: int = 2, ranges: int | None = None) -> DataFrame:
+def score_documents(
+    docs: DataFrame, states: int = 8, top_words: int = 1024, rest_classes: int = 1024, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, ranges: int | None = None,
+) -> DataFrame:
     """Base and model scores of every document.
 
-    ``top_words`` and ``rest_classes`` fix the size of the model; ``ranges`` is
-    the number of hash ranges the words are dealt over, by default one for each
-    shuffle partition.
+    ``top_words`` and ``rest_classes`` fix the size of the model; ``tolerance`` and
+    ``max_rounds`` end its training. ``ranges`` is the number of hash ranges the
+    words are dealt over, by default one for each ``_RANGE_BYTES`` of the blocks'
+    words, and as many as shuffle partitions at least.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(_blocks(docs, rest_classes).withColumn("block", F.monotonically_increasing_id()), "markov-blocks")
+    if ranges is None:
+        held = blocks.agg(F.sum(F.length("words") + F.length("counts"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // _RANGE_BYTES))
     counted = materialize(_counted(_by_range(blocks, ranges)), "markov-counts")
     totals = counted.where(F.col("block").isNull())
     top = _top_words(totals, top_words)
@@ -437,6 +540,4 @@ def score_documents(docs: DataFrame, states: int = 8, top_words: int = 1024, res
     coarse[0] = 0
     coarse[often] = 1 + np.arange(len(often))
     model = first_model(_coarse_bigrams(coded, coarse), coarse, n.astype(float), states)
-    for _ in range(iterations):
-        model = _round(coded, model)
-    return _scored(coded, model, int(n.sum()))
+    return _scored(coded, train(coded, model, tolerance, max_rounds), int(n.sum()))

@@ -349,17 +349,90 @@ def test_scaled_forward_equals_plain_sums():
         at += n
 
 
-def test_baum_welch_raises_the_likelihood():
+def plain_counts(m, sequences):
+    """Expected counts by whole forward and backward tables, one text at a time."""
+    starts, moves, emits, likelihood = np.zeros(len(m.start)), np.zeros(m.moves.shape), np.zeros(m.emits.shape), 0.0
+    for seq in sequences:
+        alpha, scales = [m.start * m.emits[:, seq[0]]], []
+        for x in seq[1:]:
+            scales.append(alpha[-1].sum())
+            alpha[-1] = alpha[-1] / scales[-1]
+            alpha.append(alpha[-1] @ m.moves * m.emits[:, x])
+        scales.append(alpha[-1].sum())
+        alpha[-1] = alpha[-1] / scales[-1]
+        likelihood += np.log10(scales).sum()
+        beta = np.ones(len(m.start))
+        for t in range(len(seq) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            emits[:, seq[t]] += gamma
+            if t == 0:
+                starts += gamma
+            else:
+                ahead = m.emits[:, seq[t]] * beta / scales[t]
+                moves += m.moves * np.outer(alpha[t - 1], ahead)
+                beta = m.moves @ ahead
+    return starts, moves, emits, likelihood
+
+
+@pytest.mark.parametrize("stick", [0.6, 0.9999])
+@pytest.mark.parametrize("at_once", [3, 2048])
+def test_segments_count_what_whole_texts_do(monkeypatch, stick, at_once):
+    """Messages cross the borders also where states hardly ever change, so that a few tokens around do not tell."""
+    monkeypatch.setattr(hidden_markov, "_SEGMENTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    m = hidden_markov.Model(np.array([0.7, 0.2, 0.1]), np.full((3, 3), (1 - stick) / 2) + (stick - (1 - stick) / 2) * np.eye(3), rng.dirichlet(40 * np.ones(6), 3))
+    lengths, trains = np.array([700, 1, 129, 128, 257, 40, 2000]), np.array([True, True, True, True, True, False, True])
+    seq = rng.integers(0, 6, lengths.sum())
+    texts = np.split(seq, np.cumsum(lengths)[:-1])
+    want = plain_counts(m, [t for t, ok in zip(texts, trains) if ok])
+    got = hidden_markov.expected_counts(m, lengths, seq, trains)
+    for g, w in zip(got, want):
+        assert np.allclose(g, w, rtol=1e-4, atol=1e-4)
+
+
+def test_baum_welch_never_lowers_the_likelihood():
     rng = np.random.default_rng(4)
     m = hidden_markov.Model(np.ones(2) / 2, np.array([[0.8, 0.2], [0.3, 0.7]]), rng.dirichlet(np.ones(6), 2))
-    lengths, trains = np.array([200, 90, 130]), np.array([True, True, True])
-    seq = np.concatenate([np.tile([0, 1, 2], 80), np.tile([3, 4, 5], 60)])
-    before = hidden_markov.log_likelihoods(m, lengths, seq).sum()
-    for _ in range(3):
-        s, a, b = hidden_markov.segment_counts(m, lengths, seq, trains)
-        assert b.sum() == pytest.approx(lengths.sum())
-        m = hidden_markov.Model(s / s.sum(), a / a.sum(1, keepdims=True), (b + 1e-9) / (b + 1e-9).sum(1, keepdims=True))
-    assert hidden_markov.log_likelihoods(m, lengths, seq).sum() > before
+    lengths, trains = np.array([200, 90, 430]), np.array([True, True, True])
+    seq = np.concatenate([np.tile([0, 1, 2], 80), np.tile([3, 4, 5], 160)])
+    last = -np.inf
+    for _ in range(12):
+        s, a, b, likelihood = hidden_markov.expected_counts(m, lengths, seq, trains)
+        assert b.sum() == pytest.approx(lengths.sum()) and s.sum() == pytest.approx(3) and a.sum() == pytest.approx(lengths.sum() - 3)
+        assert likelihood == pytest.approx(hidden_markov.log_likelihoods(m, lengths, seq).sum()) and likelihood >= last - 1e-6
+        last = likelihood
+        m = hidden_markov.Model(s / s.sum(), a / a.sum(1, keepdims=True), (b + 1e-12) / (b + 1e-12).sum(1, keepdims=True))
+
+
+def test_scores_equal_a_plain_model(spark, corpus, corpus_rows, monkeypatch):
+    """The whole query: the words' classes, the trained model's recursion and the words within their classes."""
+    kept = {}
+    monkeypatch.setattr(hidden_markov, "_scored", lambda coded, model, total, run=hidden_markov._scored: kept.update(model=model) or run(coded, model, total))
+    monkeypatch.setattr(hidden_markov, "Classes", lambda *a, make=hidden_markov.Classes: kept.setdefault("classes", make(*a)))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 6)) for r in hidden_markov.score_documents(corpus, states=3, top_words=20, rest_classes=16, ranges=3).collect())
+    m, classes, texts, n = kept["model"], kept["classes"], [], {}
+    for i, t, _ in corpus_rows:
+        raw = [w.encode() for w in plain.WORD.findall((t or "").translate(plain.LOWER))]
+        texts.append((i, raw, [*(hidden_markov.word_hashes(raw)[0] if raw else []), np.uint64(1)], [*(hidden_markov._suffixes(raw) % np.uint64(16) if raw else []), np.uint64(0)]))
+        if not hidden_markov.held_out(i):
+            for w in texts[-1][2]:
+                n[w] = n.get(w, 0) + 1
+    of = {w: int(classes.of(np.array([w], np.uint64), np.array([s], np.uint64))[0]) for _, _, ws, ss in texts for w, s in zip(ws, ss)}
+    size, kinds = {}, {}
+    for w, x in n.items():
+        size[of[w]], kinds[of[w]] = size.get(of[w], 0) + x, kinds.get(of[w], 0) + 1
+    want = []
+    for i, _, ws, _ in texts:
+        p, total = None, 0.0
+        for w in ws:
+            p = (m.start if p is None else p @ m.moves) * m.emits[:, of[w]]
+            total += math.log10(p.sum())
+            p = p / p.sum()
+            if of[w] > len(classes.top):
+                total += math.log10((n.get(w, 0) + 0.1) / (size.get(of[w], 0) + 0.1 * (kinds.get(of[w], 0) + 1)))
+        want.append((i is not None, i or 0, round(total, 6)))
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
 
 
 # --- decontamination ------------------------------------------------------------------
