@@ -326,6 +326,44 @@ def test_licences(corpus, corpus_rows):
     assert sum(1 for r in license_scan.scan_licenses(corpus).collect()) == len(corpus_rows)
 
 
+def plain_licences(texts, threshold=0.8):
+    """Every template at every place of every text, without an index."""
+    split = [license_scan.words(t) for t in texts]
+    templates = [(label, license_scan.words(n), license_scan.words(p)) for label, n, p in license_scan.TEMPLATES]
+    vocabulary = {w for _, n, p in templates for w in n + p}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in s for s in map(set, split)) + 1)) + 1 for w in vocabulary}
+    stands = lambda s, phrase, low, high: any(s[p:p + len(phrase)] == phrase for p in range(max(0, low), min(len(s), high + 1)))
+    out = []
+    for s in split:
+        found = []
+        for label, notice, phrase in templates:
+            mass, rare = math.fsum(idf[w] for w in notice), set(sorted(set(notice), key=lambda w: (-idf[w], w))[:4])
+            for start in range(-len(notice), len(s)):
+                at = [k for k, w in enumerate(notice) if 0 <= start + k < len(s) and s[start + k] == w]
+                share = math.fsum(idf[notice[k]] for k in at) / mass
+                if share >= threshold and rare & {notice[k] for k in at} and stands(s, phrase, start - len(phrase), start + len(notice) + len(phrase) - len(phrase) + 1):
+                    found.append((start, label, round(share, 9)))
+        base = [(p, label) for text, label in license_scan.BASE_PHRASES.items() for p in range(len(s)) if s[p:p + len(text.split())] == [w.encode() for w in text.split()]]
+        out.append((len(s), len(base), ",".join(sorted({x for _, x in base})), ",".join(sorted({x for _, x in base} | {x for _, x, _ in found})), sorted(f"{x}@{p}" for p, x, _ in found), max([*(x for _, _, x in found), 1.0 if base else 0.0])))
+    return out
+
+
+def test_licences_equal_a_scan_without_an_index(spark):
+    rng = random.Random(12)
+    texts = [None, "", "no licence at all"]
+    for k in range(120):
+        _, notice, _ = rng.choice(license_scan.TEMPLATES)
+        own = notice.split()
+        for _ in range(rng.randrange(4)):  # words changed, added or lost
+            at = rng.randrange(len(own))
+            own[at:at + rng.randrange(2)] = rng.choice([["other"], [], own[at:at + 1] * 2])
+            own = own or ["none"]
+        texts.append(plain.prose(k, rng.randrange(30)) + " " + " ".join(own).upper() + ". " + rng.choice(["", "All rights reserved. ", "cc by "]) + plain.prose(k + 500, 20))
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, w in zip(got, plain_licences(texts)):
+        assert (r.n_words, r.n_base, r.base_labels, r.labels, sorted(filter(None, r.places.split(",")))) == w[:5] and r.score == pytest.approx(w[5])
+
+
 # --- LM scores ----------------------------------------------------------------------
 
 def test_base_scores_and_likelihoods(corpus, corpus_rows):

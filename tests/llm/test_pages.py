@@ -1,6 +1,8 @@
 """URL filter and WARC derivatives."""
 
+import base64
 import gzip
+import hashlib
 import html.parser
 import os
 
@@ -96,3 +98,61 @@ def test_records_are_linked_and_survive_a_round_trip(spark, tmp_path):
     found = [x for f in os.listdir(folder) if f.endswith(".gz") for x in warc.read_warc(gzip.open(f"{folder}/{f}").read())]
     assert sorted((h["WARC-Record-ID"], h["WARC-Block-Digest"], warc.digest(b)) for h, b in found) == sorted((r.record_id, r.block_digest, r.block_digest) for r in rows)
     assert warc.derive(warc.responses_of_pages(source.limit(0))).count() == 0
+
+
+class _Words(html.parser.HTMLParser):
+    """A separate reader: visible words, title and language."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.title, self.language, self.stack = [], [], "", []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "noscript", "template"):
+            self.stack.append(tag)
+        if tag == "html":
+            self.language = self.language or dict(attrs).get("lang") or ""
+
+    def handle_endtag(self, tag):
+        if self.stack and self.stack[-1] == tag:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        if not self.stack:
+            self.words += data.split()
+        elif self.stack[-1] == "title":
+            self.title += data.split()
+
+
+def test_whole_records_of_the_given_pages_against_a_separate_reader(spark):
+    """Links, digests, lengths, given headers and dates, texts: everything recomputed from the page."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    http = "HTTP/1.1 203 Fine\r\nContent-Type: text/html\r\nX-Odd:  a: b \r\nETag: \"7\""
+    given = [(r.page_id, r.url, f"2023-05-{1 + r.page_id % 28:02d}T01:02:03Z", http if r.page_id % 2 else None, r.html, "x") for r in rows]
+    responses = spark.createDataFrame(given, "page_id long, target_uri string, date string, http_headers string, payload string, headers string")
+    sha = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    got = {}
+    for r in warc.derive(responses).collect():
+        got.setdefault(r.page_id, {})[r.record_type] = r
+    assert set(got) == {r.page_id for r in rows}
+    for page_id, uri, date, headers, payload, _ in given:
+        told, text = got[page_id]["metadata"], got[page_id]["conversion"]
+        reader = _Words()
+        reader.feed(payload or "")
+        reader.close()
+        assert "".join(text.block.split()) == "".join(reader.words)
+        fields = dict(line.split(": ", 1) for line in told.block.split("\r\n") if line)
+        want = {"source-payload-digest": sha((payload or "").encode()), "source-length": str(len((payload or "").encode())), "title": " ".join(reader.title), "language": reader.language}
+        if headers:
+            want |= {"http-status": "HTTP/1.1 203 Fine", "http-content-type": "text/html", "http-x-odd": "a: b", "http-etag": '"7"'}
+        assert fields == {k: v for k, v in want.items() if v}
+        for r in (told, text):
+            raw = r.block.encode()
+            lines = dict(line.split(": ", 1) for line in r.headers.split("\r\n")[1:])
+            assert (r.content_length, r.block_digest, r.source_digest) == (len(raw), sha(raw), want["source-payload-digest"])
+            assert lines == {k: v for k, v in {
+                "WARC-Type": r.record_type, "WARC-Record-ID": r.record_id, "WARC-Refers-To": r.refers_to, "WARC-Target-URI": uri, "WARC-Date": date,
+                "WARC-Block-Digest": sha(raw), "Content-Type": r.content_type, "Content-Length": str(len(raw)),
+            }.items() if v}
+        assert told.refers_to == text.refers_to and len({told.record_id, text.record_id, told.refers_to}) == 3
+    assert len({r.refers_to for kinds in got.values() for r in kinds.values()}) == len(rows)
