@@ -37,12 +37,22 @@ def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> D
 
     Used where recomputing would repeat the expensive tokenising; the written
     table also survives the loss of executors. ``schema`` reads the columns as
-    other types of the same stored shape.
+    other types of the same stored shape. ``drop_stored`` removes the table once
+    nothing reads it any more; what is not dropped stays for the folder's owner.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` returned. Frames that still read it fail afterwards."""
+    spark = table.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cluster(df: DataFrame, *keys: str) -> DataFrame:

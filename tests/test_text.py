@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import StopWordsRemover
@@ -103,3 +104,13 @@ def test_plain_keyword_test_is_never_wrongly_true(column):
     for text, sure in zip(texts, certain):
         assert not sure or plain.keyword_terms(text), text
     assert certain[2] and certain[3] and not certain[0]
+
+
+def test_a_stored_table_can_be_dropped(spark):
+    from lexiloom.session import drop_stored, materialize
+
+    table = materialize(spark.range(5).toDF("n"), "numbers")
+    assert table.count() == 5
+    drop_stored(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table._stored_at).count()
