@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_stored, materialize
 from .jaccard_join import _deltas, _planes, _sums, _unplanes
 from .shingles import _BYTE, in_parts, mix, word_hashes
 
@@ -534,6 +534,8 @@ def score_documents(
     classes = Classes(np.array([w for w, _ in top], np.int64).view(np.uint64), rest_classes)
     n, v = _class_totals(totals, classes)
     coded = materialize(_coded(blocks, counted, ranges, classes, n, v), "markov-coded")
+    drop_stored(blocks)
+    drop_stored(counted)
     # coarse classes: the end, the most frequent words, the rest by suffix
     often = np.argsort(-n[1:1 + len(top)], kind="stable")[:COARSE] + 1
     coarse = 1 + len(often) + np.arange(classes.n) % 64
