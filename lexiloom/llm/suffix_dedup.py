@@ -57,6 +57,8 @@ SYMBOLS = 4
 GRAM = 48
 _RANGE_BYTES = 2_000_000
 _HOT_BYTES = 4 * _RANGE_BYTES
+#: Bytes hashed at a time: the arrays of a step take a hundred times as many.
+_HASHED_BYTES = 1_000_000
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -246,7 +248,7 @@ def _keyed(docs: DataFrame, window: int) -> DataFrame:
     """The runs of each row's text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in in_parts(batches):
+        for ids, texts in in_parts(batches, _HASHED_BYTES):
             digests = [hashlib.sha256(t) for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "uid": pa.array([d.digest()[:16] for d in digests], pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
@@ -392,16 +394,25 @@ def _within(bodies: DataFrame, window: int, symbols: int, memory_mb: int, hot_by
     """Spans ``uid, start, stop`` of windows that repeat, all of whose parts are known to: ``uid, body, spans`` has the spans of smaller windows."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, int, bytes]] = []
+
+        def emit() -> pa.RecordBatch:
+            uids, places, parts = map(list, zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_pydict({"uid": pa.array(uids, pa.binary()), "at": pa.array(places, pa.int32()), "body": pa.array(parts, pa.binary()), **_run_columns(runs(parts, window))})
+
+        size = 0
         for batch in batches:
-            uids, places, parts = [], [], []
             for uid, body, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for start, stop in _united([(s["start"], s["stop"]) for s in found]):
                     if stop - start >= window:
-                        uids.append(uid)
-                        places.append(start)
-                        parts.append(body[start:stop])
-            if parts:
-                yield pa.RecordBatch.from_pydict({"uid": pa.array(uids, pa.binary()), "at": pa.array(places, pa.int32()), "body": pa.array(parts, pa.binary()), **_run_columns(runs(parts, window))})
+                        held.append((uid, start, body[start:stop]))
+                        size += stop - start
+                if size >= _HASHED_BYTES:
+                    yield emit()
+                    size = 0
+        if held:
+            yield emit()
 
     cut = materialize(bodies.select("uid", "body", "spans").mapInArrow(stretches, f"uid binary, at int, body binary, {_RUN_COLUMNS}").dropDuplicates(["uid", "at"]), "suffix-stretches")
     wanted = _wanted(cut, window, hot_bytes)
