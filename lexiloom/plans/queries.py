@@ -418,12 +418,16 @@ def _predictions(spark, folder, hard=False):
     return C.predict(_share_model(spark, folder), _documents(spark, folder), hard=hard)
 
 
-def predict(spark, folder):
-    return _predictions(spark, folder).select(
+def classifier_predictions(spark, folder, model):
+    return C.predict(model, _documents(spark, folder)).select(
         "doc_id", "predicted_category", "confidence", F.round("confidence_raw", 6).alias("confidence_raw"), "message"
     )
 
 
+def predict(spark, folder):
+    return classifier_predictions(spark, folder, _share_model(spark, folder))
+
+
 def predict_hard(spark, folder):
     return _predictions(spark, folder, hard=True).select("doc_id", "predicted_category", "confidence")
 
