@@ -395,13 +395,13 @@ def _expected(model: Model, table: np.ndarray, seg: _Segments, own: np.ndarray,
     begin, long, first, last = seg.begin[own][order], seg.long[own][order], seg.first[own][order], seg.last[own][order]
     active = [int(np.searchsorted(-long, -t, side="left")) for t in range(int(long[0]) + 1)]
     seen, forward, scales, likelihood = [], [], [], 0.0
-    ends = np.zeros((n, states))
+    ends, ones = np.zeros((n, states)), np.ones((states, 1))  # a product with ones adds up rows faster than sum()
     for t in range(int(long[0])):
         k = active[t]
         obs = table[classes[begin[:k] + t]]
         alpha = np.where(first[:, None], model.start * obs, entry[order]) if t == 0 else alpha[:k] @ model.moves * obs
-        scale = alpha.sum(1, keepdims=True)
-        alpha = alpha / scale
+        scale = alpha @ ones
+        alpha /= scale
         likelihood += float(np.log10(scale[first] if t == 0 else scale).sum())
         seen.append(obs)
         forward.append(alpha)
@@ -411,12 +411,13 @@ def _expected(model: Model, table: np.ndarray, seg: _Segments, own: np.ndarray,
     # a backward message is scaled so that it and the forward one make a distribution
     final = np.where(last[:, None], 1.0, leave[order])
     final = final / (ends * final).sum(1, keepdims=True)
-    moves = np.zeros((states, states))
+    pairs, back = np.zeros((states, states)), np.ascontiguousarray(model.moves.T)
     gammas, tokens = [], []
     beta = final[:0]
     for t in range(int(long[0]) - 1, -1, -1):
         k = active[t]
-        beta = np.concatenate((beta, final[len(beta):k]))
+        if len(beta) < k:
+            beta = np.concatenate((beta, final[len(beta):k]))
         gamma = forward[t] * beta
         if t == 0:
             gammas.append(gamma[first])
@@ -424,9 +425,11 @@ def _expected(model: Model, table: np.ndarray, seg: _Segments, own: np.ndarray,
         else:
             gammas.append(gamma)
             tokens.append(classes[begin[:k] + t])
-            ahead = beta * seen[t] / scales[t]
-            moves += model.moves * (forward[t - 1][:k].T @ ahead)
-            beta = ahead @ model.moves.T
+            ahead = np.multiply(beta, seen[t], out=seen[t])
+            ahead /= scales[t]
+            pairs += forward[t - 1][:k].T @ ahead
+            beta = ahead @ back
+    moves = model.moves * pairs
     starts = gammas[-1].sum(0)
     flat, at = np.concatenate(gammas), np.concatenate(tokens)
     emits = np.stack([np.bincount(at, weights=flat[:, s], minlength=model.emits.shape[1]) for s in range(states)])
