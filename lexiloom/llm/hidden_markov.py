@@ -3,7 +3,7 @@
 Tokens are words (A-Z lower-cased) and one end per text, identified by 64-bit
 hashes. Training texts are those whose ``crc32(doc_id) % 10`` is not 0.
 
-1. Texts are read in blocks of about 4 MB: local word numbers per text, local
+1. Texts are read in blocks of about 2.5 MB: local word numbers per text, local
    words with their training counts. Counts meet by hash range, packed, and go
    back to their blocks, so that no row per token is ever shuffled.
 2. The ``top_words`` most frequent words emit themselves; all other words share
@@ -50,6 +50,8 @@ COARSE = 192
 _END = np.uint64(1)  # stands for the end of a text among the word hashes
 _GROUP_TOKENS = 2_000_000
 _HASHED_BYTES = 500_000
+#: Text of a block: a task's arrays take some fifty times as much.
+_BLOCK_BYTES = 2_500_000
 _SEGMENTS_AT_ONCE = 2048
 _RANGE_BYTES = 32_000_000
 
@@ -98,7 +100,7 @@ _SCHEMA = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int3
 
 def _blocks(docs: DataFrame, rest_classes: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in in_parts(batches):
+        for ids, texts in in_parts(batches, _BLOCK_BYTES):
             hashes, per_text, suffixes = _hashed(texts)
             ends = np.cumsum(per_text)
             all_tokens = np.insert(np.maximum(hashes, np.uint64(2)), ends, _END)
