@@ -7,6 +7,7 @@ import html.parser
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import url_filter, warc
 
@@ -44,12 +45,22 @@ def test_no_list_and_no_pages(spark):
 
 def test_a_full_filter_passes_false_hits_only(spark):
     keys = url_filter.listed_keys(spark.range(3000).selectExpr("concat('http://h', id, '.com/x') AS url"), rules(spark, []))
-    blocks, n = url_filter.build_filter(keys)
-    assert n == -(-3000 * url_filter._BITS_PER_KEY // 256) and blocks.count() <= n
+    words = url_filter.build_filter(keys)
+    assert words.shape == (-(-3000 * url_filter._BITS_PER_KEY // 256), 8) and words.any()
+    probed = keys.select("_key").unionByName(spark.range(3000).selectExpr("concat('=other', id) AS _key"))
+    passed = probed.select(F.explode(url_filter.possible(F.array("_key"), words)).alias("_key"))
+    assert passed.join(keys, "_key").count() == 3000 and passed.count() < 3000 + 300  # all that are listed, few others
     full = url_filter.filter_urls(pages(spark, [f"http://h{k}.com/x" for k in range(0, 6000, 7)]), keys.selectExpr("concat('http://', substr(_key, 2)) AS url"), rules(spark, []), max_filter_mb=0)
     assert full.where("verdict = 'block'").count() == len(range(0, 3000, 7))
 
 
+def test_pages_without_a_hit_are_not_shuffled(spark):
+    listed = spark.createDataFrame([("http://bad.com/p",)], "url string")
+    plan = url_filter.filter_urls(pages(spark, [u for u, _, _ in URLS]), listed, rules(spark))._jdf.queryExecution().optimizedPlan().toString()
+    clear, hits = plan.split("Union", 1)[1].split("Aggregate", 1)
+    assert "Join" not in clear and "Aggregate" not in clear and "Join" in hits
+
+
 class _Visible(html.parser.HTMLParser):
     def __init__(self):
         super().__init__()
