@@ -11,7 +11,8 @@ as one array of words: its size is at most ``max_filter_mb`` whatever the list
 holds, since a fuller filter only passes more false hits, which the exact join
 removes. Keys are made and hashed by built-ins, the array is read by an Arrow
 function over their hashes. Pages without a possible hit get their verdict in that
-projection; only the others are shuffled, each with the keys that the filter passed.
+projection; only the others are stored, and joined exactly by the keys that the
+filter passed. A key that very many pages have is broadcast there, never dealt.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and
 fits nothing; the longest rule wins, of equal ones the one with the longer host,
@@ -30,6 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import terms
+from ..session import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = range(8)
 _BLOCK_BYTES = 32
@@ -130,8 +134,12 @@ def filter_urls(pages: DataFrame, urls: DataFrame, rules: DataFrame, max_filter_
         "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"),
         F.lit("allow").alias("verdict"), F.lit(False).alias("listed"),
     )
-    hits = tested.where(F.size("_keys") > 0).select("_row", "page_id", "_host", "_path", F.explode("_keys").alias("_key"))
-    found = hits.join(keys, "_key", "left")
+    passed = materialize(tested.where(F.size("_keys") > 0), "url-hits")
+    hits = passed.select("_row", "page_id", "_host", "_path", F.explode("_keys").alias("_key"))
+    # a rule's key may fit a third of all pages: keys go by their number of hits, the frequent ones by broadcast
+    often = keys.join(hits.groupBy("_key").agg(F.count(F.lit(1)).alias("_hits")), "_key")
+    listed = terms.attach_by_frequency(hits, often, ["_key"], "_hits")
+    found = listed.unionByName(passed.drop("_keys"), allowMissingColumns=True)  # a page may have false hits only
     best = F.max(F.when(F.col("_rule").isNotNull(), F.struct(F.length("_rule").alias("n"), F.col("_host_len").alias("h"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))))
     judged = found.groupBy("_row").agg(
         F.first("page_id").alias("page_id"), F.first("_host").alias("host"), F.first("_path").alias("path"), best.alias("_best"),

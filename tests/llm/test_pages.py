@@ -58,7 +58,14 @@ def test_pages_without_a_hit_are_not_shuffled(spark):
     listed = spark.createDataFrame([("http://bad.com/p",)], "url string")
     plan = url_filter.filter_urls(pages(spark, [u for u, _, _ in URLS]), listed, rules(spark))._jdf.queryExecution().optimizedPlan().toString()
     clear, hits = plan.split("Union", 1)[1].split("Aggregate", 1)
-    assert "Join" not in clear and "Aggregate" not in clear and "Join" in hits
+    assert "Join" not in clear and "Join" in hits and "url-hits" not in clear
+
+
+def test_a_key_of_most_pages(spark):
+    urls = ["http://example.com/de/same"] * 3000 + [f"http://example.com/de/{k}" for k in range(200)] + ["http://bad.com/p", "http://good.com/p"] * 100
+    listed = spark.createDataFrame([("http://bad.com/p",)], "url string")
+    rows = url_filter.filter_urls(pages(spark, urls).repartition(7), listed, rules(spark)).groupBy("rule", "verdict", "listed").count().collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("example.com/de/", "block", False, 3200), (None, "block", True, 100), (None, "allow", False, 100)], key=str)
 
 
 class _Visible(html.parser.HTMLParser):
