@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html.parser
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,11 +114,28 @@ def test_records_are_linked_and_survive_a_round_trip(spark, tmp_path):
     assert "title: x y" in one["metadata"].block and "language: de" in one["metadata"].block and one["metadata"].source_digest in one["metadata"].block
     folder = str(tmp_path / "warc")
     warc.write_warc(records, folder)
-    found = [x for f in os.listdir(folder) if f.endswith(".gz") for x in warc.read_warc(gzip.open(f"{folder}/{f}").read())]
+    files = [f for f in os.listdir(folder) if f.endswith(".gz")]
+    found = [x for f in files for x in warc.read_warc(gzip.open(f"{folder}/{f}").read())]
+    members = [m for f in files for m in _members(open(f"{folder}/{f}", "rb").read())]
+    assert len(members) == 8 and all(len(list(warc.read_warc(m))) == 1 for m in members)
+    assert sorted(set(os.listdir(folder)) - set(files)) == ["_SUCCESS", "_temporary"] and os.listdir(f"{folder}/_temporary") == []
+    with pytest.raises(Exception, match="broken row"):
+        warc.write_warc(records.withColumn("block", F.expr("if(page_id = 1, raise_error('broken row'), block)")), f"{folder}-failed")
+    assert not [f for _, _, names in os.walk(f"{folder}-failed") for f in names if f.endswith(".gz") or f == "_SUCCESS"]
+    warc.write_warc(records.limit(0), f"{folder}-empty")
+    assert not [f for f in os.listdir(f"{folder}-empty") if f.endswith(".gz")]
     assert sorted((h["WARC-Record-ID"], h["WARC-Block-Digest"], warc.digest(b)) for h, b in found) == sorted((r.record_id, r.block_digest, r.block_digest) for r in rows)
     assert warc.derive(warc.responses_of_pages(source.limit(0))).count() == 0
 
 
+def _members(content):
+    """Each gzip member, unpacked by itself."""
+    while content:
+        reader = zlib.decompressobj(wbits=31)
+        yield reader.decompress(content)
+        content = reader.unused_data
+
+
 class _Words(html.parser.HTMLParser):
     """A separate reader: visible words, title and language."""
 
