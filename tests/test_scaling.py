@@ -32,3 +32,21 @@ def test_local_keywords_cut_texts_once(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     ranked = keywords._local_scope_ranked(keywords._cleaned(docs, "text"), 5, (1, 2))
     assert _plan(ranked).count("Generate posexplode") == 1
+
+
+def test_the_share_model_cuts_texts_once(spark, folder, monkeypatch):
+    calls, cut = [], classifier._terms
+    monkeypatch.setattr(classifier, "_terms", lambda text: calls.append(1) or cut(text))
+    queries._share_model(spark, folder)
+    assert len(calls) == 1
+
+
+def test_unknown_terms_go_before_counting(spark):
+    terms = spark.createDataFrame([("alpha", 1.0, [1.0, 0.0]), ("beta", 1.0, [0.0, 1.0])], "term string, idf double, coefficients array<double>")
+    model = classifier.TopicModel(terms, ["en", "de"], [0.0, 0.0])
+    docs = spark.createDataFrame([(1, "alpha alpha unseen words here"), (2, "nothing known in this text"), (2, "beta too"), (3, None)], "doc_id long, text string")
+    for scored in (classifier.predict(model, docs), classifier.vectors(model, docs)):
+        assert _plan(scored).count("BroadcastHashJoin") == 2
+    found = {(r["doc_id"], r["predicted_category"]) for r in classifier.predict(model, docs).collect()}
+    assert found == {(1, "en"), (2, "en"), (2, classifier.UNDETERMINED), (3, classifier.UNDETERMINED)}
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in classifier.vectors(model, docs).collect()} == {(1, "alpha", 2), (2, "beta", 1)}
