@@ -28,12 +28,6 @@ def test_clustered_parts_do_not_grow_with_the_input(spark, folder, monkeypatch):
     assert session.cluster(spark.createDataFrame([(1,)], "doc_id long"), "doc_id").rdd.getNumPartitions() == 4
 
 
-def test_local_keywords_cut_texts_once(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    ranked = keywords._local_scope_ranked(keywords._cleaned(docs, "text"), 5, (1, 2))
-    assert _plan(ranked).count("Generate posexplode") == 1
-
-
 def test_the_share_model_cuts_texts_once(spark, folder, monkeypatch):
     calls, cut = [], classifier._terms
     monkeypatch.setattr(classifier, "_terms", lambda text: calls.append(1) or cut(text))
@@ -50,3 +44,33 @@ def test_unknown_terms_go_before_counting(spark):
     found = {(r["doc_id"], r["predicted_category"]) for r in classifier.predict(model, docs).collect()}
     assert found == {(1, "en"), (2, "en"), (2, classifier.UNDETERMINED), (3, classifier.UNDETERMINED)}
     assert {(r["doc_id"], r["term"], r["tf"]) for r in classifier.vectors(model, docs).collect()} == {(1, "alpha", 2), (2, "beta", 1)}
+
+
+def test_local_keywords_cut_texts_once(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ranked = keywords._local_scope_ranked(keywords._cleaned(docs, "text"), 5, (1, 2))
+    assert _plan(ranked).count("Generate posexplode") == 1
+
+
+def test_sections_are_dealt_as_texts(spark, folder, monkeypatch):
+    stored, keep = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: stored.setdefault(name, df) and keep(df, name))
+    cut = sections.sections(spark.read.parquet(f"{folder}/documents.parquet"))
+    asked = spark.createDataFrame([(1, "alpha epsilon")], "query_id long, query string")
+    assert search.corpus_postings(cut, asked).count() > 0
+    plan = _plan(stored["section-terms"])
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_norms_deal_terms_by_section_only_for_few_candidates(spark, folder, monkeypatch):
+    stored, keep = [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    cut = sections.sections(spark.read.parquet(f"{folder}/documents.parquet"))
+    found = []
+    for word in ("alpha", "w7a"):
+        asked = spark.createDataFrame([(1, word)], "query_id long, query string")
+        found.append({(r["doc_id"], r["section_id"]): round(r["weight"], 9) for r in search.corpus_postings(cut, asked).collect()})
+    assert stored.count("candidate-terms") == 1  # for the rare word only
+    whole = search.corpus_tfidf(cut).where("term in ('alpha', 'w7a')").collect()
+    for word, rows in zip(("alpha", "w7a"), found):
+        assert rows == {(r["doc_id"], r["section_id"]): round(r["weight"], 9) for r in whole if r["term"] == word}
