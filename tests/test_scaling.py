@@ -74,3 +74,11 @@ def test_norms_deal_terms_by_section_only_for_few_candidates(spark, folder, monk
     whole = search.corpus_tfidf(cut).where("term in ('alpha', 'w7a')").collect()
     for word, rows in zip(("alpha", "w7a"), found):
         assert rows == {(r["doc_id"], r["section_id"]): round(r["weight"], 9) for r in whole if r["term"] == word}
+
+
+def test_sections_of_documents_are_dealt_as_texts(spark, folder, monkeypatch):
+    stored, seen = [], search.weigh_in_large_scope
+    monkeypatch.setattr(search, "weigh_in_large_scope", lambda tf, *rest: stored.append(_plan(tf)) or seen(tf, *rest))
+    cut = sections.sections(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert search.section_tfidf(cut).where("term = 'alpha'").count() == 80
+    assert stored[0].count("Exchange") == 1 and stored[0].index("Generate explode") < stored[0].index("Exchange")
