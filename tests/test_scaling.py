@@ -1,6 +1,7 @@
 """What a step costs: how often texts are read, and what is dealt out."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom import session
 from lexiloom.operators import classifier, keywords, search, sections
@@ -82,3 +83,13 @@ def test_sections_of_documents_are_dealt_as_texts(spark, folder, monkeypatch):
     cut = sections.sections(spark.read.parquet(f"{folder}/documents.parquet"))
     assert search.section_tfidf(cut).where("term = 'alpha'").count() == 80
     assert stored[0].count("Exchange") == 1 and stored[0].index("Generate explode") < stored[0].index("Exchange")
+
+
+def test_asked_postings_are_not_dealt_by_term(spark, folder):
+    cut = search.materialize(sections.sections(spark.read.parquet(f"{folder}/documents.parquet")), "cut")
+    asked = spark.createDataFrame([(1, 1, "alpha epsilon"), (2, 1, "alpha unseen"), (3, 2, "w2a"), (4, 99, "alpha"), (5, None, "alpha"), (6, 3, None)], "query_id long, doc_id long, query string")
+    found = search._asked_postings(cut, asked)
+    assert _plan(found).count("Exchange") == 2  # sections and queries, both as texts by document
+    whole = search.section_tfidf(session.cluster(cut, "doc_id"), whole_texts=True).where("doc_id = 1 and term in ('alpha', 'epsilon') or doc_id = 2 and term = 'w2a'")
+    rows = lambda df: sorted((r["doc_id"], r["section_id"], r["term"], r["tf"], r["df"], round(r["weight"], 9)) for r in df.collect())
+    assert rows(found) == rows(whole) and len(rows(found)) == 4
