@@ -22,7 +22,7 @@ from ..functions import text as T
 from ..functions.fixed_values import (
     INVERSE_REGULARISATION, MAX_ITERATIONS, PREDICT_MIN_CHARS, TOO_BRIEF_MESSAGE, UNDETERMINED, VOCABULARY_CAP,
 )
-from ..session import cluster, materialize
+from ..session import cluster, cluster_parts, materialize
 from .evaluation import METRICS, classification_metrics, classification_report, confusion_matrix
 from .splitting import stratified_split
 from .terms import normalise, smooth_idf, sublinear, term_frequency
@@ -46,6 +46,16 @@ def training_terms(texts: DataFrame, row: list[str]) -> DataFrame:
     return materialize(term_frequency(texts, row, _terms(F.col("text"))), "training-terms")
 
 
+def cut_terms(texts: DataFrame, row: list[str]) -> DataFrame:
+    """``row, term`` with all repeats, from the texts cut once and stored.
+
+    Totals need no counts by row, and most terms are rare: only what is known to be
+    frequent is counted by row, after it.
+    """
+    cut = materialize(texts.select(*row, _terms(F.col("text")).alias("_terms")), "cut-terms")
+    return cut.select(*row, F.explode("_terms").alias("term"))
+
+
 def frequent_terms(counted: DataFrame, size: int, buckets: int = 1 << 18) -> DataFrame:
     """The ``size`` terms with the largest totals, ties by term: ``term, total``, from rows ``term, tf``.
 
@@ -73,10 +83,11 @@ def frequent_terms(counted: DataFrame, size: int, buckets: int = 1 << 18) -> Dat
 
 def vocabulary_topk(texts: DataFrame, size: int = VOCABULARY_CAP, row_id: str = "doc_id") -> DataFrame:
     """``term, total, position``: the most frequent terms, ties by term."""
-    return _vocabulary(training_terms(texts, [row_id]), size)
+    return _vocabulary(cut_terms(texts, [row_id]), size)
 
 
-def _vocabulary(counted: DataFrame, size: int) -> DataFrame:
+def _vocabulary(found: DataFrame, size: int) -> DataFrame:
+    counted = found.select("term", F.lit(1).cast("long").alias("tf"))
     position = F.row_number().over(Window.orderBy(F.desc("total"), "term")).cast("long")  # ``size`` rows
     return frequent_terms(counted, size).withColumn("position", position)
 
@@ -231,18 +242,20 @@ def fit(
         raise ValueError(f"more than {MAX_CLASSES} classes")
     n_train = train.count()
 
-    counted = training_terms(cluster(train, row_id), [row_id, "category"])
-    vocabulary = materialize(_vocabulary(counted, vocabulary_size), "vocabulary")
-    known = counted.join(F.broadcast(vocabulary.select("term", (F.col("position") - 1).cast("int").alias("index"))), "term")
-    idf = materialize(known.groupBy("term", "index").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "index", smooth_idf(F.lit(n_train), F.col("df")).alias("idf")
-    ), "idf")
+    found = cut_terms(train, [row_id, "category"])
+    vocabulary = materialize(_vocabulary(found, vocabulary_size), "vocabulary")
+    places = F.broadcast(vocabulary.select("term", (F.col("position") - 1).cast("int").alias("index")))
+    parts = cluster_parts(split)
+    known = cluster(found.join(places, "term").select(row_id, "category", "index"), row_id, parts=parts)
+    known = materialize(known.groupBy(row_id, "category", "index").agg(F.count(F.lit(1)).alias("tf")), "known-terms")
+    df = known.groupBy("index").agg(F.count(F.lit(1)).alias("df"))
+    idf = materialize(df.join(places, "index").select("term", "index", smooth_idf(F.lit(n_train), F.col("df")).alias("idf")), "idf")
     size = idf.count()
 
-    weighted = known.join(F.broadcast(idf.select("term", "idf")), "term").select(
+    weighted = known.join(F.broadcast(idf.select("index", "idf")), "index").select(
         row_id, "category", "index", (sublinear(F.col("tf")) * F.col("idf")).alias("value")
     )
-    weights = materialize(normalise(weighted, [row_id], "value"), "training-weights")
+    weights = materialize(normalise(cluster(weighted, row_id, parts=parts), [row_id], "value"), "training-weights")
     vectors = weights.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_p"))
     label = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("category")) - 1
     empty = F.array().cast("array<double>")

@@ -343,7 +343,7 @@ def _training_part(spark, folder):
 
 
 def vocabulary_topk(spark, folder):
-    return C.vocabulary_topk(cluster(_training_part(spark, folder), "doc_id"))
+    return C.vocabulary_topk(_training_part(spark, folder))
 
 
 def training_summary(spark, folder):

@@ -1,5 +1,7 @@
 """What a step costs: how often texts are read, and what is dealt out."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,20 @@ def test_asked_postings_are_not_dealt_by_term(spark, folder):
     whole = search.section_tfidf(session.cluster(cut, "doc_id"), whole_texts=True).where("doc_id = 1 and term in ('alpha', 'epsilon') or doc_id = 2 and term = 'w2a'")
     rows = lambda df: sorted((r["doc_id"], r["section_id"], r["term"], r["tf"], r["df"], round(r["weight"], 9)) for r in df.collect())
     assert rows(found) == rows(whole) and len(rows(found)) == 4
+
+
+def test_a_fit_counts_known_terms_only(spark, folder, monkeypatch):
+    stored, keep = {}, classifier.materialize
+    monkeypatch.setattr(classifier, "materialize", lambda df, name, *rest: stored.setdefault(name, df) and keep(df, name, *rest))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.col("lang").alias("category"), "text")
+    twice = docs.unionByName(docs.where("doc_id = 7"))  # a key may repeat
+    fitted = classifier.fit(twice, vocabulary_size=20, max_iterations=20, test_share=0.1)
+    assert "Aggregate" not in _plan(stored["cut-terms"]) and "Exchange" not in _plan(stored["cut-terms"])
+    assert _plan(stored["known-terms"]).count("Exchange hash") == 1
+    counted = classifier.training_terms(fitted.split.where("split = 'train'"), ["doc_id", "category"])
+    totals = counted.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    best = {r["term"]: r["df"] for r in totals.orderBy(F.desc("total"), "term").limit(20).collect()}
+    idf = {r["term"]: r["idf"] for r in fitted.model.terms.collect()}
+    assert idf.keys() == best.keys()
+    for term, df in best.items():
+        assert abs(idf[term] - (math.log((1 + fitted.n_train) / (1 + df)) + 1)) < 1e-9
