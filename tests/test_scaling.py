@@ -1,6 +1,7 @@
 """What a step costs: how often texts are read, and what is dealt out."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,15 @@ def test_a_fit_counts_known_terms_only(spark, folder, monkeypatch):
     assert idf.keys() == best.keys()
     for term, df in best.items():
         assert abs(idf[term] - (math.log((1 + fitted.n_train) / (1 + df)) + 1)) < 1e-9
+
+
+def test_reports_of_pages_are_dealt_by_stored_size(spark, tmp_path, monkeypatch):
+    rows = [(i, t, f"Wind report {i} of page {t}.\nTurbines feed the harbour grid {i}a{t}.") for i in range(60) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    stored = session.stored_bytes(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    monkeypatch.setattr(session, "CLUSTER_BYTES", -(-stored // 9))
+    made = queries.document_report_paged(spark, str(tmp_path))
+    assert re.search(r"hashpartitioning\(doc_id#\w+, (9|10)\), REPARTITION_BY_NUM", _plan(made))
+    assert re.search(r"hashpartitioning\(doc_id#\w+, _word#\d+, (\d\d|[5-9])\), REPARTITION_BY_NUM", _plan(made))
+    # four words and five, the number of the document, three of pages and three of both
+    assert {r["doc_id"]: r["unique_word_count"] for r in made.collect()} == {i: 15 if i < 3 else 16 for i in range(60)}
