@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom import session
-from lexiloom.operators import classifier, keywords, search, sections
+from lexiloom.operators import classifier, keywords, search, sections, terms
 from lexiloom.plans import queries
 
 TEXTS = [(i, f"alpha beta gamma w{i}a w{i}b. Delta epsilon w{i}c w{i}d.\n\nzeta eta alpha w{i % 3}e beta", "de" if i % 2 else "en", "src1") for i in range(40)]
@@ -125,3 +125,39 @@ def test_reports_of_pages_are_dealt_by_stored_size(spark, tmp_path, monkeypatch)
     assert re.search(r"hashpartitioning\(doc_id#\w+, _word#\d+, (\d\d|[5-9])\), REPARTITION_BY_NUM", _plan(made))
     # four words and five, the number of the document, three of pages and three of both
     assert {r["doc_id"]: r["unique_word_count"] for r in made.collect()} == {i: 15 if i < 3 else 16 for i in range(60)}
+
+
+ODD = [(7, "alpha beta alpha gamma"), (7, "gamma delta alpha"), (8, ""), (9, None), (10, "zeta alpha zeta alpha"), (None, "omega alpha omega"), (None, "omega beta")]
+
+
+def test_terms_are_dealt_once_for_a_block(spark):
+    docs = spark.createDataFrame([r[:2] for r in TEXTS] + ODD, "doc_id long, text string")
+    cut = keywords._keyword_terms(F.col("text"))
+    index = terms.materialize(terms.term_index(docs, ["doc_id"], cut), "index")
+    parts = session.block_parts(index)
+    assert index.where("_n is not null").groupBy(session.BLOCK, "term").count().where("count > 1").isEmpty()
+    known = terms.index_with_frequency(index)
+    plan = _plan(known)
+    # texts of terms to the shares and numbers back, nothing else
+    assert plan.count("Exchange hash") == 2 and plan.count("BroadcastExchange") == 0
+    tf = terms.term_frequency(docs, ["doc_id"], cut)
+    df = {r["term"]: r["count"] for r in tf.groupBy("term").count().collect()}
+    rows = lambda found: sorted(map(tuple, found), key=str)
+    assert rows(known.select("doc_id", "term", "tf", "df").collect()) == rows((r["doc_id"], r["term"], r["tf"], df[r["term"]]) for r in tf.collect())
+    assert known.select(session.BLOCK).distinct().count() <= parts
+
+
+def test_every_block_has_its_own_partition(spark):
+    rows = session.cluster(spark.range(2000), "id", parts=7).select("id")
+    dealt = rows.select(session.spread(spark, F.hash("id"), 7).alias("at")).distinct()
+    assert dealt.count() == 7
+    assert dealt.repartition(7, "at").select(F.spark_partition_id().alias("p")).distinct().count() == 7
+
+
+def test_corpus_keywords_deal_no_terms_by_row(spark, folder):
+    found = keywords.keywords_corpus(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    dealt = re.findall(r"Exchange (hashpartitioning\([^)]*\)|\w+)", _plan(found))
+    assert dealt and not any("term" in x for x in dealt)
+    counts = keywords.keyword_term_counts(spark.read.parquet(f"{folder}/documents.parquet")).groupBy("doc_id").count().collect()
+    per_doc = {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()}
+    assert per_doc == {r["doc_id"]: min(15, r["count"]) for r in counts}
