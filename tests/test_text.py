@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -114,3 +115,18 @@ def test_a_stored_table_can_be_dropped(spark):
     drop_stored(table)
     with pytest.raises(Exception):
         spark.read.parquet(table._stored_at).count()
+
+
+def test_cleaning_in_steps_gives_what_one_pattern_for_each_gives(spark, column):
+    marks = ["a", "B", " ", "  ", "\t", "\n", "\r", "\r\n", "“", "”", "‘", "’", "–", "—", "\x00", "\x08", "\x0b", "\x0c", "\x0e", "\x1f", "\x7f", "\x85", "\x9f", "\xa0", "é", "中", "\U0001f600", "\U0010ffff"]
+    odd = ["".join(p) for p in itertools.product(marks, repeat=2)] + ["a\r\r\nb", "a\n\r\n\nb", "a \t\x00 b", "\n \n\n\x07\n\n x", "", None]
+    def plain(text):
+        c = (text or "").translate(str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": " - ", "—": " - "}))
+        c = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", re.sub(r"\r\n?", "\n", c))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", c)).strip(T.WHITE_SPACE)
+    assert column(T.clean_text, odd) == [plain(t) for t in odd]
+
+
+def test_cleaning_replaces_single_characters_without_patterns(spark):
+    plan = spark.range(1).select(T.clean_text(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 3 and "translate(" not in plan
