@@ -161,3 +161,29 @@ def test_corpus_keywords_deal_no_terms_by_row(spark, folder):
     counts = keywords.keyword_term_counts(spark.read.parquet(f"{folder}/documents.parquet")).groupBy("doc_id").count().collect()
     per_doc = {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()}
     assert per_doc == {r["doc_id"]: min(15, r["count"]) for r in counts}
+
+
+def test_corpus_norms_deal_no_terms_by_section(spark, folder, monkeypatch):
+    stored, keep = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: stored.setdefault(name, df) and keep(df, name))
+    cut = search.materialize(sections.sections(spark.read.parquet(f"{folder}/documents.parquet")), "cut")
+    asked = spark.createDataFrame([(1, "alpha zeta")], "query_id long, query string")
+    found = search.corpus_postings(cut, asked)
+    assert "document-frequency" not in stored and session.BLOCK in stored["section-terms"].columns
+    whole = search.corpus_tfidf(cut).where("term in ('alpha', 'zeta')")
+    rows = lambda df: sorted((r["doc_id"], r["section_id"], r["term"], r["tf"], r["df"], round(r["weight"], 9)) for r in df.collect())
+    assert rows(found) == rows(whole) and len(rows(found)) == 120
+
+
+def test_dots_out_of_reach_are_not_stored(spark, monkeypatch):
+    stored, keep = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: stored.setdefault(name, keep(df, name)))
+    postings = keep(spark.createDataFrame(
+        [(i, 1, "rare", 1.0 + i) for i in range(3)] + [(i, 1, "usual", 0.5) for i in range(50)] + [(i, 1, "common", 0.01) for i in range(90)],
+        "doc_id long, section_id long, term string, weight double"), "postings")
+    asked = keep(spark.createDataFrame(
+        [(1, "rare", 3, 1.0, 3.0, 1e-8), (1, "usual", 50, 2.5, 1.25, 1e-8), (1, "common", 90, 1.0, 0.01, 1e-8)],
+        "query_id long, term string, df long, _query double, _bound double, _margin double"), "asked")
+    found = search._within_reach(postings, asked, 2, 1).orderBy(F.desc("_dot")).limit(2).collect()
+    assert [(r["doc_id"], round(r["_dot"], 6)) for r in found] == [(2, 4.26), (1, 3.26)]
+    assert stored["partial-dots"].count() < 50
