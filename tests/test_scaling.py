@@ -187,3 +187,11 @@ def test_dots_out_of_reach_are_not_stored(spark, monkeypatch):
     found = search._within_reach(postings, asked, 2, 1).orderBy(F.desc("_dot")).limit(2).collect()
     assert [(r["doc_id"], round(r["_dot"], 6)) for r in found] == [(2, 4.26), (1, 3.26)]
     assert stored["partial-dots"].count() < 50
+
+
+def test_fallback_of_the_corpus_moves_no_section_to_its_hits(spark, folder):
+    cut = search.materialize(sections.sections(spark.read.parquet(f"{folder}/documents.parquet")), "cut")
+    asked = spark.createDataFrame([(1, "lph elt")], "query_id long, query string")
+    ranked = search.rank_fallback(cut, asked, asked.select("query_id").limit(0), 3, "corpus")
+    assert [r["rank"] for r in ranked.orderBy("rank").collect()] == [1, 2, 3]
+    assert "Exchange" not in _plan(ranked)
